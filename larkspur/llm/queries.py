@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import exact_dedup, packing, sharding, token_store
+from larkspur.llm import byte_bpe, exact_dedup, license_scan, packing, pseudonyms, quality_model, quality_rules, sharding, token_store
 
 
 def _path(name: str) -> str:
@@ -17,10 +17,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(_documents(spark, sf_dir), token_store.StoreOptions(_path("byte_bpe_50k.json")))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode_digest(_documents(spark, sf_dir), _path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_documents(spark, sf_dir), 16)
 
@@ -33,7 +51,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _path("byte_bpe_50k.json"), 2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op6_jump_shards, op7_exact_dedup, op8_best_fit_packing)}
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.findings(_documents(spark, sf_dir), pseudonyms.DEMO_KEY)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_token_store, op3_license_scan, op4_quality_rules, op5_byte_bpe, op6_jump_shards, op7_exact_dedup, op8_best_fit_packing, op9_pseudonyms)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
