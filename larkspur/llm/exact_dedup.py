@@ -126,7 +126,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("generation", F.lit(0))
     key = [*_KEY, "generation"]
     while True:
-        groups = rows.groupBy(*key).agg(F.min(who).alias("first"), F.count("*").alias("n"), F.min_by("text_sha256", who).alias("first_sha"))
+        # staged, so that the joins below are dealt for themselves and a large group's rows can be split
+        groups = stage(rows.groupBy(*key).agg(F.min(who).alias("first"), F.count("*").alias("n"), F.min_by("text_sha256", who).alias("first_sha")), "groups")
         large = groups.where("n > 1")
         firsts = large.select(F.col("first.doc_id").alias("doc_id"), F.col("first_sha").alias("text_sha256"), *key, "n")
         members = rows.join(large.select(*key, "n", F.col("first.rid").alias("first_rid")), key).where("rid <> first_rid").select("doc_id", "text_sha256", *key, "n").distinct()
