@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import byte_bpe, exact_dedup, license_scan, packing, pseudonyms, quality_model, quality_rules, sharding, token_store
+from larkspur.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, pseudonyms, quality_model, quality_rules, sharding, token_store
 
 
 def _path(name: str) -> str:
@@ -55,7 +55,11 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.findings(_documents(spark, sf_dir), pseudonyms.DEMO_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_model, op2_token_store, op3_license_scan, op4_quality_rules, op5_byte_bpe, op6_jump_shards, op7_exact_dedup, op8_best_fit_packing, op9_pseudonyms)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_model, op2_token_store, op3_license_scan, op4_quality_rules, op5_byte_bpe, op6_jump_shards, op7_exact_dedup, op8_best_fit_packing, op9_pseudonyms, op10_jaccard_join)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
