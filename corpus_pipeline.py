@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five operators, each stage written as Parquet and read by the next."""
+"""The corpus pipeline: documents through five operators, each stage written as Parquet and read by the next.
+
+Null, empty and repeated rows are treated as the operators say: quality rules drop texts without words, equal texts
+leave one row, near copies leave the smallest doc_id, pseudonyms keep null texts, packing takes null texts as empty.
+Columns beyond those of ``documents`` pass through all stages but the last. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +12,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import exact_dedup
+from larkspur.llm import exact_dedup, jaccard_join, packing, pseudonyms, quality_rules
 from larkspur.llm.common import shared_folder
 
+SEQUENCE_TOKENS = 2048
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive quality rules keep."""
+    return quality_rules.keep_good(docs)
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", dedup_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
+def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data."""
+    return pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their places in training sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), SEQUENCE_TOKENS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", rules_stage),
+    ("exact_dedup", exact_stage),
+    ("jaccard_join", near_stage),
+    ("pseudonyms", private_stage),
+    ("best_fit_packing", packing_stage),
+]
 
+#: SQL has no byte-level BPE, no Feistel network and no best-fit plan; tests hold each stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
