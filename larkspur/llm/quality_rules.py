@@ -71,7 +71,9 @@ def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
         "n_capitals": F.regexp_count(text, F.lit("[A-Z]")),
         "n_marks": F.regexp_count(text, F.lit("[!?]")),
     }
-    return df.withColumn(f"{prefix}counts", F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))).drop(text, words, hashes, windows, ranked)
+    # an outer generator, since filters on the counts would otherwise be pushed below and compute every step again for each word
+    one = F.array(F.struct(*(c.cast("long").alias(k) for k, c in counts.items())))
+    return df.withColumn(windows, one).drop(text, words, hashes, ranked).select("*", F.explode_outer(windows).alias(f"{prefix}counts")).drop(windows)
 
 
 def base_failed(c: str) -> Column:
