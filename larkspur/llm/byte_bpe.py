@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
@@ -20,12 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkspur.llm import pretokens
 from larkspur.llm.common import batch
 
-#: A character for each byte: itself where it is printable and not a space, else one from U+0100 on.
-_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARS = "".join(chr(b) if b in _PLAIN else chr(0x100 + b - sum(p < b for p in _PLAIN)) for b in range(256))
-CACHED = 200_000
+CACHED = 400_000
 CACHED_CHARS = 48
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -61,20 +58,13 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
         raise ValueError("ranks must run from 0 without gaps")
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"the vocabulary lacks bytes {missing}")
-    pieces = [_field(1, _field(1, "".join(BYTE_CHARS[b] for b in t)) + _field(2, -float(k))) for k, t in enumerate(tokens)]
+    pieces = [_field(1, _field(1, "".join(pretokens.BYTE_CHARS[b] for b in t)) + _field(2, -float(k))) for k, t in enumerate(tokens)]
     pieces.append(_field(1, _field(1, "<unk>") + _field(2, 0.0) + _field(3, 2)))
     trainer = _field(3, 2) + _field(4, len(tokens) + 1) + _field(40, len(tokens))  # BPE, size, id of <unk>
     normaliser = _field(1, "identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join(pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
-def ascii_pattern(pattern: str) -> str | None:
-    """The pattern for ASCII texts in classes that the faster standard module knows; None where some are left."""
-    for old, new in ((r"[^\s\p{L}\p{N}]", "[^\\x09-\\x0D A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\s", "[\\x09-\\x0D ]"), (r"\S", "[^\\x09-\\x0D ]")):
-        pattern = pattern.replace(old, new)
-    return None if "\\p" in pattern else pattern
-
-
 class Codec:
     """Ids of texts as little-endian 32-bit arrays, and back."""
 
@@ -85,10 +75,8 @@ class Codec:
         self.ranks = ranks
         self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
-        self.pattern = regex.compile(pattern)
-        plain = ascii_pattern(pattern)
-        self.ascii = re.compile(plain) if plain else self.pattern
-        self.table = {b: BYTE_CHARS[b] for b in range(256)}
+        self.split = pretokens.split if pattern == pretokens.PATTERN else regex.compile(pattern).findall
+        self.table = {b: pretokens.BYTE_CHARS[b] for b in range(256)}
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, pre_tokens: list[str]) -> dict[str, bytes]:
@@ -98,15 +86,17 @@ class Codec:
         return {p: struct.pack(f"<{len(ids)}I", *ids) if (whole := self.ranks.get(raw)) is None else struct.pack("<I", whole) for p, raw, ids in zip(pre_tokens, raws, coded)}
 
     def encode(self, text: str) -> bytes:
-        parts = (self.ascii if text.isascii() else self.pattern).findall(text)
-        known = {p: v for p in set(parts) if (v := self.cache.get(p)) is not None}
-        if new := [p for p in set(parts) if p not in known]:
-            learnt = self._learn(new)
-            known |= learnt
-            if len(self.cache) + len(learnt) > CACHED:
-                self.cache.clear()
-            self.cache.update((p, v) for p, v in learnt.items() if len(p) <= CACHED_CHARS)
-        return b"".join(map(known.__getitem__, parts))
+        parts = self.split(text)
+        try:
+            return b"".join(map(self.cache.__getitem__, parts))
+        except KeyError:
+            new = [p for p in set(parts) if p not in self.cache]
+        learnt = self._learn(new)
+        got = {p: learnt[p] if p in learnt else self.cache[p] for p in set(parts)}
+        if len(self.cache) + len(new) > CACHED:
+            self.cache.clear()
+        self.cache.update((p, ids) for p, ids in learnt.items() if len(p) <= CACHED_CHARS)
+        return b"".join(map(got.__getitem__, parts))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

@@ -58,7 +58,11 @@ def serialise(ids: np.ndarray, width: int) -> bytes:
 def _compressor(dictionary: bytes, level: int):
     import zstandard as z
 
-    return z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None)
+    if not dictionary:
+        return z.ZstdCompressor(level=level)
+    shared = z.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=level)  # else it is digested anew for each frame
+    return z.ZstdCompressor(level=level, dict_data=shared)
 
 
 def _decompressor(dictionary: bytes):

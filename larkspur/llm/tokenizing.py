@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
+from larkspur.llm.pretokens import BYTE_CHARS, split
+
 END_ID = 0
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _LONG = 1 << 18
+CACHED = 400_000
+_BYTES = {b: BYTE_CHARS[b] for b in range(256)}
+CACHED_CHARS = 48
 
 
 @functools.cache
@@ -37,18 +44,51 @@ def cut_points(text: str) -> list[str]:
     return parts
 
 
-def encode_texts(path: str, texts: list[str | None], limit: int = 1 << 19) -> Iterator[np.ndarray]:
+class Encoder:
+    """Ids by the tokenizers library: each distinct pre-token is encoded once, occurrences are looked up."""
+
+    def __init__(self, path: str):
+        self.model = tokenizer(path)
+        # pre-tokens are taken apart only where that is known to be what the library does
+        head = json.loads(self.model.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.splits = not head["normalizer"] and not head["post_processor"] and {k: (head["pre_tokenizer"] or {}).get(k) for k in plain} == plain
+        self.special = [t["content"] for t in head["added_tokens"]]
+        self.known: dict[str, bytes] = {}
+
+        self.merge = self.model.model.tokenize
+
+    def learn(self, pre_token: str) -> bytes:
+        """Ids of one pre-token: its bytes as the characters that stand for them, merged by the library's model."""
+        return array("I", [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if not self.splits or any(s in text for s in self.special):
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = split(text)
+        try:
+            return b"".join(map(self.known.__getitem__, parts))
+        except KeyError:
+            new = [p for p in set(parts) if p not in self.known]
+        learnt = {p: self.learn(p) for p in new}
+        if len(self.known) + len(new) <= CACHED:
+            self.known.update((p, ids) for p, ids in learnt.items() if len(p) <= CACHED_CHARS)
+            if len(max(new, key=len)) <= CACHED_CHARS:
+                return b"".join(map(self.known.__getitem__, parts))
+        got = {p: learnt[p] if p in learnt else self.known[p] for p in set(parts)}
+        if len(self.known) + len(new) > CACHED:
+            self.known.clear()
+        return b"".join(map(got.__getitem__, parts))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encode_texts(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Ids of each text (null: empty) as uint32, the end id appended, in order."""
-    from larkspur.llm.common import slices
-
-    model = tokenizer(path)
-    encode = getattr(model, "encode_batch_fast", model.encode_batch)
-    for a, b in slices(texts, limit):
-        parts = [cut_points(t or "") for t in texts[a:b]]
-        if any(len(p) > 1 for p in parts):
-            for pieces in parts:
-                ids = [np.asarray(encode([p], add_special_tokens=False)[0].ids, dtype=np.uint32) for p in pieces]
-                yield np.concatenate([*ids, np.array([END_ID], dtype=np.uint32)])
-        else:
-            for e in encode([p[0] for p in parts], add_special_tokens=False):
-                yield np.array([*e.ids, END_ID], dtype=np.uint32)
+    code, end = encoder(path).encode, END_ID.to_bytes(4, "little")
+    for text in texts:
+        yield np.frombuffer(b"".join([*map(code, cut_points(text or "")), end]), dtype="<u4")
