@@ -40,6 +40,7 @@ CELL = 2048
 FREQUENT_SHARE = 512
 MOST_FREQUENT = 1 << 18
 FILTER_BITS = 23
+BUCKET_SHINGLES = 4_000_000
 
 _PIECE = 1 << 20
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -189,27 +190,44 @@ def _frequent(sets: DataFrame, rows: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in top.select("token").collect()], dtype=np.uint64))
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """rid, n, rare and frequent shingles of each document's prefix."""
+def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Prefixes as packed entries: bucket (-1: frequent shingles), base, tokens (six bytes each), places (rid - base,
+    two bytes each). Copies within a batch are left out here, the rest of them where blocks are made."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                values, row = _values(part.column(2))
+            _, distinct = np.unique(b.column(1).to_numpy(), return_index=True)
+            b = b.take(pa.array(np.sort(distinct)))
+            rid, at = b.column(0).to_numpy(), 0
+            while at < b.num_rows:
+                end = min(at + 2000, int(np.searchsorted(rid, rid[at] + (1 << 16))))
+                values, row = _values(b.column(2).slice(at, end - at))
                 heavy = np.isin(values, frequent)
                 order = np.lexsort((values, heavy, row))
-                values, heavy, row = values[order].astype(np.int64), heavy[order], row[order]
-                first = np.searchsorted(row, np.arange(part.num_rows))
-                held = np.bincount(row, minlength=part.num_rows)
+                values, heavy, row = values[order], heavy[order], row[order]
+                held = np.bincount(row, minlength=end - at)
+                first = np.cumsum(held) - held
                 keep = np.arange(len(row)) - first[row] < (held - least_overlap(held) + 1)[row]
-                lists = []
-                for chosen in (keep & ~heavy, keep & heavy):
-                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=part.num_rows))])
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[chosen])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["rid", "n", "rare", "common"])
+                values, place = values[keep], (rid[at:end] - rid[at]).astype(np.uint16)[row[keep]]
+                bucket = np.where(heavy[keep], -1, (values % np.uint64(buckets)).astype(np.int64))
+                order = np.argsort(bucket, kind="stable")
+                runs = _runs(bucket[order])
+                parts = [order[x:y] for x, y in zip(runs, runs[1:]) if y > x]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([int(rid[at])] * len(parts), pa.int64()), pa.array([values[x].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in parts], pa.binary()), pa.array([place[x].tobytes() for x in parts], pa.binary())],
+                    ["bucket", "base", "tokens", "places"],
+                )
+                at = end
+
+    return sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(rows, "bucket int, base long, tokens binary, places binary")
 
-    return sets.where("n > 0").select("rid", "n", "tokens").mapInArrow(rows, "rid long, n long, rare array<long>, common array<long>")
+
+def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and rids of packed entries."""
+    tokens = unpack_set(b"".join(x.as_buffer() for x in b.column(2))).astype(np.int64)
+    places = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), dtype=np.uint16).astype(np.int64)
+    base = np.repeat(b.column(1).to_numpy(), [len(x.as_buffer()) // 2 for x in b.column(3)])
+    return tokens, base + places
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -217,19 +235,30 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def _rare_blocks(rows: DataFrame) -> DataFrame:
-    """Distinct sets of documents that share a rare shingle: b1, b2 (their hash), members and their sizes."""
+def _common_rows(prefixes: DataFrame) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _entries(b)], ["token", "rid"])
+
+    return prefixes.where("bucket < 0").mapInArrow(rows, "token long, rid long")
+
+
+def _rare_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """Distinct sets of documents that share a rare shingle: b1, b2 (their hash) and rid, a row for each member."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        rest = [np.zeros(0, dtype=np.int64)] * 3
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
 
-        def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
-            token, rid, n = columns
+        def emit() -> pa.RecordBatch:
+            token, rid = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((rid, token))
+            token, rid = token[order], rid[order]
             at = _runs(token)
-            some = np.flatnonzero(np.diff(at) > 1)
-            keys, members, sizes = [], [], []
-            for k in some:
+            keys, members = [], []
+            for k in np.flatnonzero(np.diff(at) > 1):
                 ids = rid[at[k] : at[k + 1]]
                 key = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
                 if key not in seen:
@@ -238,23 +267,24 @@ def _rare_blocks(rows: DataFrame) -> DataFrame:
                     seen.add(key)
                     keys.append(np.frombuffer(key, dtype=np.int64))
                     members.append(ids)
-                    sizes.append(n[at[k] : at[k + 1]])
-            long = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(members, long), pa.array(sizes, long)], ["b1", "b2", "members", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["b1", "b2", "members"])
 
         for b in batches:
-            columns = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns)]
-            if not len(columns[0]):
-                continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last run may go on
-            rest = [c[cut:] for c in columns]
-            if cut:
-                yield emit([c[:cut] for c in columns])
-        if len(rest[0]):
-            yield emit(rest)
-
-    sorted_rows = rows.repartition("token").sortWithinPartitions("token", "rid")
-    return sorted_rows.mapInArrow(blocks, "b1 long, b2 long, members array<long>, sizes array<long>").dropDuplicates(["b1", "b2"])
+            if b.num_rows:
+                bucket = b.column(0).to_numpy()
+                at = _runs(bucket)
+                for x, y in zip(at, at[1:]):
+                    if held and bucket[x] != now:
+                        yield emit()
+                        held = []
+                    now = bucket[x]
+                    held.append(_entries(b.slice(x, y - x)))
+        if held:
+            yield emit()
+
+    dealt = prefixes.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(blocks, "b1 long, b2 long, members array<long>").dropDuplicates(["b1", "b2"])
+    return found.select("b1", "b2", F.explode("members").alias("rid"))
 
 
 # --- 4. trees --------------------------------------------------------------------------------------------------
@@ -456,27 +486,30 @@ def components(docs: DataFrame) -> DataFrame:
     key = ["k1", "k2", "n"]
     who = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")
     classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min(who).alias("first"), F.count("*").alias("copies")).select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid"), "copies"), "set-classes")
-    prefixes = _prefixes(sets, _frequent(sets, classes.count())).join(classes.select("rid"), "rid")
-    prefixes = stage(prefixes, "prefixes")
-    rare = stage(_rare_blocks(prefixes.select(F.explode("rare").alias("token"), "rid", "n")), "rare-blocks")
-    common = stage(prefixes.select(F.explode("common").alias("token"), "rid", "n"), "common-rows")
+    size = sets.agg(F.count("*"), F.sum("n")).first()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size[1] or 0) // BUCKET_SHINGLES)
+    prefixes = stage(_prefixes(sets, _frequent(sets, size[0]), buckets), "prefixes")
+    rare = stage(_rare_blocks(prefixes, buckets), "rare-blocks")
+    common = stage(_common_rows(prefixes), "common-rows")
     unstage(prefixes)
+    # from here on each class counts once, by the rid of its first document
+    one = stage(sets.select(F.col("rid").alias("of"), *key).join(classes.select(*key, "rid"), key).select("of", "rid", "n"), "class-of")
+    to_class = lambda df, names: df.withColumnRenamed("rid", "of").join(one, "of").select(*names, "rid", "n").distinct()
+    common = stage(to_class(common, ["token"]), "common-members")
+    # blocks of frequent shingles with the same members count once
+    h = F.xxhash64("rid")
+    names = common.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(h).alias("b1"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("b2")).where("c > 1")
+    names = F.broadcast(names.groupBy("b1", "b2", "c").agg(F.min("token").alias("token")))  # a row for each frequent shingle at most
+    members = stage(to_class(rare, ["b1", "b2"]).unionByName(common.join(names, "token").select("b1", "b2", "rid", "n")), "members")
 
+    hubs = stage(members.groupBy("b1", "b2").agg(F.min(F.struct("rid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("b1", "b2", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")), "hubs")
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
-    stars = rare.select(F.col("members")[0].alias("hub"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip(F.col("members").alias("rid"), F.col("sizes").alias("n"))).alias("x")).select("hub", "m", F.col("x.rid").alias("rid"), F.col("x.n").alias("n"))
-    hubs = F.broadcast(common.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("h")).select("token", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")))  # a row for each frequent shingle
-    stars = stars.unionByName(common.join(hubs, "token").select("hub", "m", "rid", "n"))
-    stars = stars.where(fits).select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
+    stars = members.join(hubs, ["b1", "b2"]).where(fits).select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
     tried = stage(_plausible(stars, sets), "hub-pairs")
     links = stage(_verified(tried, sets), "hub-links")
     labels = connected(links)
 
-    # blocks of frequent shingles with the same members count once
-    h = F.xxhash64("rid")
-    names = common.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(h).alias("b1"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("b2")).where("c > 1")
-    names = F.broadcast(names.groupBy("b1", "b2", "c").agg(F.min("token").alias("token")))
-    members = rare.select("b1", "b2", F.explode("members").alias("rid")).unionByName(common.join(names, "token").select("b1", "b2", "rid"))
-    pairs = _cell_pairs(_cells(members, labels, sets)).join(tried, ["a", "b"], "left_anti")
+    pairs = _cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets)).join(tried, ["a", "b"], "left_anti")
     more = stage(_verified(stage(pairs, "tree-pairs"), sets), "tree-links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more))
