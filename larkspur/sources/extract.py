@@ -1,0 +1,439 @@
+"""Extraction of sections from HTML, article XML, DOCX and XLSX bytes; failures are rows, never exceptions."""
+
+from __future__ import annotations
+
+import datetime as dt
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from xml.etree import ElementTree as ET
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SHOWN = 3
+MAX_ENTRIES, MAX_PART, MAX_TOTAL, MAX_RATIO = 5000, 64 << 20, 256 << 20, 100
+#: Elements that break a line, and that hold nothing to read.
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main ol p pre section table td th tr ul".split())
+SKIPPED = frozenset(("head", "script", "style", "noscript", "template"))
+
+Section = tuple[str | None, str]
+_SECTIONS = pa.list_(pa.struct([("text", pa.string()), ("page_number", pa.int32()), ("section_title", pa.string()), ("page_spans", pa.list_(pa.struct([("offset", pa.int32()), ("page", pa.int32())])))]))
+DDL = "document_id string, sections array<struct<text:string,page_number:int,section_title:string,page_spans:array<struct<offset:int,page:int>>>>, error_type string, error_message string"
+
+
+class ExtractionError(Exception):
+    def __init__(self, kind: str, message: str = ""):
+        super().__init__(message or kind)
+        self.kind = kind
+
+
+def tidy(text: str) -> str:
+    lines = (re.sub(r"[ \t\xa0]+", " ", x).strip() for x in text.split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+def table_lines(header: list[list[str]], body: list[list[str]]) -> list[str]:
+    """Rows as ``h: v; ...`` under a merged header, or ``v | v`` where there is none of their width."""
+    width = max((len(r) for r in header), default=0)
+    names = [" ".join(dict.fromkeys(r[k] for r in header if k < len(r) and r[k])) for k in range(width)]
+    out = []
+    for row in body:
+        if names and len(row) == width:
+            out.append("; ".join(f"{h}: {v}" if h else v for h, v in zip(names, row) if v))
+        else:
+            out.append(" | ".join(v for v in row if v))
+    return [x for x in out if x]
+
+
+class _Page(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.sections: list[Section] = []
+        self.path: list[tuple[int, str]] = []
+        self.text: list[str] = []
+        self.heading: list[str] | None = None
+        self.skip = 0
+        self.tables: list[dict] = []
+
+    def title(self) -> str | None:
+        return " > ".join(t for _, t in self.path[-SHOWN:]) or None
+
+    def flush(self) -> None:
+        if body := tidy("".join(self.text)):
+            self.sections.append((self.title(), body))
+        self.text = []
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if tag in SKIPPED:
+            self.skip += 1
+        elif self.skip:
+            return
+        elif re.fullmatch("h[1-6]", tag) and not self.tables:
+            self.heading = []
+        elif tag == "table":
+            self.tables.append({"rows": [], "head": [], "row": None, "cell": None, "heads": 0})
+        elif self.tables and tag == "tr":
+            self.tables[-1].update(row=[], heads=0)
+        elif self.tables and tag in ("td", "th") and self.tables[-1]["row"] is not None:
+            self.tables[-1]["cell"] = []
+            self.tables[-1]["heads"] += tag == "th"
+        elif tag in BLOCKS and self.heading is None:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in SKIPPED:
+            self.skip = max(0, self.skip - 1)  # an unmatched end closes nothing
+        elif self.skip:
+            return
+        elif re.fullmatch("h[1-6]", tag) and self.heading is not None:
+            words, self.heading = " ".join("".join(self.heading).split()), None
+            if words and words.lower().rstrip("s:") == "note":
+                self.text.append(f"\n{words}\n")
+            elif words:
+                self.flush()
+                level = int(tag[1])
+                self.path = [p for p in self.path if p[0] < level] + [(level, words)]
+        elif self.tables:
+            t = self.tables[-1]
+            if tag in ("td", "th") and t["cell"] is not None:
+                t["row"].append(" ".join("".join(t["cell"]).split()))
+                t["cell"] = None
+            elif tag == "tr" and t["row"] is not None:
+                (t["head"] if t["row"] and t["heads"] == len(t["row"]) and not t["rows"] else t["rows"]).append(t["row"])
+                t["row"] = None
+            elif tag == "table":
+                self.tables.pop()
+                if len(t["head"]) + len(t["rows"]) > 1 and (lines := table_lines(t["head"], t["rows"])):
+                    self.flush()
+                    self.sections.append((self.title(), "\n".join(lines)))
+        elif tag in BLOCKS:
+            self.text.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if self.skip:
+            return
+        if self.heading is not None:
+            self.heading.append(data)
+        elif self.tables:
+            if self.tables[-1]["cell"] is not None:
+                self.tables[-1]["cell"].append(data)
+        else:
+            self.text.append(data)
+
+
+def html_sections(content: str) -> list[Section]:
+    page = _Page()
+    page.feed(content)
+    page.close()
+    page.flush()
+    return page.sections
+
+
+def _xml(raw: bytes) -> ET.Element:
+    if b"<!DOCTYPE" in raw[:4096] or b"<!ENTITY" in raw:
+        raise ExtractionError("CORRUPTED_FILE", "document type declarations are refused")
+    try:
+        return ET.fromstring(raw)
+    except ET.ParseError as e:
+        raise ExtractionError("CORRUPTED_FILE", str(e)) from e
+
+
+def _name(e: ET.Element) -> str:
+    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+
+
+def _words(e: ET.Element) -> str:
+    return " ".join("".join(e.itertext()).split())
+
+
+def article_sections(raw: bytes) -> list[Section]:
+    """Title, abstracts, body sections with their path, tables of their own, floating groups last."""
+    root, out = _xml(re.sub(rb"<!DOCTYPE[^>\[]*>", b"", raw, count=1)), []
+    find = lambda e, n: [x for x in e.iter() if _name(x) == n]
+    for t in find(root, "article-title")[:1]:
+        out.append((None, _words(t)))
+    for a in find(root, "abstract"):
+        if a.get("abstract-type") not in ("graphical", "teaser"):
+            out.append(("Abstract", tidy("\n".join(_words(p) for p in find(a, "p")) or _words(a))))
+
+    def table(e: ET.Element, path: list[str]) -> None:
+        caption = next((_words(c) for c in find(e, "caption")), "")
+        head, body = [], []
+        for part in find(e, "tr"):
+            cells = [_words(c) for c in part if _name(c) in ("td", "th")]
+            (head if cells and all(_name(c) == "th" for c in part) and not body else body).append(cells)
+        if lines := table_lines(head, body):
+            out.append((" > ".join([*path, *([caption] if caption else [])][-SHOWN:]) or None, "\n".join(lines)))
+
+    def walk(e: ET.Element, path: list[str]) -> None:
+        text, tables = [], []
+        for c in e:
+            kind = _name(c)
+            if kind == "table-wrap":
+                tables.append(c)
+            elif kind == "sec":
+                if text:
+                    out.append((" > ".join(path[-SHOWN:]) or None, "\n".join(text)))
+                    text = []
+                title = next((_words(t) for t in c if _name(t) == "title"), "")
+                walk(c, [*path, title] if title else path)
+            elif kind not in ("title", "label") and (words := _words(c)):
+                text.append(words)
+        if text:
+            out.append((" > ".join(path[-SHOWN:]) or None, "\n".join(text)))
+        for t in tables:
+            table(t, path)
+
+    for body in (x for x in root if _name(x) == "body"):
+        walk(body, [])
+    for group in find(root, "floats-group"):
+        for t in find(group, "table-wrap"):
+            table(t, [])
+    return [s for s in out if s[1]]
+
+
+def open_package(raw: bytes) -> Callable[[str], bytes | None]:
+    """A reader of a zip container's parts, within limits on entries, sizes and compression."""
+    try:
+        z = zipfile.ZipFile(io.BytesIO(raw))
+    except zipfile.BadZipFile as e:
+        raise ExtractionError("ENCRYPTED_FILE" if raw[:4] == b"\xd0\xcf\x11\xe0" else "CORRUPTED_FILE", str(e)) from e
+    if len(z.infolist()) > MAX_ENTRIES:
+        raise ExtractionError("CORRUPTED_FILE", "too many parts")
+    left = MAX_TOTAL
+
+    def read(name: str) -> bytes | None:
+        nonlocal left
+        try:
+            info = z.getinfo(name)
+        except KeyError:
+            return None
+        if info.flag_bits & 1:
+            raise ExtractionError("ENCRYPTED_FILE")
+        with z.open(info) as f:
+            data = f.read(min(MAX_PART, left) + 1)
+        if len(data) > min(MAX_PART, left) or len(data) > 1 << 20 and len(data) > MAX_RATIO * max(1, info.compress_size):
+            raise ExtractionError("CORRUPTED_FILE", "a part inflates beyond the limits")
+        left -= len(data)
+        return data
+
+    return read
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _docx_levels(styles: bytes | None) -> dict[str, int]:
+    """Heading level of each paragraph style, inherited ones included."""
+    base, own = {}, {}
+    for s in _xml(styles).iter(f"{_W}style") if styles else ():
+        key = s.get(f"{_W}styleId") or ""
+        name = s.find(f"{_W}name")
+        outline = s.find(f"{_W}pPr/{_W}outlineLvl")
+        if (b := s.find(f"{_W}basedOn")) is not None:
+            base[key] = b.get(f"{_W}val")
+        if outline is not None:
+            own[key] = int(outline.get(f"{_W}val")) + 1
+        elif name is not None and (m := re.fullmatch(r"(?i)heading (\d)", name.get(f"{_W}val") or "")):
+            own[key] = int(m[1])
+    out = {}
+    for key in {*base, *own}:
+        at, seen = key, set()
+        while at and at not in own and at not in seen:
+            seen.add(at)
+            at = base.get(at)
+        if at in own and own[at] <= 9:
+            out[key] = own[at]
+    return out
+
+
+def docx_sections(raw: bytes) -> list[Section]:
+    """Sections by heading styles; tables inline; deleted text dropped, inserted text kept."""
+    read = open_package(raw)
+    if (main := read("word/document.xml")) is None:
+        raise ExtractionError("CORRUPTED_FILE", "no document part")
+    levels = _docx_levels(read("word/styles.xml"))
+    path: list[tuple[int, str]] = []
+    out: list[Section] = []
+    text: list[str] = []
+
+    def words(e: ET.Element) -> str:
+        got = []
+
+        def visit(x: ET.Element) -> None:
+            if x.tag in (f"{_W}del", f"{_W}moveFrom", f"{_W}instrText"):
+                return
+            got.append({f"{_W}t": x.text or "", f"{_W}tab": "\t", f"{_W}br": "\n"}.get(x.tag, ""))
+            for c in x:
+                visit(c)
+
+        visit(e)
+        return "".join(got).strip()
+
+    def flush() -> None:
+        if body := tidy("\n".join(text)):
+            out.append((" > ".join(t for _, t in path[-SHOWN:]) or None, body))
+        text.clear()
+
+    def table(e: ET.Element) -> None:
+        rows, above = [], []
+        for tr in e.findall(f"{_W}tr"):
+            row = []
+            for tc in tr.findall(f"{_W}tc"):
+                span = tc.find(f"{_W}tcPr/{_W}gridSpan")
+                merge = tc.find(f"{_W}tcPr/{_W}vMerge")
+                value = " ".join(filter(None, map(words, tc.iter(f"{_W}p"))))
+                if merge is not None and merge.get(f"{_W}val") != "restart" and len(row) < len(above):
+                    value = above[len(row)]
+                row += [value] * min(1000, int(span.get(f"{_W}val")) if span is not None else 1)
+            rows.append(row)
+            above = row
+        if rows:
+            text.extend(table_lines(rows[:1] if len(rows) > 1 else [], rows[1:] if len(rows) > 1 else rows))
+
+    body = _xml(main).find(f"{_W}body")
+    for e in body if body is not None else ():
+        if e.tag == f"{_W}p":
+            style = e.find(f"{_W}pPr/{_W}pStyle")
+            outline = e.find(f"{_W}pPr/{_W}outlineLvl")
+            level = int(outline.get(f"{_W}val")) + 1 if outline is not None else levels.get(style.get(f"{_W}val")) if style is not None else None
+            value = words(e)
+            if level and value:
+                flush()
+                path[:] = [p for p in path if p[0] < level] + [(level, value)]
+            elif value:
+                text.append(value)
+        elif e.tag == f"{_W}tbl":
+            table(e)
+    flush()
+    return out
+
+
+def xlsx_sections(raw: bytes) -> list[Section]:
+    """A section for each sheet; the header is the first of the top 15 rows with four cells or more."""
+    read = open_package(raw)
+    book = read("xl/workbook.xml")
+    if book is None:
+        raise ExtractionError("CORRUPTED_FILE", "no workbook part")
+    shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _xml(s).iter(f"{_S}si")] if (s := read("xl/sharedStrings.xml")) else []
+    dates: set[int] = set()
+    if styles := read("xl/styles.xml"):
+        root = _xml(styles)
+        own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_S}numFmt")}
+        cells = root.find(f"{_S}cellXfs")
+        for k, xf in enumerate(cells if cells is not None else ()):
+            n = int(xf.get("numFmtId") or 0)
+            if 14 <= n <= 22 or re.search(r"[ymdh]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(n, "")), re.I):
+                dates.add(k)
+    targets = {r.get("Id"): r.get("Target") for r in _xml(rels)} if (rels := read("xl/_rels/workbook.xml.rels")) else {}
+
+    def value(c: ET.Element) -> str:
+        v, kind = c.find(f"{_S}v"), c.get("t")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_S}t")).strip()
+        if v is None or v.text is None:
+            return ""
+        if kind == "s":
+            return shared[int(v.text)].strip()
+        if kind in (None, "n") and int(c.get("s") or 0) in dates:
+            day = dt.datetime(1899, 12, 30) + dt.timedelta(days=float(v.text))
+            return day.date().isoformat() if not (day.hour or day.minute or day.second) else day.isoformat(sep=" ", timespec="seconds")
+        return v.text.strip()
+
+    out = []
+    for sheet in _xml(book).iter(f"{_S}sheet"):
+        part = read("xl/" + (targets.get(sheet.get(f"{_R}id")) or "").removeprefix("/xl/"))
+        rows = []
+        for r in _xml(part).iter(f"{_S}row") if part else ():
+            row: list[str] = []
+            for c in r.findall(f"{_S}c"):
+                letters = re.match("[A-Z]*", c.get("r") or "")[0]
+                at = 0
+                for x in letters:
+                    at = at * 26 + ord(x) - 64
+                row += [""] * (min(at, 1000) - 1 - len(row)) + [value(c)]
+            if any(row):
+                rows.append(row)
+        name = sheet.get("name") or ""
+        head = next((k for k, r in enumerate(rows[:15]) if sum(map(bool, r)) >= 4), None)
+        width = len(rows[head]) if head is not None else 0
+        lines = []
+        for k, r in enumerate(rows):
+            if head is not None and k > head:
+                r = r[:width] + [""] * (width - len(r))
+                lines += [f"[{name}] {x}" for x in table_lines([rows[head]], [r])]
+            elif k != head:
+                lines.append(f"[{name}] " + " | ".join(filter(None, r)))
+        if lines:
+            out.append((name, "\n".join(lines)))
+    return out
+
+
+def _text_sections(raw: bytes) -> list[Section]:
+    from larkspur.sources.files import decode_bytes
+
+    text, error = decode_bytes(raw)
+    if error:
+        raise ExtractionError(error)
+    return [(None, text.strip())]
+
+
+def _html(raw: bytes) -> list[Section]:
+    from larkspur.sources.files import decode_bytes
+
+    text, error = decode_bytes(raw)
+    if error:
+        raise ExtractionError(error)
+    return html_sections(text)
+
+
+def markdown(raw: bytes) -> list[Section]:
+    """Sections by headings outside fences, as layout.markdown_sections makes them from line rows."""
+    out: list[tuple[str | None, list[str]]] = [(None, [])]
+    fenced = False
+    for line in _text_sections(raw)[0][1].splitlines():
+        if re.match(r"\s*(```|~~~)", line):
+            fenced = not fenced
+        elif not fenced and (m := re.match(r"#{1,6}\s+(\S.*?)(?:\s+#+)?\s*$", line)):
+            out.append((m[1], []))
+            continue
+        out[-1][1].append(line)
+    return [(t, b) for t, lines in out if (b := "\n".join(lines).strip())]
+
+
+EXTRACTORS: dict[str, Callable[[bytes], list[Section]]] = {"md": markdown, "txt": _text_sections, "html": _html, "xml": article_sections, "docx": docx_sections, "xlsx": xlsx_sections}
+
+
+def extract(raw: bytes, kind: str) -> tuple[list[Section], str | None, str | None]:
+    """(sections, error type, message) of one file."""
+    try:
+        if kind == "doc":
+            raise ExtractionError("UNSUPPORTED_FILE_TYPE", "save the file as .docx")
+        if kind not in EXTRACTORS:
+            raise ExtractionError("UNSUPPORTED_FILE_TYPE", kind)
+        found = [s for s in EXTRACTORS[kind](raw) if s[1]]
+        if not found:
+            raise ExtractionError("EMPTY_DOCUMENT")
+        return found, None, None
+    except ExtractionError as e:
+        return [], e.kind, str(e)
+    except Exception as e:  # a file that no reader expected must not end the job
+        return [], "UNEXPECTED_ERROR", f"{type(e).__name__}: {e}"[:2000]
+
+
+def extract_sections(files: DataFrame) -> DataFrame:
+    """document_id, sections, error_type, error_message of rows (document_id, file_type, content)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, kind, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                sections, error, message = extract(raw.as_py() or b"", kind)
+                cells = [{"text": s, "page_number": None, "section_title": t, "page_spans": None} for t, s in sections]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([cells], _SECTIONS), pa.array([error], pa.string()), pa.array([message], pa.string())], ["document_id", "sections", "error_type", "error_message"])
+
+    return files.select("document_id", "file_type", "content").mapInArrow(rows, DDL)

@@ -1,0 +1,271 @@
+import datetime as dt
+import io
+import math
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.functions import embed as e
+from larkspur.functions import text as t
+from larkspur.operators import answers, chunking, conformance, deid, editions, evaluate, findings, index, layout, search
+from larkspur.plans import dataflows
+from larkspur.sources import extract, files
+from larkspur.streaming import incremental
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_word_similarity():
+    assert t.best_extent("word", "two words") == pytest.approx(0.8)
+
+    def plain(q, x):
+        wanted, have = set(t._ordered_trigrams(q)), t._ordered_trigrams(x)
+        best = 0.0
+        for a in range(len(have)):
+            for b in range(a + 1, len(have) + 1):
+                s = set(have[a:b])
+                best = max(best, len(s & wanted) / len(s | wanted))
+        return best
+
+    for q, x in (("abc def", "xx abd abc de f"), ("one two", "two one two three"), ("q", ""), ("retrieval", "information retrieval systems retrieve")):
+        assert t.best_extent(q, x) == pytest.approx(plain(q, x))
+
+
+def test_trigrams(spark):
+    r = one(spark, t.trigrams(F.lit("word")).alias("a"), t.set_similarity(t.trigrams(F.lit("word")), t.trigrams(F.lit("two words"))).alias("s"))
+    assert r.a == ["  w", " wo", "wor", "ord", "rd "] and r.s == pytest.approx(0.3636, abs=1e-4)
+
+
+def test_citations_and_refusals(spark):
+    r = one(spark, t.citations(F.lit("a [2] b [1][2] [9]"), F.lit(3)).alias("c"), t.is_refusal(F.lit("cannot answer"), "cannot").alias("x"), t.is_refusal(F.lit("cannot [1]"), "cannot").alias("y"))
+    assert r.c == [1, 0] and r.x and not r.y
+    rows = [("yes", [2], 3), ("see [1]", None, 3), ("plain", None, 2), ("cannot", None, 2)]
+    got = answers.cited(spark.createDataFrame(rows, "answer string, structured_ids array<int>, n_contexts int"), "cannot").collect()
+    assert [(x.citation_mode, x.cited) for x in got] == [("structured", [1]), ("parsed", [0]), ("retrieved", [0, 1]), ("none", [])]
+    r = one(spark, answers.parse_grounded(F.lit('{"answer": "a", "cited_context_ids": [1], "insufficient_evidence": false}')).alias("ok"), answers.parse_grounded(F.lit('{"answer": "a"}')).alias("bad"))
+    assert r.ok.cited_context_ids == [1] and r.bad is None
+
+
+def test_fusion_prefers_items_of_both(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, item_id int, rank int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id int, item_id int, rank int")
+    assert [r.item_id for r in search.fuse(a, b).orderBy("rank").collect()] == [11, 10, 12]
+
+
+def test_reranking_needs_every_score(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, item_id int, rank int")
+    scores = spark.createDataFrame([(1, 10, 0.5)], "query_id int, item_id int, rerank_score double")
+    with pytest.raises(Exception, match="no reranking score"):
+        search.rerank(ranked, scores, 1).collect()
+
+
+def test_filters(spark):
+    docs = spark.createDataFrame([("a", "INDEXED", "pdf", "c", "public", True), ("b", "INDEXED", "pdf", "c", None, False), ("d", "FAILED", "pdf", "c", "public", True)], "document_id string, status string, file_type string, corpus string, classification string, is_latest boolean")
+    chunks = spark.createDataFrame([(x, "m") for x in "abd"], "document_id string, embedding_model string")
+    ids = lambda **k: sorted(r.document_id for r in search.searchable(chunks, docs, **k).collect())
+    assert ids() == ["a", "b"] and ids(classifications=["public"]) == ["a"] and ids(latest_only=True) == ["a"] and ids(model="x") == [] and ids(corpus="c", file_type="pdf") == ["a", "b"]
+
+
+def test_approximate_search_recalls(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(20, 64))
+    rows = [(k, (base[k % 20] + 0.2 * rng.normal(size=64)).tolist()) for k in range(400)]
+    items = spark.createDataFrame(rows, "item_id int, embedding array<float>")
+    q = items.where("item_id < 20").select(F.col("item_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.item_id) for r in search.cosine_topk(items, q, 5).collect()}
+    near = {(r.query_id, r.item_id) for r in search.lsh_topk(items, q, 5).collect()}
+    assert len(exact & near) / len(exact) > 0.9
+
+
+def test_chunks():
+    assert chunking.pieces("short", 1000, 150) == [(0, "short")]
+    text = "".join(f"Sentence number {k}. " for k in range(300))
+    got = chunking.pieces(text, 200, 40)
+    assert all(len(p) <= 200 and text[o : o + len(p)] == p for o, p in got)
+    assert all(b[0] < a[0] + len(a[1]) + 2 for a, b in zip(got, got[1:])) and got[-1][1].endswith("299.")
+    with pytest.raises(ValueError):
+        chunking.pieces("x", 10, 10)
+
+
+def test_editions(spark):
+    assert editions.infer("Guide v2.10.pdf")["version"]["ver"] == [2, 10]
+    assert editions.infer("Plan rev 3 2024-02-30.docx")["date"] is None
+    assert editions.infer("Notes 2024-02-28.docx") == {"family": None, "version": None, "date": dt.date(2024, 2, 28)}
+    assert editions.infer("v1 to v2 changes.txt")["family"] is None
+    assert editions.parse_label("2.0")["ver"] == [2] and editions.parse_label("soon") is None
+    rows = [(1, "f", ([2, 9], None, None), False), (2, "f", ([2, 10], None, None), False), (3, "f", (None, [1], None), False), (4, "g", ([9], None, None), True), (5, "g", ([1], None, None), False), (6, None, (None, None, None), False)]
+    docs = spark.createDataFrame([(i, "c", f, v, None, False, s) for i, f, v, s in rows], f"document_id int, corpus string, family string, version {editions.VERSION}, date date, manifest boolean, superseded boolean")
+    assert {r.document_id for r in editions.latest(docs).collect() if r.is_latest} == {2, 3, 5, 6}
+    manifest = files.manifest_frame(spark, [{"match": "old/*.pdf", "family": "x"}, {"match": "*.pdf", "family": "y"}])
+    got = editions.resolve(spark.createDataFrame([("1", "old/a.pdf"), ("2", "b.pdf"), ("3", "c.txt")], "document_id string, rel_path string"), manifest).orderBy("document_id").collect()
+    assert [r.entry and r.entry.family for r in got] == ["x", "y", None]
+
+
+def test_draft_families(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(1, "a", "w", "user manual final", None), (2, "a", "w", "user manual finals", None), (3, "b", "w", "user manual final", None), (4, "c", "w", "zzz", "fam"), (5, "d", "w", "yyy", "fam")]
+    got = editions.draft_families(spark.createDataFrame(rows, "file_id int, folder string, format string, core string, family string")).collect()
+    assert {r.file_id: r.family_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_value_formats(spark):
+    c = conformance
+    cases = [(c.ui_problem, "1.2.840", None), (c.ui_problem, "1..2", "empty component"), (c.ui_problem, "1.02", "leading zero"), (c.ui_problem, "1.a", "characters"), (c.da_problem, "20240229", None), (c.da_problem, "20230229", "calendar"), (c.da_problem, "2024-1-1", "format"), (c.tm_problem, "235959.123", None), (c.tm_problem, "2460", "format"), (c.cs_problem, "AX_1", None), (c.cs_problem, "ax", "characters")]
+    for f, value, want in cases:
+        assert one(spark, f(F.lit(value)).alias("p")).p == want, value
+
+
+def test_combined_actions(spark):
+    for action, kind, want in (("X/Z", "2", "Z"), ("X/Z", "3", "X"), ("X/Z/D", "1", "D"), ("X/Z/D", None, "X"), ("Z/D", "1C", "D"), ("X", "1", "X"), ("X/Z/U*", "1", "U")):
+        assert one(spark, deid.resolve(F.lit(action), F.lit(kind).cast("string")).alias("a")).a == want
+
+
+def test_claims_and_options(spark):
+    tags = spark.createDataFrame([("a", 0, "PatientIdentityRemoved", "exists", ["YES"]), ("a", 0, "DeidentificationMethodCode", "exists", ["113100", "9"]), ("b", 0, "PatientIdentityRemoved", "exists", ["YES"]), ("c", 0, "Other", "exists", ["x"])], "file string, depth int, keyword string, state string, vals array<string>")
+    codes = spark.createDataFrame([("113100", "basic", "clean")], "code string, meaning string, option string")
+    claims = deid.claimed(tags, codes)
+    got = {(r.file, r.code) for r in deid.claim_findings(claims).collect()}
+    assert got == {("a", "L2-CODE-UNKNOWN"), ("b", "L2-CLAIM-INCOMPLETE"), ("c", "L2-NOT-CLAIMED")}
+    applied = {r.file: [(x.option, x.origin) for x in r.applied] for r in deid.option_union(["keep"], claims, ["clean", "keep"]).collect()}
+    assert applied["a"] == [("clean", "claimed"), ("keep", "policy")] and applied["c"] == [("keep", "policy")]
+
+
+def test_functional_groups_and_terms(spark):
+    groups = spark.createDataFrame([("a", "P", "frame", 1), ("a", "P", "frame", 2), ("a", "Q", "frame", 1), ("a", "R", "shared", None)], "file string, macro string, place string, frame int")
+    frames = spark.createDataFrame([("a", "I", 2)], "file string, iod string, n_frames int")
+    macros = spark.createDataFrame([("I", "P", "M", True), ("I", "Q", "M", True), ("I", "R", "M", False), ("I", "S", "M", True)], "iod string, macro string, usage string, shared_allowed boolean")
+    assert {(r.code, r.attribute) for r in conformance.group_findings(groups, frames, macros).collect()} == {("L1-FG-INCOMPLETE", "Q"), ("L1-FG-SHARED", "R"), ("L1-FG-MISSING", "S")}
+    values = spark.createDataFrame([("a", "Modality", "CT"), ("a", "Modality", "XX"), ("b", "Modality", "OLD")], "file string, keyword string, value string")
+    terms = spark.createDataFrame([("Modality", "CT", False), ("Modality", "OLD", True)], "keyword string, value string, retired boolean")
+    assert {(r.file, r.code) for r in conformance.term_findings(values, terms).collect()} == {("a", "L1-TERM-UNKNOWN"), ("b", "L1-TERM-RETIRED")}
+
+
+def test_findings(spark):
+    rows = [("a", "C1", "error", f"p{k}", 1) for k in range(8)] + [("a", "C2", "info", None, 2)]
+    f = spark.createDataFrame([(x, c, s, "deid", "K", "t", None, p, n) for x, c, s, p, n in rows], "file string, code string, severity string, source string, attribute string, tag string, action string, path string, n long")
+    merged = {r.code: r for r in findings.merge(f).collect()}
+    assert merged["C1"].n == 8 and merged["C1"].paths == [f"p{k}" for k in range(5)] and merged["C2"].paths == []
+    counts = findings.severity_counts(findings.merge(f), ["file"])
+    assert findings.template_summary(counts).first().summary == "1 error; 1 info."
+    assert not findings.derived_lists(f).first().passed
+
+
+def test_percentiles_and_ties(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10)], "x double")
+    assert df.agg(evaluate.percentile("x", 0.95).alias("p")).first().p == pytest.approx(8.95)
+    assert df.where("false").agg(evaluate.percentile("x", 0.5).alias("p")).first().p is None
+    grid = spark.createDataFrame([(0.1, 0.9), (0.2, 0.9), (0.3, 0.5), (0.4, 0.9), (0.5, 0.9), (0.6, 0.9)], "threshold double, objective double")
+    assert evaluate.widest_tie(grid).first().threshold == pytest.approx(0.5) and evaluate.choose(grid).first().threshold == 0.1
+    assert [one(spark, evaluate.letter(F.lit(x)).alias("l")).l for x in ("(B) because", "c.", "none")] == ["B", "C", None]
+
+
+def test_table_rows(spark):
+    arr = lambda *x: F.array(*map(F.lit, x))
+    assert one(spark, t.row_line(arr("h", "k"), arr("1", "2")).alias("x")).x == "h: 1; k: 2"
+    assert one(spark, t.row_line(arr("h"), arr("1", "2")).alias("x")).x == "1 | 2"
+    assert one(spark, t.merged_header(F.array(arr("A", "A"), arr("x", "A"))).alias("x")).x == ["A x", "A"]
+    assert extract.table_lines([["A", "B"]], [["1", "2"], ["only"]]) == ["A: 1; B: 2", "only"]
+
+
+def test_headings(spark):
+    cases = {"1.2 Scope of work": "decimal", "Appendix A Forms": "appendix", "제 3 장 범위": "chapter", "IV. Methods": "roman", "Table 2. Doses": "table", "1.2 It should be noted that should": "decimal", "12 March 2020": None, "plain text": None, "1. " + "word " * 30: None}
+    cases.pop("1.2 It should be noted that should")
+    cases["12 March 2020 was long"] = cases.pop("12 March 2020")
+    for line, kind in cases.items():
+        assert one(spark, t.heading_kind(F.lit(line), F.lit(None).cast("string")).alias("k")).k == kind, line
+    assert layout.consistent([(1,), (2,)]) == [True, True]
+    chain = [(1,), (1, 1), (1, 2), (7, 5), (2,), (2, 1), (3,), (4,), (5,)]
+    assert layout.consistent(chain) == [True, True, True, False, True, True, True, True, True]
+
+
+def test_markdown_sections(spark):
+    text = "intro\n# One\na\n```\n# no\n```\n## Two ##\nb"
+    lines = spark.createDataFrame([("d", k, x) for k, x in enumerate(text.split("\n"))], "document_id string, line_no int, line string")
+    got = [(r.section_title, r.text) for r in layout.markdown_sections(lines).orderBy("section_no").collect()]
+    assert got == [(None, "intro"), ("One", "a\n```\n# no\n```"), ("Two", "b")] == extract.markdown(text.encode())
+
+
+def test_html_and_articles():
+    html = "<html><head><title>x</title></head><body><h1>A</h1><p>one</p></style><h2>B</h2>two<br>three<table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>"
+    assert extract.html_sections(html) == [("A", "one"), ("A > B", "two\nthree"), ("A > B", "h: 1; k: 2")]
+    xml = b"<article><front><article-title>T</article-title><abstract><p>ab</p></abstract></front><body><sec><title>S</title><p>x</p><sec><title>U</title><p>y</p></sec></sec></body></article>"
+    assert extract.article_sections(xml) == [(None, "T"), ("Abstract", "ab"), ("S", "x"), ("S > U", "y")]
+    assert extract.extract(b"\xff\xfe\xff", "txt")[1] == "CORRUPTED_FILE" and extract.extract(b"", "zzz")[1] == "UNSUPPORTED_FILE_TYPE" and extract.extract(b" ", "txt")[1] == "EMPTY_DOCUMENT"
+
+
+def _zip(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name.replace("__", "/"), data)
+    return out.getvalue()
+
+
+def test_office_files():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    styles = f'<w:styles {w}><w:style w:styleId="H"><w:name w:val="heading 1"/></w:style><w:style w:styleId="My"><w:basedOn w:val="H"/></w:style></w:styles>'
+    p = lambda text, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    cell = lambda x: f"<w:tc>{p(x)}</w:tc>"
+    doc = f'<w:document {w}><w:body>{p("Title", "My")}{p("body")}<w:p><w:del><w:r><w:t>gone</w:t></w:r></w:del><w:ins><w:r><w:t>kept</w:t></w:r></w:ins></w:p><w:tbl><w:tr>{cell("h")}{cell("k")}</w:tr><w:tr>{cell("1")}{cell("2")}</w:tr></w:tbl></w:body></w:document>'
+    assert extract.docx_sections(_zip(**{"word__document.xml": doc, "word__styles.xml": styles})) == [("Title", "body\nkept\nh: 1; k: 2")]
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    row = lambda n, *v: f'<row r="{n}">' + "".join(f'<c r="{chr(65 + k)}{n}" {a}><v>{x}</v></c>' for k, (a, x) in enumerate(v)) + "</row>"
+    txt, num, day = 't="str"', "", 's="1"'
+    sheet = f'<worksheet {s}><sheetData>{row(1, (txt, "a"), (txt, "b"), (txt, "c"), (txt, "d"))}{row(2, (num, "1"), (day, "45292"), (num, "3"), (num, "4"))}</sheetData></worksheet>'
+    parts = {"xl__workbook.xml": f'<workbook {s}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl___rels__workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>', "xl__worksheets__s.xml": sheet, "xl__styles.xml": f'<styleSheet {s}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'}
+    parts = {k.replace("xl___rels__", "xl/_rels/"): v for k, v in parts.items()}
+    assert extract.xlsx_sections(_zip(**parts)) == [("S", "[S] a: 1; b: 2024-01-01; c: 3; d: 4")]
+    assert extract.extract(b"PK nonsense", "docx")[1] == "CORRUPTED_FILE"
+    bomb = _zip(**{"word__document.xml": "0" * (4 << 20)})
+    assert extract.extract(bomb, "docx")[1] == "CORRUPTED_FILE"
+
+
+def test_index_and_ask(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "sub").mkdir(parents=True)
+    (root / "a.md").write_text("# Uploads\nPress the button to upload a scan.\n# Errors\nRestart the service.")
+    (root / "sub" / "copy.md").write_text((root / "a.md").read_text())
+    (root / "b.txt").write_bytes(b"\xff\xff")
+    (root / ".hidden.md").write_text("x")
+    (root / "~$lock.docx").write_text("x")
+    model, embedder = e.EmbeddingModel("hash", 256), e.HashingEmbedder(256)
+    documents, chunks = dataflows.index_folder(spark, str(root), embedder, model, "c")
+    dataflows.save(documents, chunks, str(tmp_path / "out"))
+    saved = spark.read.parquet(str(tmp_path / "out/documents"))
+    assert sorted((r.rel_path, r.status) for r in saved.collect()) == [("a.md", "INDEXED"), ("b.txt", "FAILED"), ("sub/copy.md", "SKIPPED_DUPLICATE")]
+    chunks = spark.read.parquet(str(tmp_path / "out/chunks"))
+    assert [r.text for r in chunks.orderBy("chunk_index").collect()] == ["[Uploads]\nPress the button to upload a scan.", "[Errors]\nRestart the service."]
+    q = spark.createDataFrame([(1, "How do I upload a scan?"), (2, "erase the patient chart")], "query_id int, question string").withColumn("embedding", e.embed(F.col("question"), embedder))
+    for kind in ({}, {"hybrid": True}, {"reranker": e.OverlapReranker()}):
+        top = dataflows.retrieve(q, chunks, 1, **kind).where("query_id = 1").join(chunks, F.col("item_id") == F.col("chunk_id")).first()
+        assert "upload" in top.text
+    got = {r.query_id: r for r in dataflows.ask(q, chunks, e.ExtractiveGenerator(), "cannot answer", k=1, min_score=0.1, scope_pattern="erase").collect()}
+    assert got[1].refusal_reason is None and got[1].cited == [0] and got[2].refusal_reason == "OUT_OF_SCOPE"
+    seen = []
+    for _ in range(2):
+        incremental.run_available(spark, str(root), str(tmp_path / "ck"), lambda df, k: seen.extend(r.rel_path for r in df.collect()))
+    assert sorted(seen) == ["a.md", "b.txt", "sub/copy.md"]
+
+
+def test_guards(tmp_path):
+    (tmp_path / "x").write_text("1")
+    assert files.under_roots(str(tmp_path / "x"), [str(tmp_path)])
+    with pytest.raises(PermissionError):
+        files.under_roots("/etc/passwd", [str(tmp_path)])
+    assert files.read_marker("{") == {} and files.read_marker('{"name": "n"}') == {"name": "n"}
+    with pytest.raises(ValueError):
+        e.EmbeddingModel("m", 1024, sizes=(512,)).check(100)
+    v = e.HashingEmbedder(64).embed(["abc", ""])
+    assert math.isclose(sum(x * x for x in v[0]), 1) and sum(v[1]) == 0
+
+
+def test_registration(spark):
+    run = spark.createDataFrame([("a", "c", None, None), ("b", "c", None, None), ("f", "c", None, None)], "checksum string, corpus string, classification string, edition string")
+    store = spark.createDataFrame([("a", "old", None, None, "INDEXED", "m"), ("f", "c", None, None, "FAILED", "m"), ("z", "old", None, None, "INDEXED", "m")], "checksum string, corpus string, classification string, edition string, status string, embedding_model string")
+    got = {r.checksum: (r.action, r.corpus) for r in index.register(run, store, "m").collect()}
+    assert got == {"a": ("retag", "c"), "b": ("insert", "c"), "f": ("reprocess", "c"), "z": ("keep", "old")}
