@@ -49,7 +49,7 @@ def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item: str = "it
     return scored.select(query, item, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, tables: int = 24, bits: int = 6, seed: int = 5, item: str = "item_id", query: str = "query_id", embedding: str = "embedding", dims: int = 64) -> DataFrame:
+def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, tables: int = 24, bits: int = 4, seed: int = 5, item: str = "item_id", query: str = "query_id", embedding: str = "embedding", dims: int = 64) -> DataFrame:
     """Approximate top k: random hyperplanes in ``tables`` tables name candidates, exact cosines rank them."""
     import numpy as np
     import pandas as pd

@@ -454,7 +454,7 @@ q as (select *, case vr when 'DA' then case when not regexp_matches(x, '^[0-9]{{
  when 'UI' then case when length(x) > 64 then 'length' when regexp_matches(x, '(^|\.)0[0-9]') then 'leading zero' end
  when 'CS' then case when length(trim(x)) > 16 then 'length' when not regexp_matches(x, '^[A-Z0-9 _]*$') then 'characters' end
  else case when not regexp_matches(x, '^([01][0-9]|2[0-3])([0-5][0-9]([0-5][0-9]|60)?)?$') then 'format' end end as problem from p)
-select file, path, 'L1-FORMAT-' || vr as code, problem as action from q where problem is not null""")
+select file, path, 'L1-FORMAT-' || vr as code, string_agg(distinct problem, ',' order by problem) as action from q where problem is not null group by file, path, tag, keyword, vr""")
 def header_formats(spark, sf):
     return conformance.format_findings(_tags(spark, sf)).select("file", "path", "code", "action")
 
