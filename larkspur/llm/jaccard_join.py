@@ -127,11 +127,20 @@ def unpack_set(raw) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_WORDS * 64, dtype=np.uint8)
-    bits[(hashes >> np.uint64(16)) % np.uint64(SIGNATURE_WORDS * 64)] = 1
+    """A bitmap of the shingles, at least twice as wide as there are shingles; it folds to any narrower width."""
+    words = SIGNATURE_WORDS
+    while words * 32 < len(hashes):
+        words *= 2
+    bits = np.zeros(words * 64, dtype=np.uint8)
+    bits[(hashes >> np.uint64(16)) % np.uint64(words * 64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def fold(raw, words: int) -> np.ndarray:
+    """A bitmap at a narrower width."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, dtype=np.uint64).reshape(-1, words), axis=0)
+
+
 def least_overlap(n: np.ndarray | int):
     """The least number of shingles that a document of ``n`` has in common with one that it links with."""
     return -(-PERCENT * n // 100)
@@ -353,7 +362,11 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(v.as_buffer() for v in column), dtype=np.uint64).reshape(-1, SIGNATURE_WORDS)
+    """Bitmaps folded to the width that trees take."""
+    raws = [v.as_buffer() for v in column]
+    if all(len(r) == 8 * SIGNATURE_WORDS for r in raws):
+        return np.frombuffer(b"".join(raws), dtype=np.uint64).reshape(-1, SIGNATURE_WORDS)
+    return np.stack([fold(r, SIGNATURE_WORDS) for r in raws])
 
 
 def _cell_pairs(cells: DataFrame) -> DataFrame:
@@ -400,13 +413,21 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                levels = []
-                for k in (2, 4):
-                    sig, n = _signatures(b.column(k + 1)), b.column(k).to_numpy()
-                    levels.append((sig, n, n, n - np.bitwise_count(sig).sum(axis=1), np.full(len(n), -1)))
-                at = np.arange(b.num_rows)
-                yield b.select([0, 1]).filter(pa.array(_possible(levels[0], at, levels[1], at)))
+            n_a, n_b = b.column(2).to_numpy(), b.column(4).to_numpy()
+            s_a, s_b = ([v.as_buffer() for v in b.column(k)] for k in (3, 5))
+            words = np.array([min(len(x), len(y)) // 8 for x, y in zip(s_a, s_b)], dtype=np.int64)
+            ok = np.zeros(b.num_rows, dtype=bool)
+            for w in np.unique(words):
+                at = np.flatnonzero(words == w)
+                for k in range(0, len(at), 4096):
+                    part = at[k : k + 4096]
+                    levels = []
+                    for n, s in ((n_a[part], s_a), (n_b[part], s_b)):
+                        sig = np.stack([fold(s[i], int(w)) for i in part])
+                        levels.append((sig, n, n, n - np.bitwise_count(sig).sum(axis=1), np.full(len(n), -1)))
+                    every = np.arange(len(part))
+                    ok[part] = _possible(levels[0], every, levels[1], every)
+            yield b.select([0, 1]).filter(pa.array(ok))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, _PAIRS)
 
@@ -509,8 +530,8 @@ def components(docs: DataFrame) -> DataFrame:
     links = stage(_verified(tried, sets), "hub-links")
     labels = connected(links)
 
-    pairs = _cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets)).join(tried, ["a", "b"], "left_anti")
-    more = stage(_verified(stage(pairs, "tree-pairs"), sets), "tree-links")
+    pairs = stage(_cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets)).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+    more = stage(_verified(stage(_plausible(pairs, sets), "close-pairs"), sets), "tree-links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more))
 
