@@ -122,6 +122,19 @@ def located(evidence: DataFrame, sections: DataFrame) -> DataFrame:
     return joined.groupBy("id", "quote").agg(F.bool_or(F.contains(even("text"), even("quote"))).alias("found"))
 
 
+def sought(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Quotes (id, q) found in texts (t): t, id. A quote is looked for only where its longest inner word occurs, so
+    texts meet few quotes; quotes without inner words meet every text. Quotes are a list written by hand."""
+    words = F.split("q", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = quotes.withColumn("w", F.get(F.array_sort(inner, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0)))
+    keys = keyed.where("w is not null").agg(F.collect_set("w").alias("keys"))  # one row
+    met = texts.join(F.broadcast(keys)).select("t", F.explode(F.array_intersect(F.split("t", " "), F.col("keys"))).alias("w"))
+    found = met.join(F.broadcast(keyed.select("id", "q", "w")), "w").where(F.contains("t", "q")).select("t", "id")
+    short = texts.join(F.broadcast(keyed.where("w is null").select("id", "q")), F.contains("t", "q")).select("t", "id")
+    return found.unionByName(short)
+
+
 def letter(answer: Column) -> Column:
     """The option letter of a closed-book answer."""
     return F.nullif(F.upper(F.regexp_extract(answer, r"(?i)^\s*\(?([A-E])\b", 1)), F.lit(""))

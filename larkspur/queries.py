@@ -343,8 +343,7 @@ def evidence_locator(spark, sf):
     quotes = _table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("corpus").alias("file"), F.expr("left(text, 60)").alias("quote"))
     sections = _table(spark, sf, "documents").select(F.lit("corpus").alias("file"), "text")
     even = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    # the quotes are a list written by hand; each is sought in every text
-    hit = sections.select(even("text").alias("t")).join(F.broadcast(quotes.select("id", even("quote").alias("q"))), F.contains("t", "q"), "inner").select("id").distinct().withColumn("found", F.lit(True))
+    hit = evaluate.sought(sections.select(even("text").alias("t")), quotes.select("id", even("quote").alias("q"))).select("id").distinct().withColumn("found", F.lit(True))
     return quotes.join(hit, "id", "left").select(F.col("id").alias("item_id"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
