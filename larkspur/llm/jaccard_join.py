@@ -40,6 +40,7 @@ CELL = 2048
 FREQUENT_SHARE = 512
 MOST_FREQUENT = 1 << 18
 FILTER_BITS = 23
+PER_EXTRA = 32
 BUCKET_SHINGLES = 4_000_000
 
 _PIECE = 1 << 20
@@ -146,30 +147,37 @@ def least_overlap(n: np.ndarray | int):
     return -(-PERCENT * n // 100)
 
 
+def extra(n: np.ndarray | int):
+    """How many shingles beyond the shortest prefix are indexed. With them linked documents share one more than the
+    smaller of their extras, so that a document which shares fewer, as most do by chance, links with nothing."""
+    return n // PER_EXTRA
+
+
 def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= PERCENT * (a + b - common)
 
 
 # --- 1. sets ---------------------------------------------------------------------------------------------------
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary())])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            n, k1, k2, sig, tokens = [], [], [], [], []
+            n, k1, k2, sig, wide, tokens = [], [], [], [], [], []
             for s in shingle_sets(texts):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 n.append(len(s))
                 k1.append(key[0])
                 k2.append(key[1])
-                sig.append(signature(s))
+                wide.append(signature(s))
+                sig.append(fold(wide[-1], SIGNATURE_WORDS).tobytes())
                 tokens.append(pack_set(s))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(c, f.type) for c, f in zip((n, k1, k2, sig, tokens), list(_SETS)[2:]))], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(c, f.type) for c, f in zip((n, k1, k2, sig, wide, tokens), list(_SETS)[2:]))], schema=_SETS)
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, sig binary, tokens binary")
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, sig binary, wide binary, tokens binary")
 
 
 # --- 2. blocks -------------------------------------------------------------------------------------------------
@@ -216,7 +224,7 @@ def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 values, heavy, row = values[order], heavy[order], row[order]
                 held = np.bincount(row, minlength=end - at)
                 first = np.cumsum(held) - held
-                keep = np.arange(len(row)) - first[row] < (held - least_overlap(held) + 1)[row]
+                keep = np.arange(len(row)) - first[row] < (held - least_overlap(held) + 1 + extra(held))[row]
                 values, place = values[keep], (rid[at:end] - rid[at]).astype(np.uint16)[row[keep]]
                 bucket = np.where(heavy[keep], -1, (values % np.uint64(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
@@ -254,10 +262,10 @@ def _common_rows(prefixes: DataFrame) -> DataFrame:
 
 
 def _rare_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """Distinct sets of documents that share a rare shingle: b1, b2 (their hash) and rid, a row for each member."""
+    """Distinct sets of documents that share rare shingles: b1, b2 (their hash), rid, and c, how many shingles they share;
+    a row for each member."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
 
@@ -266,17 +274,13 @@ def _rare_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
             order = np.lexsort((rid, token))
             token, rid = token[order], rid[order]
             at = _runs(token)
-            keys, members = [], []
+            found: dict[bytes, int] = {}
             for k in np.flatnonzero(np.diff(at) > 1):
-                ids = rid[at[k] : at[k + 1]]
-                key = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(key)
-                    keys.append(np.frombuffer(key, dtype=np.int64))
-                    members.append(ids)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(members, pa.list_(pa.int64()))], ["b1", "b2", "members"])
+                ids = rid[at[k] : at[k + 1]].tobytes()
+                found[ids] = found.get(ids, 0) + 1
+            keys = [np.frombuffer(hashlib.blake2b(ids, digest_size=16).digest(), dtype=np.int64) for ids in found]
+            members = [np.frombuffer(ids, dtype=np.int64) for ids in found]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(list(found.values()), pa.int64())], ["b1", "b2", "members", "c"])
 
         for b in batches:
             if b.num_rows:
@@ -292,8 +296,8 @@ def _rare_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
             yield emit()
 
     dealt = prefixes.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(blocks, "b1 long, b2 long, members array<long>").dropDuplicates(["b1", "b2"])
-    return found.select("b1", "b2", F.explode("members").alias("rid"))
+    found = dealt.mapInArrow(blocks, "b1 long, b2 long, members array<long>, c long")
+    return found.groupBy("b1", "b2").agg(F.first("members").alias("members"), F.sum("c").alias("c")).select("b1", "b2", F.explode("members").alias("rid"), "c")
 
 
 # --- 4. trees --------------------------------------------------------------------------------------------------
@@ -407,9 +411,13 @@ def _cell_pairs(cells: DataFrame) -> DataFrame:
     return cells.select(*order, "outside", "rid", "n", "component", "sig").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS).distinct()
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose signatures admit a link."""
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
+def _plausible(pairs: DataFrame, sets: DataFrame, signatures: str = "sig") -> DataFrame:
+    """Pairs whose signatures admit a link: first the narrow ones, then those as wide as the sets need."""
+    if signatures == "sig":
+        pairs = _plausible(pairs, sets, "narrow")
+        signatures = "wide"
+    column = "wide" if signatures == "wide" else "sig"
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"s_{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -516,12 +524,18 @@ def components(docs: DataFrame) -> DataFrame:
     # from here on each class counts once, by the rid of its first document
     one = stage(sets.select(F.col("rid").alias("of"), *key).join(classes.select(*key, "rid"), key).select("of", "rid", "n"), "class-of")
     to_class = lambda df, names: df.withColumnRenamed("rid", "of").join(one, "of").select(*names, "rid", "n").distinct()
-    common = stage(to_class(common, ["token"]), "common-members")
+    common = to_class(common, ["token"])
+    common = stage(common.join(F.broadcast(common.groupBy("token").agg(F.count("*").alias("f"))), "token").where("f > 1").select("token", "rid", "n"), "common-members")  # a row for each frequent shingle
+    rare = stage(to_class(rare, ["b1", "b2", "c"]), "rare-members")
+    # documents that share too few shingles of their prefix for any link
+    shared = rare.groupBy("rid", "n").agg(F.sum("c").alias("c")).unionByName(common.groupBy("rid", "n").agg(F.count("*").alias("c"))).groupBy("rid", "n").agg(F.sum("c").alias("c"))
+    able = stage(shared.where(F.col("c") > F.floor(PERCENT * F.col("n") / (100 * PER_EXTRA))).select("rid"), "able")
+    rare, common = rare.join(able, "rid", "left_semi"), stage(common.join(able, "rid", "left_semi"), "common-able")
     # blocks of frequent shingles with the same members count once
     h = F.xxhash64("rid")
     names = common.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(h).alias("b1"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("b2")).where("c > 1")
     names = F.broadcast(names.groupBy("b1", "b2", "c").agg(F.min("token").alias("token")))  # a row for each frequent shingle at most
-    members = stage(to_class(rare, ["b1", "b2"]).unionByName(common.join(names, "token").select("b1", "b2", "rid", "n")), "members")
+    members = stage(rare.select("b1", "b2", "rid", "n").unionByName(common.join(names, "token").select("b1", "b2", "rid", "n")), "members")
 
     hubs = stage(members.groupBy("b1", "b2").agg(F.min(F.struct("rid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("b1", "b2", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")), "hubs")
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
