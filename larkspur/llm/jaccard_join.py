@@ -411,12 +411,8 @@ def _cell_pairs(cells: DataFrame) -> DataFrame:
     return cells.select(*order, "outside", "rid", "n", "component", "sig").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS).distinct()
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, signatures: str = "sig") -> DataFrame:
-    """Pairs whose signatures admit a link: first the narrow ones, then those as wide as the sets need."""
-    if signatures == "sig":
-        pairs = _plausible(pairs, sets, "narrow")
-        signatures = "wide"
-    column = "wide" if signatures == "wide" else "sig"
+def _plausible(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs whose signatures in ``column`` (sig: narrow; wide: as wide as the sets need) admit a link."""
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"s_{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,12 +536,13 @@ def components(docs: DataFrame) -> DataFrame:
     hubs = stage(members.groupBy("b1", "b2").agg(F.min(F.struct("rid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("b1", "b2", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")), "hubs")
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
     stars = members.join(hubs, ["b1", "b2"]).where(fits).select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
-    tried = stage(_plausible(stars, sets), "hub-pairs")
+    tried = stage(_plausible(_plausible(stars, sets, "sig"), sets, "wide"), "hub-pairs")
     links = stage(_verified(tried, sets), "hub-links")
     labels = connected(links)
 
     pairs = stage(_cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets)).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
-    more = stage(_verified(stage(_plausible(pairs, sets), "close-pairs"), sets), "tree-links")
+    # the leaves of the trees have been held against each other by their narrow signatures
+    more = stage(_verified(stage(_plausible(pairs, sets, "wide"), "close-pairs"), sets), "tree-links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more))
 
