@@ -40,6 +40,7 @@ CELL = 2048
 FREQUENT_SHARE = 512
 MOST_FREQUENT = 1 << 18
 FILTER_BITS = 23
+SET_ROWS = 1000  # documents whose sets are held at once
 PER_EXTRA = 32
 BUCKET_SHINGLES = 4_000_000
 
@@ -164,7 +165,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.i
 
 def _sets(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, SET_ROWS) for whole in batches for k in range(0, whole.num_rows, SET_ROWS)):
             texts = b.column(1).to_pylist()
             n, k1, k2, sig, wide, tokens = [], [], [], [], [], []
             for s in shingle_sets(texts):
