@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.functions import text as t
 from larkspur.functions import vectors as v
+from larkspur.operators import chunking
 
 RRF_K = 60
 MIN_SCORE = 0.45
@@ -143,3 +148,47 @@ def lexical_rank(scored: DataFrame, k: int, *, query: str = "query_id", item: st
     """The k best by lexical score, then by cosine, then by id. Columns: query, item, lexical, score."""
     order = Window.partitionBy(query).orderBy(F.desc("lexical"), F.desc("score"), item)
     return scored.select(query, item, "lexical", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Sizes and overlaps of the pieces that are compared beside whole texts, so that passages are met by extents of about their length.
+PASSAGES = ((400, 200), (200, 100))
+
+
+def trigram_passages(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """doc_id, item_id and similarity (the largest of the whole text and its pieces) from ``least`` on. texts: doc_id,
+    text; items: item_id, b (distinct trigrams), a question set written by hand."""
+    rows_ = items.where(F.size("b") > 0).select("item_id", "b").collect()
+    if not rows_:
+        return texts.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("similarity")).where("false")
+    known = sorted({g for r in rows_ for g in r.b})
+    place = {g: k for k, g in enumerate(known)}
+    ids, sizes = np.array([r.item_id for r in rows_], dtype=np.int64), np.array([len(r.b) for r in rows_], dtype=np.float64)
+    held = np.zeros((len(known), len(rows_)), dtype=np.float32)
+    for k, r in enumerate(rows_):
+        held[[place[g] for g in r.b], k] = 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                found = [(i, p) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x is not None for p in dict.fromkeys([x, *(p for size, overlap in PASSAGES if len(x) > size for _, p in chunking.pieces(x, size, overlap))])]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], ["doc_id", "piece"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(known, pa.string())
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                n = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.index_in(part.column(1).flatten(), value_set=vocabulary)
+                row, here = np.repeat(np.arange(len(n)), n), at.is_valid().to_numpy(zero_copy_only=False)
+                has = np.zeros((len(n), len(known)), dtype=np.float32)
+                has[row[here], at.drop_null().to_numpy()] = 1
+                both = (has @ held).astype(np.float64)
+                similarity = both / (n[:, None] + sizes[None] - both)
+                x, y = np.nonzero(similarity >= least)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x)), pa.array(ids[y]), pa.array(similarity[x, y])], ["doc_id", "item_id", "similarity"])
+
+    pieces = texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece string").select("doc_id", t.trigrams(F.col("piece")).alias("a"))
+    found = pieces.mapInArrow(compare, "doc_id long, item_id long, similarity double")
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))

@@ -153,6 +153,14 @@ def trigram_similarity(spark, sf):
     return s.where("similarity >= 0.3").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def trigram_similarity_whole(spark, sf):
+    """The best similarity of each document of any length, or of a piece of it, with each benchmark text."""
+    d = _table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    b = _table(spark, sf, "benchmark").select("item_id", t.trigrams(F.col("text")).alias("b"))
+    return search.trigram_passages(d, b, 0.3).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 # --- chunks, sections, layout ----------------------------------------------------------------------------------
 
 

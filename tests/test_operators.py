@@ -39,6 +39,32 @@ def test_trigrams(spark):
     assert r.a == ["  w", " wo", "wor", "ord", "rd "] and r.s == pytest.approx(0.3636, abs=1e-4)
 
 
+def test_trigrams_of_long_texts(spark):
+    from larkspur.functions.text import _ordered_trigrams
+    from larkspur.operators import chunking, search
+
+    item = "the harbour pilots keep a ledger of every tide and every lantern that was lit along the northern quay"
+    long = " ".join(f"filler{k} stone{k * 7}" for k in range(600))
+    docs = [(1, f"{long} {item} {long}"), (2, long), (3, item), (4, None), (5, ""), (6, f"{item} and more")]
+    got = {(r.doc_id, r.item_id): r.similarity for r in search.trigram_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string").select("item_id", t.trigrams(F.col("text")).alias("b")), 0.3).collect()}
+    b, want = set(_ordered_trigrams(item)), {}
+    for i, x in docs:
+        for p in [x or "", *(p for size, overlap in search.PASSAGES for _, p in chunking.pieces(x or "", size, overlap))]:
+            a = set(_ordered_trigrams(p))
+            if (s := len(a & b) / len(a | b)) >= 0.3:
+                want[i, 7] = max(s, want.get((i, 7), 0))
+    assert set(got) == {(1, 7), (3, 7), (6, 7)} and got == pytest.approx(want)
+
+
+def test_whole_trigram_query_holds_the_short_one(spark):
+    from larkspur.queries import QUERIES
+    from tests import oracle
+
+    whole = {(r.doc_id, r.item_id): r.similarity for r in QUERIES["trigram_similarity_whole"](spark, oracle.DATA).collect()}
+    short = QUERIES["trigram_similarity"](spark, oracle.DATA).collect()
+    assert len(whole) > len(short) and all(whole[r.doc_id, r.item_id] >= r.similarity for r in short)
+
+
 def test_citations_and_refusals(spark):
     r = one(spark, t.citations(F.lit("a [2] b [1][2] [9]"), F.lit(3)).alias("c"), t.is_refusal(F.lit("cannot answer"), "cannot").alias("x"), t.is_refusal(F.lit("cannot [1]"), "cannot").alias("y"))
     assert r.c == [1, 0] and r.x and not r.y
