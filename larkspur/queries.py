@@ -348,7 +348,16 @@ def question_language(spark, sf):
 
 @query(r"""select b.item_id, count(*) filter (where contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(left(b.text, 60), '\s+', ' ', 'g')))) > 0 as found from benchmark b, documents d group by 1""")
 def evidence_locator(spark, sf):
-    quotes = _table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("corpus").alias("file"), F.expr("left(text, 60)").alias("quote"))
+    return _located(spark, sf, F.expr("left(text, 60)"))
+
+
+@query(r"""select b.item_id, count(*) filter (where contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))) > 0 as found from benchmark b, documents d group by 1""")
+def evidence_locator_whole(spark, sf):
+    return _located(spark, sf, F.col("text"))
+
+
+def _located(spark, sf, quote):
+    quotes = _table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("corpus").alias("file"), quote.alias("quote"))
     sections = _table(spark, sf, "documents").select(F.lit("corpus").alias("file"), "text")
     even = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     hit = evaluate.sought(sections.select(even("text").alias("t")), quotes.select("id", even("quote").alias("q"))).select("id").distinct().withColumn("found", F.lit(True))

@@ -26,3 +26,12 @@ def test_chunks_are_those_of_the_texts(spark):
 def test_html_sections_lose_no_words(spark):
     rows = QUERIES["html_sections"](spark, oracle.DATA).collect()
     assert rows and all(r.error_type is None and r.text and "<" not in r.text for r in rows)
+
+
+def test_evidence_is_sought_to_its_end(spark, tmp_path):
+    item = "a" * 20 + " opening words of the item that many texts share, then its own end"
+    spark.createDataFrame([(1, item), (2, item[:60] + " another end"), (3, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"before\n{item.replace(' ', '  ')} after"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda name: {r.item_id: r.found for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found("evidence_locator_whole") == {1: True, 2: False, 3: False}
+    assert found("evidence_locator") == {1: True, 2: True, 3: False}
