@@ -16,6 +16,9 @@ from larkspur.llm import exact_dedup, jaccard_join, packing, pseudonyms, quality
 from larkspur.llm.common import shared_folder
 
 SEQUENCE_TOKENS = 2048
+#: Near copies share this percentage of their distinct shingles of so many words.
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -31,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, NEAR_SHINGLE, NEAR_PERCENT)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

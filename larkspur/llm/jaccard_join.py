@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard join by signature trees, and the connected components of its links.
 
-Two documents link when ``100 * |A & B| >= PERCENT * |A | B|`` for their sets of distinct 4-word shingles. The join is
+Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct shingles of ``shingle`` words. The join is
 exact (up to collisions of 64-bit hashes; common shingles are counted on 48 bits):
 
 1. Documents of equal sets form a class; one of each class goes on.
-2. Blocks. Whatever the order of shingles, two linked documents share one of the first ``n - ceil(PERCENT/100 n) + 1``
+2. Blocks. Whatever the order of shingles, two linked documents share one of the first ``n - ceil(percent/100 n) + 1``
    of either. Shingles are ordered by hash, those that many documents hold last: blocks of rare shingles stay small,
    and blocks of frequent ones only take documents that consist of frequent shingles, mostly clusters of near copies.
 3. Hubs. Every block's members are held against its first one. That alone joins most of a cluster, with as many
@@ -15,7 +15,7 @@ exact (up to collisions of 64-bit hashes; common shingles are counted on 48 bits
    one component. Large blocks are dealt into cells, members outside the largest component against all members.
 5. Pairs left over are verified on their whole sets. Components come from label propagation on the links.
 
-Null and empty texts have no shingles, link with nothing and are components of their own; fewer than four words form
+Null and empty texts have no shingles, link with nothing and are components of their own; fewer words than a shingle has form
 one shingle; null ids sort last; repeated rows are copies; an empty table gives no rows.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices, stage, unstage
 
+#: What op10's SQL takes; callers without it give their own.
 SHINGLE = 4
 PERCENT = 85
 SIGNATURE_WORDS = 16  # of 64 bits each
@@ -91,7 +92,7 @@ def _long_words(raw: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
     for a, b in slices(texts, _PIECE // 2):
         raws = [(t or "").encode().lower() for t in texts[a:b]]  # bytes.lower() changes A-Z alone
@@ -102,10 +103,10 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             ends = np.cumsum([len(r) + 1 for r in raws])
             words = np.split(joined, np.searchsorted(start, ends)[:-1])
         for w in words:
-            if len(w) >= SHINGLE:
-                s = w[: len(w) - SHINGLE + 1]
-                for k in range(1, SHINGLE):
-                    s = s * _ROOT + w[k : len(w) - SHINGLE + 1 + k]
+            if len(w) >= shingle:
+                s = w[: len(w) - shingle + 1]
+                for k in range(1, shingle):
+                    s = s * _ROOT + w[k : len(w) - shingle + 1 + k]
                 yield np.unique(_mix(s))
             elif len(w):
                 s = np.full(1, len(w), dtype=np.uint64)
@@ -143,9 +144,9 @@ def fold(raw, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(raw, dtype=np.uint64).reshape(-1, words), axis=0)
 
 
-def least_overlap(n: np.ndarray | int):
+def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     """The least number of shingles that a document of ``n`` has in common with one that it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def extra(n: np.ndarray | int):
@@ -154,8 +155,8 @@ def extra(n: np.ndarray | int):
     return n // PER_EXTRA
 
 
-def linked(common: int, a: int, b: int) -> bool:
-    return 100 * common >= PERCENT * (a + b - common)
+def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * common >= percent * (a + b - common)
 
 
 # --- 1. sets ---------------------------------------------------------------------------------------------------
@@ -163,12 +164,12 @@ def linked(common: int, a: int, b: int) -> bool:
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary())])
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, SET_ROWS) for whole in batches for k in range(0, whole.num_rows, SET_ROWS)):
             texts = b.column(1).to_pylist()
             n, k1, k2, sig, wide, tokens = [], [], [], [], [], []
-            for s in shingle_sets(texts):
+            for s in shingle_sets(texts, shingle):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 n.append(len(s))
                 k1.append(key[0])
@@ -208,7 +209,7 @@ def _frequent(sets: DataFrame, rows: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in top.select("token").collect()], dtype=np.uint64))
 
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int, percent: int) -> DataFrame:
     """Prefixes as packed entries: bucket (-1: frequent shingles), base, tokens (six bytes each), places (rid - base,
     two bytes each). Copies within a batch are left out here, the rest of them where blocks are made."""
 
@@ -225,7 +226,7 @@ def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 values, heavy, row = values[order], heavy[order], row[order]
                 held = np.bincount(row, minlength=end - at)
                 first = np.cumsum(held) - held
-                keep = np.arange(len(row)) - first[row] < (held - least_overlap(held) + 1 + extra(held))[row]
+                keep = np.arange(len(row)) - first[row] < (held - least_overlap(held, percent) + 1 + extra(held))[row]
                 values, place = values[keep], (rid[at:end] - rid[at]).astype(np.uint16)[row[keep]]
                 bucket = np.where(heavy[keep], -1, (values % np.uint64(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
@@ -320,19 +321,19 @@ class Tree:
             n = self.levels[-1][1]
 
 
-def _possible(a, i: np.ndarray, b, j: np.ndarray) -> np.ndarray:
+def _possible(a, i: np.ndarray, b, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether nodes i of level a and j of level b may hold a link between different components."""
     low, high = a[1][i] + b[1][j], np.minimum(a[2][i], b[2][j])
-    fits = (100 * a[2][i] >= PERCENT * b[1][j]) & (100 * b[2][j] >= PERCENT * a[1][i]) & ((a[4][i] != b[4][j]) | (a[4][i] < 0))
+    fits = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i]) & ((a[4][i] != b[4][j]) | (a[4][i] < 0))
     out = np.zeros(len(i), dtype=bool)
     at = np.flatnonzero(fits)
     common = np.bitwise_count(a[0][i[at]] & b[0][j[at]]).sum(axis=1)
     most = np.minimum(np.minimum(a[3][i[at]], b[3][j[at]]) + common, high[at])
-    out[at] = (100 + PERCENT) * most >= PERCENT * low[at]
+    out[at] = (100 + percent) * most >= percent * low[at]
     return out
 
 
-def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(a: Tree, b: Tree, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in a and b of documents that may link, by descending both trees at once."""
     top = len(a.levels) - 1, len(b.levels) - 1
     i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
@@ -343,7 +344,7 @@ def tree_pairs(a: Tree, b: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             half = len(i) // 2
             todo += [(x, y, i[:half], j[:half]), (x, y, i[half:], j[half:])]
             continue
-        ok = _possible(a.levels[x], i, b.levels[y], j)
+        ok = _possible(a.levels[x], i, b.levels[y], j, percent)
         i, j = i[ok], j[ok]
         if not len(i):
             continue
@@ -374,7 +375,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.stack([fold(r, SIGNATURE_WORDS) for r in raws])
 
 
-def _cell_pairs(cells: DataFrame) -> DataFrame:
+def _cell_pairs(cells: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of all cells: rows b1, b2, i, j, outside, rid, n, component, sig."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +391,7 @@ def _cell_pairs(cells: DataFrame) -> DataFrame:
                 o, m = s + np.flatnonzero(outside[s:e]), s + np.flatnonzero(~outside[s:e])
                 if len(o) and len(m):
                     a, b = (Tree(sig[x], n[x], component[x]) for x in (o, m))
-                    for i, j in tree_pairs(a, b):
+                    for i, j in tree_pairs(a, b, percent):
                         yield _pair_batch(rid[o[i]], rid[m[j]])
 
         for b in batches:
@@ -412,7 +413,7 @@ def _cell_pairs(cells: DataFrame) -> DataFrame:
     return cells.select(*order, "outside", "rid", "n", "component", "sig").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS).distinct()
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
     """Pairs whose signatures in ``column`` (sig: narrow; wide: as wide as the sets need) admit a link."""
     side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"s_{x}"))
 
@@ -431,13 +432,13 @@ def _plausible(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
                         sig = np.stack([fold(s[i], int(w)) for i in part])
                         levels.append((sig, n, n, n - np.bitwise_count(sig).sum(axis=1), np.full(len(n), -1)))
                     every = np.arange(len(part))
-                    ok[part] = _possible(levels[0], every, levels[1], every)
+                    ok[part] = _possible(levels[0], every, levels[1], every, percent)
             yield b.select([0, 1]).filter(pa.array(ok))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, _PAIRS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that link, by their whole sets. A filter of fixed size lets only sets of some pair be shuffled."""
     place = F.pmod(F.xxhash64("rid"), F.lit(1 << FILTER_BITS))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
@@ -460,7 +461,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             n_a, n_b = b.column(2).to_numpy(), b.column(4).to_numpy()
             for k in range(b.num_rows):
                 common = len(np.intersect1d(unpack_set(b.column(3)[k].as_buffer()), unpack_set(b.column(5)[k].as_buffer()), assume_unique=True))
-                ok[k] = linked(common, int(n_a[k]), int(n_b[k]))
+                ok[k] = linked(common, int(n_a[k]), int(n_b[k]), percent)
             yield b.select([0, 1]).filter(pa.array(ok))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "t_a", "n_b", "t_b").mapInArrow(compare, _PAIRS)
@@ -506,15 +507,15 @@ def _cells(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return all_members.unionByName(others)
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, text_hash of every row."""
-    sets = stage(_sets(docs).withColumn("rid", F.monotonically_increasing_id()), "shingle-sets")
+    sets = stage(_sets(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingle-sets")
     key = ["k1", "k2", "n"]
     who = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")
     classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min(who).alias("first"), F.count("*").alias("copies")).select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid"), "copies"), "set-classes")
     size = sets.agg(F.count("*"), F.sum("n")).first()
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size[1] or 0) // BUCKET_SHINGLES)
-    prefixes = stage(_prefixes(sets, _frequent(sets, size[0]), buckets), "prefixes")
+    prefixes = stage(_prefixes(sets, _frequent(sets, size[0]), buckets, percent), "prefixes")
     rare = stage(_rare_blocks(prefixes, buckets), "rare-blocks")
     common = stage(_common_rows(prefixes), "common-rows")
     unstage(prefixes)
@@ -526,7 +527,7 @@ def components(docs: DataFrame) -> DataFrame:
     rare = stage(to_class(rare, ["b1", "b2", "c"]), "rare-members")
     # documents that share too few shingles of their prefix for any link
     shared = rare.groupBy("rid", "n").agg(F.sum("c").alias("c")).unionByName(common.groupBy("rid", "n").agg(F.count("*").alias("c"))).groupBy("rid", "n").agg(F.sum("c").alias("c"))
-    able = stage(shared.where(F.col("c") > F.floor(PERCENT * F.col("n") / (100 * PER_EXTRA))).select("rid"), "able")
+    able = stage(shared.where(F.col("c") > F.floor(percent * F.col("n") / (100 * PER_EXTRA))).select("rid"), "able")
     rare, common = rare.join(able, "rid", "left_semi"), stage(common.join(able, "rid", "left_semi"), "common-able")
     # blocks of frequent shingles with the same members count once
     h = F.xxhash64("rid")
@@ -535,15 +536,15 @@ def components(docs: DataFrame) -> DataFrame:
     members = stage(rare.select("b1", "b2", "rid", "n").unionByName(common.join(names, "token").select("b1", "b2", "rid", "n")), "members")
 
     hubs = stage(members.groupBy("b1", "b2").agg(F.min(F.struct("rid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("b1", "b2", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")), "hubs")
-    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
     stars = members.join(hubs, ["b1", "b2"]).where(fits).select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
-    tried = stage(_plausible(_plausible(stars, sets, "sig"), sets, "wide"), "hub-pairs")
-    links = stage(_verified(tried, sets), "hub-links")
+    tried = stage(_plausible(_plausible(stars, sets, "sig", percent), sets, "wide", percent), "hub-pairs")
+    links = stage(_verified(tried, sets, percent), "hub-links")
     labels = connected(links)
 
-    pairs = stage(_cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets)).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+    pairs = stage(_cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets), percent).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
     # the leaves of the trees have been held against each other by their narrow signatures
-    more = stage(_verified(stage(_plausible(pairs, sets, "wide"), "close-pairs"), sets), "tree-links")
+    more = stage(_verified(stage(_plausible(pairs, sets, "wide", percent), "close-pairs"), sets, percent), "tree-links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more))
 
@@ -554,9 +555,9 @@ def components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the document of the smallest id of each component, columns unchanged; repeated rows count as one."""
-    kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept = components(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = rows.join(stage(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
     return rows.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)

@@ -111,3 +111,37 @@ def test_pipeline_stages(spark, odd, none):
             assert docs.columns == odd.columns
             assert [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").collect()] == ([1, 5, 9], [1], [1], [1])[k]
     assert [r.doc_id for r in docs.collect()] == [1]
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    base = new(1000)
+    rows = [(1, base), (2, base + new(200)), (3, base + new(280)), (4, new(300))]
+    spread = base[:]
+    for k in range(21):
+        spread[20 + 45 * k] = "changed"
+    rows = [(k, " ".join(w)) for k, w in [*rows, (5, spread)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def five(text):
+        w = text.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    links = {(a, b) for (a, x), (b, y) in combinations(rows, 2) if 100 * len(five(x) & five(y)) >= 80 * len(five(x) | five(y))}
+    assert links == {(1, 2), (1, 5)}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in j.keep_one(docs).collect()) == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("shingle,percent", [(5, 80), (3, 60)])
+def test_components_of_other_parameters_equal_brute_force(spark, shingle, percent):
+    rows = corpus(7)
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set() for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in j.components(docs, shingle, percent).collect()} == dict(enumerate(label))
