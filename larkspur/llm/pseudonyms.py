@@ -1,13 +1,14 @@
 """Format-preserving pseudonyms for personal data by a keyed Feistel permutation.
 
 Each value found is validated, read as a number within its format (the digits it may have in each place, valid dates,
-IPv4 octets), permuted within that format, and written back with the same separators and length. Check digits are
-computed anew, so that pseudonyms validate as the values did. The permutation depends on the key and the format
+IPv4 octets), permuted within that format, and written back with the same separators and length (dates with single
+digits may change theirs). Check digits are computed anew, so that pseudonyms validate as the values did. The permutation depends on the key and the format
 alone: equal values get equal pseudonyms in every document, different values different ones.
 
 Kinds, in order of precedence: ``secret`` (an assignment of a long letter-and-digit string to a name such as token),
 ``email`` (the local part), ``iban`` (mod 97), ``card`` (13 to 19 digits, Luhn), ``ssn`` (validated areas), ``phone``
-(+country code), ``ip`` (four octets), ``date`` (a calendar date of 1900-2099). Digits that do not validate are left.
+(+country code; without one, an area code in brackets or the ten digits of North America), ``ip`` (four octets),
+``date`` (a calendar date of 1900-2099; day first where both orders are valid). Digits that do not validate are left.
 
 Null texts stay null and have no findings; empty texts stay empty; repeated rows each give a row.
 """
@@ -32,6 +33,8 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 _LATIN_LOWER = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 _LATIN_UPPER = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
 _CLASS = {c: a for a in (_LOWER, _UPPER, _DIGITS, _LATIN_LOWER, _LATIN_UPPER) for c in a}
+#: Country codes of two digits; +1 and +7 have one, all others three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -121,8 +124,26 @@ def ssn(key: bytes, m: re.Match) -> str | None:
             return f"{a:03d}-{g:02d}-{s:04d}"
 
 
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3]
+
+
 def phone(key: bytes, m: re.Match) -> str | None:
-    return permute_places(key, "phone", m[0], len(m["country"])) if 8 <= sum(c.isdigit() for c in m[0]) <= 15 else None
+    form = m[0].replace("(0)", "(x)")  # a trunk prefix, not dialled after a country code
+    digits = "".join(c for c in form if c.isdigit())
+    if form[0] == "+":
+        if not 8 <= len(digits) <= 15:
+            return None
+        code, body = country_code(digits), digits[len(country_code(digits)) :]
+    elif len(digits) == 11 and digits[0] == "1":
+        code, body = "1", digits[1:]
+    elif 9 <= len(digits) <= 11:
+        code, body = "1" if len(digits) == 10 else "", digits
+    else:
+        return None
+    new = permute_places(key, f"phone{code}", body)
+    return _refill(form, digits[: len(digits) - len(body)] + new).replace("(x)", "(0)")
 
 
 def ip(key: bytes, m: re.Match) -> str | None:
@@ -133,18 +154,26 @@ def ip(key: bytes, m: re.Match) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def date(key: bytes, m: re.Match) -> str | None:
-    y, mo, d = (m["y"], m["mo"], m["d"]) if m["y"] else (m["y2"], m["mo2"], m["d2"])
+def _calendar(y: str, mo: str, d: str) -> dt.date | None:
     try:
-        day = (dt.date(int(y), int(mo), int(d)) - _DAY0).days
+        day = dt.date(int(y), int(mo), int(d))
     except ValueError:
         return None
-    if not 0 <= day < _DAYS:
+    return day if 0 <= (day - _DAY0).days < _DAYS else None
+
+
+def date(key: bytes, m: re.Match) -> str | None:
+    first, second, s = (m["mo"], m["d"], m["s"]) if m["y"] else (m["p1"], m["p2"], m["s2"])
+    month_first = bool(m["y"])
+    day = _calendar(m["y"], first, second) if m["y"] else _calendar(m["y2"], second, first)
+    if day is None and not m["y"]:
+        day, month_first = _calendar(m["y2"], first, second), True
+    if day is None:
         return None
-    new = _DAY0 + dt.timedelta(days=permute(key, "date", day, _DAYS))
-    if m["y"]:
-        return f"{new.year:04d}{m['s']}{new.month:02d}{m['s']}{new.day:02d}"
-    return f"{new.day:02d}{m['s2']}{new.month:02d}{m['s2']}{new.year:04d}"
+    new = _DAY0 + dt.timedelta(days=permute(key, "date", (day - _DAY0).days, _DAYS))
+    width = 1 if 1 in (len(first), len(second)) else 2
+    a, b = (f"{x:0{width}d}" for x in ((new.month, new.day) if month_first else (new.day, new.month)))
+    return f"{new.year:04d}{s}{a}{s}{b}" if m["y"] else f"{a}{s}{b}{s}{new.year:04d}"
 
 
 def email(key: bytes, m: re.Match) -> str | None:
@@ -156,15 +185,24 @@ def secret(key: bytes, m: re.Match) -> str | None:
     return m["name"] + permute_places(key, "secret", m["value"], alphabet=hexadecimal)
 
 
+_PHONE = (
+    r"(?:(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
+    r"|(?<![\w+.-])(?:1[ .-]?)?\((?:[0-9]{3}|0[0-9]{1,3})\)[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"
+    r"|(?<![\w+.-])(?:1[ .-])?(?:[0-9]{3}[ .-][0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}))(?![\w-])"
+)
+_DATE = (
+    r"(?<![\w./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s>[-/.])(?P<mo>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})"
+    r"|(?P<p1>[0-9]{1,2})(?P<s2>[-/.])(?P<p2>[0-9]{1,2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?:(?=[Tt][0-9]{2})|(?![\w-]))(?![./][0-9])"
+)
 KINDS: tuple[tuple[str, str, Callable[[bytes, re.Match], str | None]], ...] = (
     ("secret", r"(?P<name>(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{16,512})(?![A-Za-z0-9_+/-])", secret),
     ("email", r"(?P<local>(?<![\w.%+-])[\w.%+-]{1,64})(?P<host>@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![\w-])", email),
     ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
-    ("card", r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\w-])(?!\.[0-9])", card),
+    ("card", r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![\w-])(?!\.[0-9])", card),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
-    ("phone", r"(?<![\w+])(?P<country>\+[0-9]{1,3})[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\w-])", phone),
+    ("phone", _PHONE, phone),
     ("ip", r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-])(?!\.[0-9])", ip),
-    ("date", r"(?<![\w./-])(?:(?P<y>(?:19|20)[0-9]{2})(?P<s>[-/.])(?P<mo>[0-9]{2})(?P=s)(?P<d>[0-9]{2})|(?P<d2>[0-9]{2})(?P<s2>[-/.])(?P<mo2>[0-9]{2})(?P=s2)(?P<y2>(?:19|20)[0-9]{2}))(?![\w-])(?![./][0-9])", date),
+    ("date", _DATE, date),
 )
 _HINT = re.compile("[0-9@]|(?i:passw|secret|token|key)")
 

@@ -186,6 +186,28 @@ def test_pseudonyms():
     assert p.apply(text) == ps.Pseudonymiser(KEY).apply(text) != ps.Pseudonymiser(b"other").apply(text)
 
 
+def test_pseudonyms_of_more_forms():
+    p = ps.Pseudonymiser(KEY)
+    for text, kind in (
+        ("born 12/25/1990.", "date"), ("at 2024-01-05T12:00:00Z", "date"), ("on 1/5/1990,", "date"), ("on 2024-1-5", "date"),
+        ("call (415) 555-2671 now", "phone"), ("call 415-555-2671 now", "phone"), ("call 1-415-555-2671", "phone"), ("call 415.555.2671.", "phone"), ("call +33 1 23 45 67 89", "phone"), ("card 3782 822463 10005", "card"),
+    ):
+        out, found = p.apply(text)
+        assert found == {kind: 1} and out != text, text
+        assert p.apply(out)[1] == {kind: 1}, out
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT12:00:00Z", p.apply("at 2024-01-05T12:00:00Z")[0])
+    y, m, d = p.apply("1990-12-25")[0].split("-")
+    assert p.apply("12/25/1990")[0] == f"{m}/{d}/{y}" and p.apply("25/12/1990")[0] == f"{d}/{m}/{y}"
+    assert p.apply("1990-1-5")[0] == "-".join(str(int(x)) for x in p.apply("1990-01-05")[0].split("-"))
+    for left in ("13/13/1990", "2023-02-29T10:00:00Z", "3782 822463 10006", "31/2/1990"):
+        assert p.apply(left) == (left, {})
+    digits = lambda t: re.sub(r"\D", "", p.apply(t)[0])
+    same = {digits(t) for t in ("+14155552671", "+1 (415) 555-2671", "+1 415-555-2671", "+1 415 555 2671")}
+    assert len(same) == 1 and "415555" not in min(same)
+    assert {"1" + digits(t) for t in ("(415) 555-2671", "415-555-2671")} == same == {digits("1-415-555-2671")}
+    assert digits("+44 20 7946 0958") == digits("+442079460958") == re.sub(r"\D", "", p.apply("+44 (0)20 7946 0958")[0].replace("(0)", ""))
+
+
 def test_pseudonyms_of_odd_rows(odd, none):
     same = lambda df: Counter((r.doc_id, r.text, r.n) for r in df.collect())
     done = ps.pseudonymise(odd, KEY)
