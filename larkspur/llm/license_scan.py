@@ -11,6 +11,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import importlib.resources
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,6 +45,15 @@ this list of conditions and the following disclaimer in the documentation and or
 distribution
 """
 _GNU = "[[this {{work:1-6}} is]] [[free software]] licensed under [[the terms of]] the gnu {{kind}} public license [[as published by the free software foundation]] [[either]] [[v]] version {{number}} [[0]] [[of the license]] [[only]] [[or at your option any later version]]"
+_ISSUED = "as published by the free software foundation [[inc]]"
+_FSF = "[[this {{work:1-6}} is]] [[free software]] [[you can]] redistribute it and or modify it under the terms of"
+#: The Free Software Foundation's notice, with the version after the publisher, after the license and before it.
+_NOTICES = (
+    _FSF + " the gnu {{kind}} public license " + _ISSUED + " [[either]] [[v]] [[version]] {{number}} [[0]] [[1]] [[of the license]] [[only]] [[or at your option any later version]]",
+    _FSF + " the gnu {{kind}} public license [[v]] [[version]] {{number}} [[0]] [[1]] [[of the license]] [[only]] [[or at your option any later version]] " + _ISSUED,
+    _FSF + " [[either]] version {{number}} [[0]] [[1]] [[of the license]] [[or at your option any later version]] of the gnu {{kind}} public license",
+)
+_KINDS = (("gpl", "general"), ("lgpl", "lesser general"), ("agpl", "affero general"))
 
 #: Templates of license texts and notices, by label.
 TEMPLATES = (
@@ -54,7 +64,8 @@ TEMPLATES = (
     ("bsd-3-clause", _BSD + "[[3]] neither the name of {{holder:1-20}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission" + _WARRANTY),
     ("apache-2", "licensed under the apache license version 2 0 [[the license you may not use this {{work:1-6}} except in compliance with the license]]"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    *((f"{label}-{n}", _GNU.replace("{{kind}}", kind).replace("{{number}}", n)) for label, kind in (("gpl", "general"), ("lgpl", "lesser general"), ("agpl", "affero general")) for n in ("2", "3")),
+    *((f"{label}-{n}", _GNU.replace("{{kind}}", kind).replace("{{number}}", n)) for label, kind in _KINDS for n in ("2", "3")),
+    *((f"{label}-{n}", notice.replace("{{kind}}", kind).replace("{{number}}", n)) for label, kind in (*_KINDS, ("lgpl", "library general")) for n in ("2", "3") for notice in _NOTICES),
     *((f"cc-{kind.replace(' ', '-')}-{n}", f"[[this {{{{work:1-6}}}} is]] licensed under [[a]] [[the]] cc {kind} {n} 0 [[international]] [[license]]") for kind in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd") for n in ("3", "4")),
     *((f"cc-{kind}-{n}", f"[[this {{{{work:1-6}}}} is]] licensed under [[a]] [[the]] creative commons {words} {n} 0 [[international]] [[license]]") for kind, words in (("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nc", "attribution noncommercial")) for n in ("3", "4")),
 )
@@ -65,6 +76,16 @@ _IN_WORD[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{(\w+):(\d+)-(\d+)\}\}|[^\s\[\]{}]+")
 _ANY = b"*"
 
+#: Labels of the whole license texts in license_texts, from their first terms to their last.
+TEXTS = ("apache-2", "gpl-2", "gpl-3", "lgpl-2", "lgpl-3", "mpl-2", "cc-by-sa-4")
+
+
+def whole_text(label: str) -> str:
+    """A whole license text as a template: its words, all mandatory."""
+    raw = (importlib.resources.files("larkspur.llm") / "license_texts" / f"{label}.txt").read_bytes()
+    return b" ".join(_WORD.findall(raw.lower())).decode()
+
+
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 _DDL = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -150,9 +171,9 @@ def compile_template(label: str, text: str) -> Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases=PHRASES, templates=TEMPLATES):
+    def __init__(self, phrases=PHRASES, templates=None):
         self.phrases = [(re.compile(rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(map(re.escape, p.encode().split())) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"), label) for p, label in phrases]
-        self.automata = [compile_template(*t) for t in templates]
+        self.automata = [compile_template(*t) for t in (templates or (*TEMPLATES, *((label, whole_text(label)) for label in TEXTS)))]
         # a word of each phrase or anchor; a text without any of them can hold neither
         rare = {max(a.anchor, key=len) for a in self.automata} | {max(p.encode().split(), key=len) for p, _ in phrases}
         self.quick = re.compile(b"|".join(sorted(map(re.escape, rare))))

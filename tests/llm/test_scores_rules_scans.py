@@ -84,6 +84,37 @@ def test_templates():
     assert wrong[5] == "" and wrong[6] < 1
 
 
+@pytest.mark.parametrize("label,name", [("gpl", "General"), ("lgpl", "Lesser General"), ("agpl", "Affero General")])
+@pytest.mark.parametrize("n", ["2", "3"])
+def test_free_software_notices(label, name, n):
+    scan = license_scan.Scanner().scan
+    start = "you can redistribute it and/or modify\n# it under the terms of"
+    issued = "as published by the Free Software Foundation"
+    for text in (
+        f"This program is free software: {start} the GNU {name} Public License {issued}, either version {n} of the License, or (at your option) any later version.",
+        f"Foo is free software; {start} the GNU {name} Public License {issued}; version {n} of the License.",
+        f"{start} the GNU {name} Public License version {n} {issued}.",
+        f"{start} version {n} of the GNU {name} Public License {issued}.",
+    ):
+        assert scan(f"Copyright X.\n{text}\nIt comes without warranty.")[5:] == (f"{label}-{n}", 1.0), text
+    wrong = scan(f"{start} the GNU {name} Public License {issued}, either version 9 of the License.")
+    assert wrong[5] == "" and wrong[6] < 1
+
+
+@pytest.mark.parametrize("label", license_scan.TEXTS)
+def test_whole_license_texts(label):
+    from pathlib import Path
+
+    scan = license_scan.Scanner().scan
+    text = (Path(license_scan.__file__).parent / "license_texts" / f"{label}.txt").read_text()
+    assert len(text.split()) > 900
+    got = scan(f"LICENSE\n{text.upper()}\nEnd of file")
+    assert label in got[5].split(",") and got[6] == 1.0
+    words = text.split()
+    cut = scan(" ".join(words[: len(words) // 2] + words[len(words) // 2 + 40 :]))
+    assert label not in cut[5].split(",")
+
+
 def test_scan_of_odd_rows(odd, none):
     rows = license_scan.scan_licenses(odd).collect()
     assert len(rows) == len(ROWS) and all(r.n_base == 0 and r.first_word is None and r.labels == "" for r in rows)
