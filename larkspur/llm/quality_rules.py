@@ -6,6 +6,9 @@ merge by adding counts, so those of small groups (under ``SMALL`` rows) give way
 then of the corpus. A rate is an outlier beyond its group's quartile by ``REACH`` times the distance of the quartiles,
 which counts as ``slack`` at least where a group is uniform. Documents are joined to their group's fences.
 
+``judge`` takes the low fence by differences, as op4's SQL does; with ``word_chars``' slack it lies near or below the
+least rate that words can have. ``keep_good`` takes it by ratios instead (``LOW_RATIO``), so that it stays above that.
+
 Null texts have no words and fail; null and empty languages or sources form one group; repeated rows each count and
 each give a row; an empty table gives no rows.
 """
@@ -25,6 +28,8 @@ PRECISION = 7
 SMALL = 200
 REACH = 3
 GROUPS_BROADCAST = 20_000
+#: Least ratio of the third quartile to the first, in thousandths, for low fences by ratios.
+LOW_RATIO = 1333
 #: Metric, numerator, denominator, least distance of the quartiles (thousandths), whether low values are outliers too.
 METRICS = (
     ("symbols", "n_symbols", "n_words", 100, False),
@@ -94,8 +99,9 @@ def _group(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def thresholds(counted: DataFrame, c: str) -> DataFrame:
-    """Fences of each language and source: lang, source, and ``{metric}_low`` and ``{metric}_high``."""
+def thresholds(counted: DataFrame, c: str, by_ratio: bool = False) -> DataFrame:
+    """Fences of each language and source: lang, source, and ``{metric}_low`` and ``{metric}_high``. Low ones are below
+    the first quartile by REACH distances of the quartiles, or ``by_ratio`` by their ratio to the power REACH."""
     rates = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(rate(c, top, below)).alias("bucket")) for m, top, below, _, _ in METRICS))
     sketch = (
         counted.select(_group("lang").alias("lang"), _group("source").alias("source"), F.explode(rates).alias("r"))
@@ -118,7 +124,9 @@ def thresholds(counted: DataFrame, c: str) -> DataFrame:
     )
     slack = F.create_map(*(F.lit(x) for m, _, _, s, _ in METRICS for x in (m, s)))[F.col("metric")]
     reach = REACH * F.greatest(F.col("q3") - F.col("q1"), slack)
-    fences = quartiles.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
+    ratio = F.greatest(F.col("q3") / F.nullif(F.col("q1"), F.lit(0)), F.lit(LOW_RATIO / 1000))
+    low = F.floor(F.col("q1") / F.pow(ratio, F.lit(REACH))) if by_ratio else F.col("q1") - reach
+    fences = quartiles.withColumn("low", low).withColumn("high", F.col("q3") + reach)
     wide = fences.groupBy("lang", "source").agg(
         F.max("rows").alias("level_rows"), *(F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m, *_ in METRICS for side in ("low", "high"))
     )
@@ -159,4 +167,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that the rules reject, columns unchanged."""
     counted = with_counts(docs)
     narrow = stage(counted.select("lang", "source", "_q_counts"), "rule-counts")
-    return verdicts(counted, "_q_counts", thresholds(narrow, "_q_counts"), "_q_kept").where(F.col("_q_kept")).select(*docs.columns)
+    return verdicts(counted, "_q_counts", thresholds(narrow, "_q_counts", by_ratio=True), "_q_kept").where(F.col("_q_kept")).select(*docs.columns)

@@ -165,6 +165,15 @@ def test_uniform_groups_are_kept_and_outliers_go(spark):
     assert {r.doc_id for r in rows if not r.kept} == {k for k, *_ in odd}
 
 
+def test_one_letter_words_go_from_a_normal_group(spark):
+    rng = np.random.default_rng(3)
+    clean = [(k, " ".join("w" * int(rng.integers(1, 4)) + f"{k:03d}"[-2:] + "abcdefgh"[j % 8] for j in range(40)), "en", "a") for k in range(300)]
+    letters = [(1000 + k, " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60)), "en", "a") for k in range(5)]
+    docs = spark.createDataFrame([(k, f"{t} {k}", a, b) for k, t, a, b in clean + letters], "doc_id long, text string, lang string, source string")
+    assert quality_rules.judge(docs).where("kept and doc_id >= 1000").count() == 5  # the fence that op4's SQL fixes
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [r.doc_id for r in quality_rules.judge(docs).where("kept and doc_id < 1000").orderBy("doc_id").collect()]
+
+
 # --- op5 -------------------------------------------------------------------------------------------------------
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
