@@ -11,12 +11,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 _POSITION_BITS = 33
+#: Bits of the filters that ``slots`` makes, and rows of the one that ``keep_marked`` broadcasts at most.
+FILTER_BITS = 24
+KEPT_SLOTS = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +60,61 @@ def unstage(*tables: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slots(values: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the low bits of a long column ``slot``, as 64-bit words; its size doesn't grow with the data."""
+    low = F.col("slot").bitwiseAND(F.lit((1 << bits) - 1))
+    words = values.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    found = words.toArrow()  # one row for each word at most
+    out = np.zeros(1 << bits - 6, dtype=np.int64)
+    out[found.column("w").to_numpy()] = found.column("m").to_numpy()
+    return out
+
+
+def passing(df: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose last column, ``slot``, is in a bitmap of ``slots``: all that were put in and few others."""
+    mask, last = len(words) * 64 - 1, len(df.columns) - 1
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column(last).to_numpy() & mask
+            yield b.filter(pa.array((words[p >> 6] >> (p & 63)) & 1 == 1))
+
+    return df.mapInArrow(rows, df.schema)
+
+
+def text_hash(column: Column | str = "text") -> Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
+def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``marked`` (doc_id, text_hash, drop) says to drop, and with one row of those that it
+    lists without dropping them. Only rows that share a slot with a marked one are shuffled; the table of slots that is
+    broadcast has at most KEPT_SLOTS rows, whatever the data. Columns are unchanged, whatever their names."""
+    own, slot, hit, m_id, m_hash, m_drop = fresh(docs, "own", "slot", "hit", "m_id", "m_hash", "m_drop")
+    place = lambda doc, text: F.pmod(F.xxhash64(doc, text), F.lit(KEPT_SLOTS))
+    marked = stage(marked, "marked-rows")
+    hits = F.broadcast(marked.select(place("doc_id", "text_hash").alias(hit)).distinct())
+    rows = docs.withColumn(own, text_hash()).withColumn(slot, place(F.col("doc_id").cast("long"), F.col(own)))
+    rest = rows.join(hits, F.col(slot) == F.col(hit), "left_anti").select(*docs.columns)
+    some = rows.join(hits, F.col(slot) == F.col(hit), "left_semi")
+    marks = marked.select(F.col("doc_id").alias(m_id), F.col("text_hash").alias(m_hash), F.col("drop").alias(m_drop))
+    some = some.join(marks, F.col("doc_id").eqNullSafe(F.col(m_id)) & (F.col(own) == F.col(m_hash)), "left")
+    once = some.where(~F.col(m_drop)).dropDuplicates(["doc_id", own])
+    return rest.unionByName(some.where(F.col(m_drop).isNull()).select(*docs.columns)).unionByName(once.select(*docs.columns))
+
+
 def positions(df: DataFrame, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """Number all rows from 0 in the order of ``order`` (column ``pos``) without a single-task window.
 

@@ -4,19 +4,24 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 exact (up to collisions of 64-bit hashes; common shingles are counted on 48 bits):
 
 1. Documents of equal sets form a class; one of each class goes on.
-2. Blocks. Whatever the order of shingles, two linked documents share one of the first ``n - ceil(percent/100 n) + 1``
-   of either. Shingles are ordered by hash, those that many documents hold last: blocks of rare shingles stay small,
-   and blocks of frequent ones only take documents that consist of frequent shingles, mostly clusters of near copies.
-3. Hubs. Every block's members are held against its first one. That alone joins most of a cluster, with as many
-   comparisons as members.
-4. Signature trees. Where a block's members are not yet in one component, trees are built over them, whose nodes hold
-   OR-combined bitmaps of shingles, ranges of sizes and the component, if it is one. Two trees are descended together;
-   pairs of nodes go when their largest possible overlap is below the least that a link takes, or when both lie within
-   one component. Large blocks are dealt into cells, members outside the largest component against all members.
-5. Pairs left over are verified on their whole sets. Components come from label propagation on the links.
+2. Marks. A share of each document's shingles is counted; those found often are marked in a bitmap of fixed size. Any
+   marks would do, for they only order shingles: unmarked ones first, then by hash.
+3. Blocks. Whatever the order, two linked documents share one of the first ``n - ceil(percent/100 n) + 1`` shingles of
+   either, and their first common one has enough shingles behind it in both. So each member of a block has a reach: the
+   largest document that it can link with there. Blocks of marked shingles only take documents that hold few others.
+4. Hubs. Every block's members are held against the one whose common shingle comes first, the likeliest original. That
+   joins most of a cluster with as many comparisons as members.
+5. The rest of each block that isn't one component yet. Up to LEAF members: pairs within reach of different components.
+   More: blocks of one main component are put together and dealt into cells; in each, signature trees are built over the
+   members, whose nodes hold OR-combined bitmaps of shingles, ranges of sizes, reach and component. Two trees are
+   descended together; pairs of nodes go when their largest possible overlap is below the least that a link takes. The
+   bitmaps of a cell are exact, so leaves that are left link; those that join components are given out.
+6. Pairs are verified on their whole sets. Components come from label propagation on the links.
 
 Null and empty texts have no shingles, link with nothing and are components of their own; fewer words than a shingle has form
-one shingle; null ids sort last; repeated rows are copies; an empty table gives no rows.
+one shingle; null ids sort last; repeated rows are copies, ties of size or hash don't matter; an empty table gives no rows.
+Texts of any length are read whole, in pieces. ``components`` reads doc_id and text alone; other columns, whatever their names,
+are left out by it and unchanged by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,23 +31,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import slices, stage, unstage
+from larkspur.llm.common import keep_marked, passing, slices, slots, stage, unstage
 
 #: What op10's SQL takes; callers without it give their own.
 SHINGLE = 4
 PERCENT = 85
-SIGNATURE_WORDS = 16  # of 64 bits each
+SIGNATURE_WORDS = 16  # of 64 bits each, at least
 FANOUT = 16
+#: Members of a block whose pairs are tried without trees.
+LEAF = 64
+#: A cell's documents and shingles, about.
 CELL = 2048
-#: A shingle is frequent from this share of the documents on; the list of them is bounded by MOST_FREQUENT.
-FREQUENT_SHARE = 512
-MOST_FREQUENT = 1 << 18
-FILTER_BITS = 23
+CELL_SHINGLES = 400_000
+#: One of so many shingles of a document is counted; from LEAST_COUNT on they are marked, but no more than MOST_MARKED.
+SAMPLE = 8
+LEAST_COUNT = 4
+MARK_BITS = 24
+MOST_MARKED = 1 << 21
 SET_ROWS = 1000  # documents whose sets are held at once
-PER_EXTRA = 32
 BUCKET_SHINGLES = 4_000_000
 
 _PIECE = 1 << 20
@@ -149,37 +158,30 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def extra(n: np.ndarray | int):
-    """How many shingles beyond the shortest prefix are indexed. With them linked documents share one more than the
-    smaller of their extras, so that a document which shares fewer, as most do by chance, links with nothing."""
-    return n // PER_EXTRA
-
-
 def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
 # --- 1. sets ---------------------------------------------------------------------------------------------------
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("wide", pa.binary()), ("tokens", pa.binary())])
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, SET_ROWS) for whole in batches for k in range(0, whole.num_rows, SET_ROWS)):
-            texts = b.column(1).to_pylist()
-            n, k1, k2, sig, wide, tokens = [], [], [], [], [], []
-            for s in shingle_sets(texts, shingle):
+            n, k1, k2, wide, tokens = [], [], [], [], []
+            for s in shingle_sets(b.column(1).to_pylist(), shingle):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                 n.append(len(s))
                 k1.append(key[0])
                 k2.append(key[1])
                 wide.append(signature(s))
-                sig.append(fold(wide[-1], SIGNATURE_WORDS).tobytes())
                 tokens.append(pack_set(s))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(c, f.type) for c, f in zip((n, k1, k2, sig, wide, tokens), list(_SETS)[2:]))], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(c, f.type) for c, f in zip((n, k1, k2, wide, tokens), list(_SETS)[2:]))], schema=_SETS)
 
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, sig binary, wide binary, tokens binary")
+    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return own.mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, wide binary, tokens binary")
 
 
 # --- 2. blocks -------------------------------------------------------------------------------------------------
@@ -191,62 +193,111 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return unpack_set(b"".join(v.as_buffer() for v in column)), np.repeat(np.arange(len(column)), lengths)
 
 
-def _frequent(sets: DataFrame, rows: int) -> np.ndarray:
-    """Shingles that many documents hold. Any list would do, for it only orders shingles; this one is of bounded size."""
+def _dealt(values: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its values."""
+    order = np.argsort(buckets, kind="stable")
+    at = _runs(buckets[order])
+    return ((int(buckets[order[x]]), order[x:y]) for x, y in zip(at, at[1:]) if y > x)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                _, first = np.unique(part.column(0).to_numpy(), return_index=True)
-                values, _ = _values(part.column(1).take(pa.array(first)))
-                tokens, n = np.unique(values, return_counts=True)
-                some = n >= max(3, len(first) // 256)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[some].astype(np.int64)), pa.array(n[some])], ["token", "c"])
 
-    found = sets.where("n > 0").select("k1", "tokens").mapInArrow(counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = found.where(F.col("c") >= max(16, rows // FREQUENT_SHARE)).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT)
-    return np.sort(np.array([r.token for r in top.select("token").collect()], dtype=np.uint64))
+def _six(values: np.ndarray) -> bytes:
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
+def _distinct_sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (rid, k1, tokens) by ascending rid, without its copies. Files are read in any order, so rids need not ascend."""
+    if b.num_rows:
+        _, first = np.unique(b.column(1).to_numpy(), return_index=True)
+        first = first[np.argsort(b.column(0).to_numpy()[first])]
+        b = b.take(pa.array(first))
+        for k in range(0, b.num_rows, SET_ROWS):
+            yield b.slice(k, SET_ROWS)
 
-def _prefixes(sets: DataFrame, frequent: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    """Prefixes as packed entries: bucket (-1: frequent shingles), base, tokens (six bytes each), places (rid - base,
-    two bytes each). Copies within a batch are left out here, the rest of them where blocks are made."""
+
+def _marks(sets: DataFrame, buckets: int) -> np.ndarray:
+    """Bitmap of the shingles that are found often, of 2^MARK_BITS bits. A shingle's place is its low bits."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in _distinct_sets(whole)):
+            values, row = _values(b.column(2))
+            own = b.column(1).to_numpy().view(np.uint64)[row]
+            values = values[_mix(values ^ own) % np.uint64(SAMPLE) == 0]
+            dealt = list(_dealt(values, (values % np.uint64(buckets)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([_six(values[x]) for _, x in dealt], pa.binary())], ["bucket", "tokens"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _whole_buckets(batches):
+            tokens, n = np.unique(unpack_set(b"".join(x.as_buffer() for b in held for x in b.column(1))), return_counts=True)
+            some = n >= LEAST_COUNT
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].astype(np.int64)), pa.array(n[some])], ["token", "c"])
+
+    dealt = sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(sample, "bucket int, tokens binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = stage(dealt.mapInArrow(counts, "token long, c long"), "shingle-counts")
+    levels = dict(found.groupBy(F.floor(F.log2("c"))).count().collect())  # a row for each power of two
+    least, total = max(levels, default=0) + 1, 0
+    while least - 1 in levels and total + levels[least - 1] <= MOST_MARKED:
+        least, total = least - 1, total + levels[least - 1]
+    bits = slots(found.where(F.col("c") >= 2**least).select(F.col("token").alias("slot")), MARK_BITS)
+    unstage(found)
+    return bits
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each bucket, from batches sorted by it (their first column)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            at = _runs(b.column(0).to_numpy())
+            for x, y in zip(at, at[1:]):
+                if held and b.column(0)[x] != held[0].column(0)[0]:
+                    yield held
+                    held = []
+                held.append(b.slice(x, y - x))
+    if held:
+        yield held
+
+
+_PLACES = 1 << 16
+
+
+def _prefixes(sets: DataFrame, marks: np.ndarray, buckets: int, percent: int) -> DataFrame:
+    """Prefixes as packed entries: bucket (-1: marked shingles), base, tokens (six bytes each), places (rid - base) and
+    positions within the ordered set, two bytes each; positions beyond that count as its largest number, which only
+    widens reach. Copies within a batch are left out here, the rest of them where blocks are made."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, distinct = np.unique(b.column(1).to_numpy(), return_index=True)
-            b = b.take(pa.array(np.sort(distinct)))
+        for b in (part for whole in batches for part in _distinct_sets(whole)):
             rid, at = b.column(0).to_numpy(), 0
             while at < b.num_rows:
-                end = min(at + 2000, int(np.searchsorted(rid, rid[at] + (1 << 16))))
+                end = int(np.searchsorted(rid, rid[at] + _PLACES))
                 values, row = _values(b.column(2).slice(at, end - at))
-                heavy = np.isin(values, frequent)
-                order = np.lexsort((values, heavy, row))
+                low = (values & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
+                heavy = (marks[low >> 6] >> (low & 63)) & 1
+                order = np.argsort(2 * row + heavy, kind="stable")  # sets are sorted already
                 values, heavy, row = values[order], heavy[order], row[order]
                 held = np.bincount(row, minlength=end - at)
-                first = np.cumsum(held) - held
-                keep = np.arange(len(row)) - first[row] < (held - least_overlap(held, percent) + 1 + extra(held))[row]
-                values, place = values[keep], (rid[at:end] - rid[at]).astype(np.uint16)[row[keep]]
-                bucket = np.where(heavy[keep], -1, (values % np.uint64(buckets)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                runs = _runs(bucket[order])
-                parts = [order[x:y] for x, y in zip(runs, runs[1:]) if y > x]
+                position = np.arange(len(row)) - (np.cumsum(held) - held)[row]
+                keep = position < (held - least_overlap(held, percent) + 1)[row]
+                values, heavy, row, position = values[keep], heavy[keep], row[keep], position[keep]
+                place = rid[at:end] - rid[at]
+                assert 0 <= place.min() and place.max() < _PLACES
+                place, position = place.astype(np.uint16)[row], np.minimum(position, _PLACES - 1).astype(np.uint16)
+                dealt = list(_dealt(values, np.where(heavy == 1, -1, (values % np.uint64(buckets)).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[x[0]]) for x in parts], pa.int32()), pa.array([int(rid[at])] * len(parts), pa.int64()), pa.array([values[x].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x in parts], pa.binary()), pa.array([place[x].tobytes() for x in parts], pa.binary())],
-                    ["bucket", "base", "tokens", "places"],
+                    [pa.array([k for k, _ in dealt], pa.int32()), pa.array([int(rid[at])] * len(dealt), pa.int64()), *(pa.array([f(x) for _, x in dealt], pa.binary()) for f in (lambda x: _six(values[x]), lambda x: place[x].tobytes(), lambda x: position[x].tobytes()))],
+                    ["bucket", "base", "tokens", "places", "positions"],
                 )
                 at = end
 
-    return sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(rows, "bucket int, base long, tokens binary, places binary")
+    return sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(rows, "bucket int, base long, tokens binary, places binary, positions binary")
 
 
-def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and rids of packed entries."""
+def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, rids and positions of packed entries."""
     tokens = unpack_set(b"".join(x.as_buffer() for x in b.column(2))).astype(np.int64)
-    places = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), dtype=np.uint16).astype(np.int64)
+    places, positions = (np.frombuffer(b"".join(x.as_buffer() for x in b.column(k)), dtype=np.uint16).astype(np.int64) for k in (3, 4))
     base = np.repeat(b.column(1).to_numpy(), [len(x.as_buffer()) // 2 for x in b.column(3)])
-    return tokens, base + places
+    return tokens, base + places, positions
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -254,87 +305,72 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def _common_rows(prefixes: DataFrame) -> DataFrame:
+def _marked_blocks(prefixes: DataFrame) -> DataFrame:
+    """Members of the blocks of marked shingles: b1 (the shingle), b2 (-1), rid and position."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _entries(b)], ["token", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _entries(b)], ["token", "rid", "position"])
 
-    return prefixes.where("bucket < 0").mapInArrow(rows, "token long, rid long")
+    found = prefixes.where("bucket < 0").mapInArrow(rows, "token long, rid long, position long")
+    return found.select(F.col("token").alias("b1"), F.lit(-1).cast("long").alias("b2"), "rid", "position")
 
 
-def _rare_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """Distinct sets of documents that share rare shingles: b1, b2 (their hash), rid, and c, how many shingles they share;
-    a row for each member."""
+def _other_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """Members of distinct sets of documents that share unmarked shingles: b1, b2 (their hash), rid and first position."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
-
-        def emit() -> pa.RecordBatch:
-            token, rid = (np.concatenate(x) for x in zip(*held))
+        for held in _whole_buckets(batches):
+            token, rid, position = (np.concatenate(x) for x in zip(*map(_entries, held)))
             order = np.lexsort((rid, token))
-            token, rid = token[order], rid[order]
+            token, rid, position = token[order], rid[order], position[order]
             at = _runs(token)
-            found: dict[bytes, int] = {}
+            found: dict[bytes, np.ndarray] = {}
             for k in np.flatnonzero(np.diff(at) > 1):
-                ids = rid[at[k] : at[k + 1]].tobytes()
-                found[ids] = found.get(ids, 0) + 1
+                ids, first = rid[at[k] : at[k + 1]].tobytes(), position[at[k] : at[k + 1]]
+                found[ids] = np.minimum(found[ids], first) if ids in found else first
             keys = [np.frombuffer(hashlib.blake2b(ids, digest_size=16).digest(), dtype=np.int64) for ids in found]
-            members = [np.frombuffer(ids, dtype=np.int64) for ids in found]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(list(found.values()), pa.int64())], ["b1", "b2", "members", "c"])
-
-        for b in batches:
-            if b.num_rows:
-                bucket = b.column(0).to_numpy()
-                at = _runs(bucket)
-                for x, y in zip(at, at[1:]):
-                    if held and bucket[x] != now:
-                        yield emit()
-                        held = []
-                    now = bucket[x]
-                    held.append(_entries(b.slice(x, y - x)))
-        if held:
-            yield emit()
+            sizes = [len(ids) // 8 for ids in found]
+            key = np.repeat(np.array(keys, dtype=np.int64).reshape(-1, 2), sizes, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(np.frombuffer(b"".join(found), dtype=np.int64)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found.values()]))], ["b1", "b2", "rid", "position"])
 
     dealt = prefixes.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(blocks, "b1 long, b2 long, members array<long>, c long")
-    return found.groupBy("b1", "b2").agg(F.first("members").alias("members"), F.sum("c").alias("c")).select("b1", "b2", F.explode("members").alias("rid"), "c")
+    return dealt.mapInArrow(blocks, "b1 long, b2 long, rid long, position long")
 
 
 # --- 4. trees --------------------------------------------------------------------------------------------------
 
 
 class Tree:
-    """Levels of nodes from single documents up; each node holds a bitmap, sizes, slack and its component or -1."""
-
-    def __init__(self, sig: np.ndarray, n: np.ndarray, component: np.ndarray):
-        self.order = np.lexsort((sig[:, 0], n))
-        sig, n, component = sig[self.order], n[self.order], component[self.order]
-        # of a document's shingles at least as many as its bits outside another's bitmap are missing there
-        self.levels = [(sig, n, n, n - np.bitwise_count(sig).sum(axis=1), component)]
-        while len(n) > FANOUT:
-            sig, low, high, slack, component = self.levels[-1]
+    """Levels of nodes from single documents up: bitmap, least and largest size, reach, and component or -1 of each."""
+
+    def __init__(self, sig: np.ndarray, n: np.ndarray, reach: np.ndarray, component: np.ndarray):
+        self.order = np.lexsort((reach, n))
+        sig, n, reach, component = (x[self.order] for x in (sig, n, reach, component))
+        self.levels = [(sig, n, n, reach, component)]
+        while len(self.levels[-1][1]) > FANOUT:
+            sig, low, high, reach, component = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
             least, most = np.minimum.reduceat(component, at), np.maximum.reduceat(component, at)
-            self.levels.append((np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.where(least == most, least, -1)))
-            n = self.levels[-1][1]
+            self.levels.append((np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(reach, at), np.where(least == most, least, -1)))
 
 
 def _possible(a, i: np.ndarray, b, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether nodes i of level a and j of level b may hold a link between different components."""
-    low, high = a[1][i] + b[1][j], np.minimum(a[2][i], b[2][j])
-    fits = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i]) & ((a[4][i] != b[4][j]) | (a[4][i] < 0))
-    out = np.zeros(len(i), dtype=bool)
+    """Whether nodes i of level a and j of level b may hold a link between different components; exact for documents."""
+    fits = (a[1][i] <= b[3][j]) & (b[1][j] <= a[3][i]) & ((a[4][i] != b[4][j]) | (a[4][i] < 0))
     at = np.flatnonzero(fits)
-    common = np.bitwise_count(a[0][i[at]] & b[0][j[at]]).sum(axis=1)
-    most = np.minimum(np.minimum(a[3][i[at]], b[3][j[at]]) + common, high[at])
-    out[at] = (100 + percent) * most >= percent * low[at]
-    return out
+    some = max(1, (1 << 20) // max(1, a[0].shape[1]))
+    for k in range(0, len(at), some):
+        x, y = i[at[k : k + some]], j[at[k : k + some]]
+        common = np.bitwise_count(a[0][x] & b[0][y]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(common, np.minimum(a[2][x], b[2][y]))
+        fits[at[k : k + some]] = (100 + percent) * most >= percent * (a[1][x] + b[1][y])
+    return fits
 
 
 def tree_pairs(a: Tree, b: Tree, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in a and b of documents that may link, by descending both trees at once."""
+    """Places in a and b of documents that link, by descending both trees at once."""
     top = len(a.levels) - 1, len(b.levels) - 1
     i, j = (x.reshape(-1) for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
     todo = [(*top, i, j)]
@@ -363,59 +399,95 @@ def tree_pairs(a: Tree, b: Tree, percent: int = PERCENT) -> Iterator[tuple[np.nd
 _PAIRS = "a long, b long"
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def _signatures(column: pa.Array) -> np.ndarray:
-    """Bitmaps folded to the width that trees take."""
-    raws = [v.as_buffer() for v in column]
-    if all(len(r) == 8 * SIGNATURE_WORDS for r in raws):
-        return np.frombuffer(b"".join(raws), dtype=np.uint64).reshape(-1, SIGNATURE_WORDS)
-    return np.stack([fold(r, SIGNATURE_WORDS) for r in raws])
+def exact_bitmaps(tokens: pa.Array) -> np.ndarray:
+    """Bitmaps of packed sets over the shingles that two of them at least hold: two of them have as many bits in common as shingles."""
+    values, row = _values(tokens)
+    _, place, held = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    some = held[place] > 1
+    place, row = number[place[some]], row[some]
+    out = np.zeros((len(tokens), (int(number[-1]) if len(number) else 0) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(out, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return out
 
 
-def _cell_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of all cells: rows b1, b2, i, j, outside, rid, n, component, sig."""
+class _Union:
+    """Components of a cell that links have joined."""
+
+    def __init__(self, size: int):
+        self.parent = np.arange(size)
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Places of links that join two components, one for each join."""
+        out: list[int] = []
+        at = np.arange(len(a))
+        while len(at):
+            up = self.parent
+            while (up[up] != up).any():
+                up = up[up]
+            self.parent = up
+            x, y = up[a[at]], up[b[at]]
+            apart = x != y
+            at, x, y = at[apart], x[apart], y[apart]
+            for k, low, high in zip(at[:1024].tolist(), x[:1024].tolist(), y[:1024].tolist()):
+                low, high = self._root(low), self._root(high)
+                if low != high:
+                    self.parent[max(low, high)] = min(low, high)
+                    out.append(k)
+            at = at[1024:]
+        return out
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            x = int(self.parent[x])
+        return x
+
+
+def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
+    """Links of all cells that join components there: rows b1, i, j, outside, rid, n, reach, component, tokens."""
+
+    def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        outside, rid, n, reach, component = (t.column(k).to_numpy() for k in range(3, 8))
+        o, m = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if not len(o) or not len(m):
+            return
+        bits = exact_bitmaps(t.column(8).chunk(0))
+        _, component = np.unique(component, return_inverse=True)
+        a, b = (Tree(bits[x], n[x], reach[x], component[x]) for x in (o, m))
+        union = _Union(len(rid))
+        for i, j in tree_pairs(a, b, percent):
+            i, j = o[i], m[j]
+            k = union.joins(component[i], component[j])
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i[k]], rid[j[k]])), pa.array(np.maximum(rid[i[k]], rid[j[k]]))], ["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-
-        def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            cell = np.stack([t.column(k).to_numpy() for k in range(4)], axis=1)
-            at = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(cell)]])
-            outside, rid, n, component = (t.column(k).to_numpy() for k in range(4, 8))
-            sig = _signatures(t.column(8).combine_chunks() if isinstance(t.column(8), pa.ChunkedArray) else t.column(8))
-            for s, e in zip(at[:-1], at[1:]):
-                o, m = s + np.flatnonzero(outside[s:e]), s + np.flatnonzero(~outside[s:e])
-                if len(o) and len(m):
-                    a, b = (Tree(sig[x], n[x], component[x]) for x in (o, m))
-                    for i, j in tree_pairs(a, b, percent):
-                        yield _pair_batch(rid[o[i]], rid[m[j]])
-
+        cell = lambda b, k: tuple(b.column(c)[k].as_py() for c in range(3))
         for b in batches:
             if not b.num_rows:
                 continue
-            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in range(4))
-            same = np.ones(b.num_rows, dtype=bool)
-            for k in range(4):
-                same &= b.column(k).to_numpy() == last[k]
-            cut = int(np.argmax(same))
-            if cut or (rest and tuple(rest[0].column(k)[0].as_py() for k in range(4)) != last):
-                yield from joined([*rest, b.slice(0, cut)] if cut else rest)
-                rest = []
-            rest.append(b.slice(cut))
+            key = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
+            at = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [b.num_rows]])
+            for x, y in zip(at, at[1:]):
+                if rest and cell(rest[0], 0) != cell(b, x):
+                    yield from links(rest)
+                    rest = []
+                rest.append(b.slice(x, y - x))
         if rest:
-            yield from joined(rest)
+            yield from links(rest)
 
-    order = ["b1", "b2", "i", "j"]
-    return cells.select(*order, "outside", "rid", "n", "component", "sig").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS).distinct()
+    order = ["b1", "i", "j"]
+    return cells.select(*order, "outside", "rid", "n", "reach", "component", "tokens").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS)
 
 
-def _plausible(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
-    """Pairs whose signatures in ``column`` (sig: narrow; wide: as wide as the sets need) admit a link."""
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"s_{x}"))
+# --- 6. pairs --------------------------------------------------------------------------------------------------
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures admit a link."""
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"s_{x}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -424,35 +496,28 @@ def _plausible(pairs: DataFrame, sets: DataFrame, column: str, percent: int) ->
             words = np.array([min(len(x), len(y)) // 8 for x, y in zip(s_a, s_b)], dtype=np.int64)
             ok = np.zeros(b.num_rows, dtype=bool)
             for w in np.unique(words):
-                at = np.flatnonzero(words == w)
-                for k in range(0, len(at), 4096):
-                    part = at[k : k + 4096]
-                    levels = []
-                    for n, s in ((n_a[part], s_a), (n_b[part], s_b)):
-                        sig = np.stack([fold(s[i], int(w)) for i in part])
-                        levels.append((sig, n, n, n - np.bitwise_count(sig).sum(axis=1), np.full(len(n), -1)))
-                    every = np.arange(len(part))
-                    ok[part] = _possible(levels[0], every, levels[1], every, percent)
+                at, some = np.flatnonzero(words == w), max(1, (1 << 20) // int(w))
+                for k in range(0, len(at), some):
+                    part = at[k : k + some]
+                    x, y = (np.stack([fold(s[i], int(w)) for i in part]) for s in (s_a, s_b))
+                    # of a document's shingles at least as many as its bits outside the other's bitmap are missing there
+                    slack = np.minimum(*(n[part] - np.bitwise_count(sig).sum(axis=1) for n, sig in ((n_a, x), (n_b, y))))
+                    most = np.minimum(slack + np.bitwise_count(x & y).sum(axis=1), np.minimum(n_a[part], n_b[part]))
+                    ok[part] = (100 + percent) * most >= percent * (n_a[part] + n_b[part])
             yield b.select([0, 1]).filter(pa.array(ok))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, _PAIRS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that link, by their whole sets. A filter of fixed size lets only sets of some pair be shuffled."""
-    place = F.pmod(F.xxhash64("rid"), F.lit(1 << FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid"))
-    words = ids.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rid), {1 << FILTER_BITS}) & 63 as int))")).alias("m"))
-    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
-    for r in words.collect():  # one row for each word of the filter at most
-        bits[r.w] = r.m
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column(3).to_numpy()
-            yield b.select([0, 1, 2]).filter(pa.array((bits[p >> 6] >> (p & 63)) & 1 == 1))
+def _only(sets: DataFrame, ids: DataFrame, column: str = "tokens") -> DataFrame:
+    """rid, n and ``column`` of the sets in ``ids`` (rid) and a few others. A filter of fixed size goes before any shuffle."""
+    words = slots(ids.select(F.xxhash64("rid").alias("slot")))
+    return passing(sets.select("rid", "n", column, F.xxhash64("rid").alias("slot")), words).drop("slot")
 
-    some = sets.select("rid", "n", "tokens", place.alias("p")).mapInArrow(wanted, "rid long, n long, tokens binary")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that link, by their whole sets."""
+    some = _only(sets, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")))
     side = lambda x: some.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,21 +555,38 @@ def connected(links: DataFrame) -> DataFrame:
 # --- the join --------------------------------------------------------------------------------------------------
 
 
-def _cells(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (b1, b2, rid) of blocks of several components, dealt into cells for the trees."""
-    rows = members.join(labels, "rid", "left").select("b1", "b2", "rid", F.coalesce("component", "rid").alias("component"))
-    rows = stage(rows, "block-members")
-    block = ["b1", "b2"]
-    by = rows.groupBy(*block, "component").agg(F.count("*").alias("c")).groupBy(*block).agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"))
-    by = stage(by.where(F.col("all") > F.col("most")), "blocks")
-    rows = rows.join(by, block).join(sets.select("rid", "n", "sig"), "rid")
-    across = F.ceil(F.col("all") / CELL).cast("int")
-    down = F.ceil((F.col("all") - F.col("most")) / CELL).cast("int")
-    own = F.xxhash64("rid")
-    last = lambda n: F.sequence(F.lit(0), n - 1)
-    all_members = rows.select(*block, F.pmod(own, across).cast("int").alias("i"), F.explode(last(down)).alias("j"), F.lit(False).alias("outside"), "rid", "n", "component", "sig")
-    others = rows.where(F.col("component") != F.col("main")).select(*block, F.explode(last(across)).alias("i"), F.pmod(own, down).cast("int").alias("j"), F.lit(True).alias("outside"), "rid", "n", "component", "sig")
-    return all_members.unionByName(others)
+_BLOCK = ["b1", "b2"]
+
+
+def _within_reach(x: str, y: str) -> Column:
+    return (F.col(f"{x}.n") <= F.col(f"{y}.reach")) & (F.col(f"{y}.n") <= F.col(f"{x}.reach"))
+
+
+def _leaf_pairs(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pairs within reach and of different components of blocks of at most LEAF members; those with the hub are known."""
+    rest = rows.join(blocks.where(F.col("all") <= LEAF).select(*_BLOCK, "hub"), _BLOCK).where("rid <> hub").select(*_BLOCK, "rid", "n", "reach", "component")
+    x, y = rest.alias("x"), rest.alias("y")
+    on = (F.col("x.b1") == F.col("y.b1")) & (F.col("x.b2") == F.col("y.b2")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component")) & _within_reach("x", "y")
+    return x.join(y, on).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+
+
+def _cells(rows: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Members of larger blocks, those of one main component together, dealt into cells: documents outside it against all."""
+    large = stage(blocks.where(F.col("all") > LEAF).select(*_BLOCK, F.col("main").alias("island")), "large-blocks")
+    if large.isEmpty():
+        return None
+    members = rows.join(large, _BLOCK).groupBy(F.col("island").alias("b1"), "rid", "component").agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
+    members = stage(members, "island-members")
+    outside = F.col("component") != F.col("b1")
+    room = lambda rows, shingles: F.ceil(F.greatest(rows / CELL, shingles / CELL_SHINGLES)).cast("int")
+    sizes = members.groupBy("b1").agg(
+        room(F.count("*"), F.sum("n")).alias("across"), room(F.count(F.when(outside, 1)), F.sum(F.when(outside, F.col("n")))).alias("down")
+    )
+    dealt = members.join(sizes.where("down > 0"), "b1")
+    own, upto = F.xxhash64("rid"), lambda n: F.sequence(F.lit(0), n - 1)
+    every = dealt.select("b1", F.pmod(own, F.col("across")).cast("int").alias("i"), F.explode(upto(F.col("down"))).alias("j"), F.lit(False).alias("outside"), "rid", "reach", "component")
+    others = dealt.where(outside).select("b1", F.explode(upto(F.col("across"))).alias("i"), F.pmod(own, F.col("down")).cast("int").alias("j"), F.lit(True).alias("outside"), "rid", "reach", "component")
+    return every.unionByName(others).join(_only(sets, members), "rid")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -512,52 +594,47 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     sets = stage(_sets(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingle-sets")
     key = ["k1", "k2", "n"]
     who = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")
-    classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min(who).alias("first"), F.count("*").alias("copies")).select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid"), "copies"), "set-classes")
-    size = sets.agg(F.count("*"), F.sum("n")).first()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size[1] or 0) // BUCKET_SHINGLES)
-    prefixes = stage(_prefixes(sets, _frequent(sets, size[0]), buckets, percent), "prefixes")
-    rare = stage(_rare_blocks(prefixes, buckets), "rare-blocks")
-    common = stage(_common_rows(prefixes), "common-rows")
+    classes = stage(sets.where("n > 0").groupBy(*key).agg(F.min(who).alias("first")).select(*key, F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("rid")), "set-classes")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES)
+    prefixes = stage(_prefixes(sets, _marks(sets, buckets), buckets, percent), "prefixes")
+    found = stage(_marked_blocks(prefixes).unionByName(_other_blocks(prefixes, buckets)), "block-rows")
     unstage(prefixes)
     # from here on each class counts once, by the rid of its first document
-    one = stage(sets.select(F.col("rid").alias("of"), *key).join(classes.select(*key, "rid"), key).select("of", "rid", "n"), "class-of")
-    to_class = lambda df, names: df.withColumnRenamed("rid", "of").join(one, "of").select(*names, "rid", "n").distinct()
-    common = to_class(common, ["token"])
-    common = stage(common.join(F.broadcast(common.groupBy("token").agg(F.count("*").alias("f"))), "token").where("f > 1").select("token", "rid", "n"), "common-members")  # a row for each frequent shingle
-    rare = stage(to_class(rare, ["b1", "b2", "c"]), "rare-members")
-    # documents that share too few shingles of their prefix for any link
-    shared = rare.groupBy("rid", "n").agg(F.sum("c").alias("c")).unionByName(common.groupBy("rid", "n").agg(F.count("*").alias("c"))).groupBy("rid", "n").agg(F.sum("c").alias("c"))
-    able = stage(shared.where(F.col("c") > F.floor(percent * F.col("n") / (100 * PER_EXTRA))).select("rid"), "able")
-    rare, common = rare.join(able, "rid", "left_semi"), stage(common.join(able, "rid", "left_semi"), "common-able")
-    # blocks of frequent shingles with the same members count once
-    h = F.xxhash64("rid")
-    names = common.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(h).alias("b1"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("b2")).where("c > 1")
-    names = F.broadcast(names.groupBy("b1", "b2", "c").agg(F.min("token").alias("token")))  # a row for each frequent shingle at most
-    members = stage(rare.select("b1", "b2", "rid", "n").unionByName(common.join(names, "token").select("b1", "b2", "rid", "n")), "members")
-
-    hubs = stage(members.groupBy("b1", "b2").agg(F.min(F.struct("rid", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("b1", "b2", F.col("h.rid").alias("hub"), F.col("h.n").alias("m")), "hubs")
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("hub") != F.col("rid"))
-    stars = members.join(hubs, ["b1", "b2"]).where(fits).select(F.least("hub", "rid").alias("a"), F.greatest("hub", "rid").alias("b")).distinct()
-    tried = stage(_plausible(_plausible(stars, sets, "sig", percent), sets, "wide", percent), "hub-pairs")
-    links = stage(_verified(tried, sets, percent), "hub-links")
+    one = sets.select(F.col("rid").alias("of"), *key).join(classes.select(*key, "rid"), key).select("of", "rid", "n")
+    members = found.withColumnRenamed("rid", "of").join(one, "of").groupBy(*_BLOCK, "rid").agg(F.max("n").alias("n"), F.min("position").alias("position"))
+    # n + m <= (100 + percent) / percent * the shingles from the common one on
+    members = stage(members.withColumn("reach", F.expr(f"(n - position) * {100 + percent} div {percent} - n")), "members")
+    unstage(found)
+
+    hub = F.min(F.struct("position", "rid", "n", "reach")).alias("h")
+    hubs = stage(members.groupBy(*_BLOCK).agg(hub, F.count("*").alias("all")).where("all > 1"), "hubs")
+    stars = members.alias("x").join(hubs.alias("y"), _BLOCK).where((F.col("rid") != F.col("h.rid")) & (F.col("n") <= F.col("h.reach")) & (F.col("h.n") <= F.col("reach")))
+    tried = stage(stars.select(F.least("h.rid", "rid").alias("a"), F.greatest("h.rid", "rid").alias("b")).distinct(), "hub-pairs")
+    links = stage(_verified(stage(_plausible(tried, sets, percent), "close-hub-pairs"), sets, percent), "hub-links")
     labels = connected(links)
 
-    pairs = stage(_cell_pairs(_cells(members.select("b1", "b2", "rid"), labels, sets), percent).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
-    # the leaves of the trees have been held against each other by their narrow signatures
-    more = stage(_verified(stage(_plausible(pairs, sets, "wide", percent), "close-pairs"), sets, percent), "tree-links")
+    rows = members.join(hubs.where("all > 2").select(*_BLOCK), _BLOCK).join(labels, "rid", "left")
+    rows = stage(rows.select(*_BLOCK, "rid", "n", "reach", F.coalesce("component", "rid").alias("component")), "block-members")
+    by = rows.groupBy(*_BLOCK, "component").agg(F.count("*").alias("c")).groupBy(*_BLOCK).agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"))
+    blocks = stage(by.where("all > most").join(hubs.select(*_BLOCK, F.col("h.rid").alias("hub")), _BLOCK), "blocks")
+    pairs = stage(_leaf_pairs(rows, blocks).join(tried, ["a", "b"], "left_anti"), "leaf-pairs")
+    more = _verified(stage(_plausible(pairs, sets, percent), "close-leaf-pairs"), sets, percent)
+    cells = _cells(rows, blocks, sets)
+    more = stage(more if cells is None else more.unionByName(_cell_links(cells, percent)), "more-links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more))
 
     labelled = classes.join(labels, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = stage(labelled.join(smallest, "component").select(*key, "component_id"), "components")
+    named = labelled.join(smallest, "component").select(*key, "component_id")
     found = sets.select("doc_id", "text_hash", *key).join(named, key, "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+    found = stage(found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash"), "components")
+    unstage(sets, classes, members, hubs, tried, links, rows, blocks, pairs, more)
+    return found
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the document of the smallest id of each component, columns unchanged; repeated rows count as one."""
-    kept = components(docs, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(stage(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    rows = components(docs, shingle, percent).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), (~F.col("doc_id").eqNullSafe(F.min("component_id"))).alias("drop"))
+    return keep_marked(docs, rows.where("drop or n > 1").select("doc_id", "text_hash", "drop"))

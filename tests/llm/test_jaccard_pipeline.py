@@ -1,3 +1,4 @@
+import functools
 import random
 from itertools import combinations
 
@@ -58,13 +59,49 @@ def corpus(seed):
     return [(k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,cell", [(1, 2048), (2, 20)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, cell):
+@pytest.mark.parametrize("seed,cell,leaf,marks", [(2, 20, 4, 4), (3, 7, 2, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, cell, leaf, marks):
     monkeypatch.setattr(j, "CELL", cell)
+    monkeypatch.setattr(j, "LEAF", leaf)
+    monkeypatch.setattr(j, "LEAST_COUNT", marks)
     rows = corpus(seed)
     assert got(j.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
 
 
+@pytest.mark.parametrize("leaf", [2, 64])
+def test_clusters_without_an_original(spark, monkeypatch, leaf):
+    """Near copies whose common original is missing: their links are chains between copies that few others link with."""
+    monkeypatch.setattr(j, "LEAF", leaf)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for k in range(150):
+        t = base[:]
+        for at in rng.sample(range(150), rng.choice((2, 2, 2, 3, 4))):
+            t[at] = f"n{rng.randrange(40) if k % 3 else rng.randrange(10**6)}"
+        texts.append(" ".join(t[: 150 - k % 4]))
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 1 < len({r.split(", ")[2] for r in want}) < 150
+    assert got(j.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+
+
+def test_many_staged_files_of_growing_size(spark):
+    """Spark reads larger files first and several in a task, so rids don't ascend within a batch."""
+    rng = random.Random(12)
+    rows, parts = [], []
+    for k in range(40):
+        part = []
+        for _ in range(1 + k // 3):
+            t = [f"w{rng.randrange(9000)}" for _ in range(30 + 3 * k)]
+            part += [(len(rows) + len(part), " ".join(t)), (len(rows) + len(part) + 1, " ".join([*t[:-1], "changed"]))]
+        rows += part
+        parts.append(spark.createDataFrame(part, "doc_id long, text string").coalesce(1))
+    docs = functools.reduce(lambda a, b: a.union(b), parts)
+    assert docs.rdd.getNumPartitions() == 40
+    assert got(j.components(docs)) == brute(rows)
+
+
 def test_odd_rows(odd, none):
     assert got(j.components(odd)) == brute([r[:2] for r in ROWS])
     assert j.components(none).count() == 0
@@ -84,16 +121,17 @@ def test_hashed_sets_have_the_sizes_of_real_ones():
     assert all((j.unpack_set(j.pack_set(h)) == h >> np.uint64(16)).all() for h in hashed)
 
 
-def test_trees_lose_no_pair():
+def test_trees_find_all_links():
+    import pyarrow as pa
+
     rng = np.random.default_rng(4)
     base = rng.integers(1, 2**63, (12, 80), dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(80) < 0.04, rng.integers(1, 2**63, 80, dtype=np.uint64), base[k % 12])) for k in range(150)]
-    sig = np.stack([np.frombuffer(j.signature(s), dtype=np.uint64) for s in sets])
-    n, alone = np.array([len(s) for s in sets]), np.arange(150)
-    tree = j.Tree(sig, n, alone)
+    bits = j.exact_bitmaps(pa.array([j.pack_set(s) for s in sets], pa.binary()))
+    n = np.array([len(s) for s in sets])
+    tree = j.Tree(bits, n, n * 185 // 85 - n, np.arange(150))
     found = {(int(a), int(b)) for x, y in j.tree_pairs(tree, tree) for a, b in zip(x, y)}
-    links = {(a, b) for a in range(150) for b in range(150) if a != b and j.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))}
-    assert links and links <= found and len(found) < 150 * 149 / 2
+    assert found == {(a, b) for a in range(150) for b in range(150) if a != b and j.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))} and found
 
 
 def test_connected_components(spark):
