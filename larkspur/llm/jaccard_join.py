@@ -233,10 +233,10 @@ def _marks(sets: DataFrame, buckets: int) -> np.ndarray:
 
     dealt = sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(sample, "bucket int, tokens binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = stage(dealt.mapInArrow(counts, "token long, c long"), "shingle-counts")
-    levels = dict(found.groupBy(F.floor(F.log2("c"))).count().collect())  # a row for each power of two
-    least, total = max(levels, default=0) + 1, 0
-    while least - 1 in levels and total + levels[least - 1] <= MOST_MARKED:
-        least, total = least - 1, total + levels[least - 1]
+    levels = dict(found.groupBy(F.floor(F.log2("c")).cast("int")).count().collect())  # a row for each power of two
+    least = max(levels, default=0) + 1
+    while least > 0 and sum(n for level, n in levels.items() if level >= least - 1) <= MOST_MARKED:
+        least -= 1
     bits = slots(found.where(F.col("c") >= 2**least).select(F.col("token").alias("slot")), MARK_BITS)
     unstage(found)
     return bits
