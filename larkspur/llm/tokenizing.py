@@ -44,6 +44,22 @@ def cut_points(text: str) -> list[str]:
     return parts
 
 
+class _Known(dict):
+    """Ids of pre-tokens; unknown ones are encoded when they are asked for. Begun anew where it has grown too large."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, pre_token: str) -> bytes:
+        # the bytes of a pre-token as the characters that stand for them, merged by the library's model
+        ids = array("I", [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if len(pre_token) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[pre_token] = ids
+        return ids
+
+
 class Encoder:
     """Ids by the tokenizers library: each distinct pre-token is encoded once, occurrences are looked up."""
 
@@ -54,32 +70,13 @@ class Encoder:
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.splits = not head["normalizer"] and not head["post_processor"] and {k: (head["pre_tokenizer"] or {}).get(k) for k in plain} == plain
         self.special = [t["content"] for t in head["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-
-        self.merge = self.model.model.tokenize
-
-    def learn(self, pre_token: str) -> bytes:
-        """Ids of one pre-token: its bytes as the characters that stand for them, merged by the library's model."""
-        return array("I", [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        self.known = _Known(self.model.model.tokenize)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not self.splits or any(s in text for s in self.special):
             return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            new = [p for p in set(parts) if p not in self.known]
-        learnt = {p: self.learn(p) for p in new}
-        if len(self.known) + len(new) <= CACHED:
-            self.known.update((p, ids) for p, ids in learnt.items() if len(p) <= CACHED_CHARS)
-            if len(max(new, key=len)) <= CACHED_CHARS:
-                return b"".join(map(self.known.__getitem__, parts))
-        got = {p: learnt[p] if p in learnt else self.known[p] for p in set(parts)}
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-        return b"".join(map(got.__getitem__, parts))
+        return b"".join(map(self.known.__getitem__, split(text)))
 
 
 @functools.cache
