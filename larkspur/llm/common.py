@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 _POSITION_BITS = 33
+_staged: set[str] = set()
 #: Bits of the filters that ``slots`` makes, and rows of the one that ``keep_marked`` broadcasts at most.
 FILTER_BITS = 24
 KEPT_SLOTS = 1 << 18
@@ -49,15 +50,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._larkspur_path = path
+    _staged.add(path)
     return staged
 
 
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:
-        spark, path = df.sparkSession, df._larkspur_path
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, df._larkspur_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _staged.discard(path)
+
+
+def staged_tables() -> set[str]:
+    """Paths of the staged tables that are left."""
+    return set(_staged)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

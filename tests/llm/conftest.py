@@ -18,7 +18,9 @@ ROWS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd documents, with extra columns whose names operators might use themselves."""
-    return spark.createDataFrame([(*r, "extra", 1.5, 3) for r in ROWS], "doc_id long, text string, lang string, source string, kept string, score double, n long").repartition(3)
+    names = "kept string, score double, n long, own string, slot long, hit string, M_ID long, rid string, text_hash string, q_words string, Q_counts long, `_q_text` string, `drop` int"
+    rows = [(*r, "extra", 1.5, 3, "mine", 7, "h", 8, "r", "t", "w", 9, "q", 1) for r in ROWS]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {names}").repartition(3)
 
 
 @pytest.fixture(scope="session")
