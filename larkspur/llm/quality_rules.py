@@ -10,7 +10,8 @@ which counts as ``slack`` at least where a group is uniform. Documents are joine
 least rate that words can have. ``keep_good`` takes it by ratios instead (``LOW_RATIO``), so that it stays above that.
 
 Null texts have no words and fail; null and empty languages or sources form one group; repeated rows each count and
-each give a row; an empty table gives no rows.
+each give a row; ties of a rate share a bucket; an empty table gives no rows. Texts of any length are read whole. Columns other
+than doc_id, text, lang and source, whatever their names, are left out by ``judge`` and unchanged by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import stage
+from larkspur.llm.common import fresh, stage
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -43,9 +44,9 @@ _SPACES = r"[\x20\x09-\x0D]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 
 
-def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
-    """``docs`` with a struct column ``{prefix}counts`` of COUNTS; every column in between is dropped again."""
-    text, words, hashes, windows, ranked = (f"{prefix}{n}" for n in ("text", "words", "hashes", "windows", "ranked"))
+def with_counts(docs: DataFrame, out: str = "counts") -> DataFrame:
+    """``docs`` with a struct column ``out`` of COUNTS; every column in between is dropped again."""
+    text, words, hashes, windows, ranked = fresh(docs.withColumn(out, F.lit(None)), "q_text", "q_words", "q_hashes", "q_windows", "q_ranked")
     n = F.size(words)
     df = docs.withColumn(text, F.coalesce("text", F.lit("")))
     df = df.withColumn(words, F.array_remove(F.split(text, _SPACES + "+"), ""))
@@ -78,7 +79,7 @@ def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     }
     # an outer generator, since filters on the counts would otherwise be pushed below and compute every step again for each word
     one = F.array(F.struct(*(c.cast("long").alias(k) for k, c in counts.items())))
-    return df.withColumn(windows, one).drop(text, words, hashes, ranked).select("*", F.explode_outer(windows).alias(f"{prefix}counts")).drop(windows)
+    return df.withColumn(windows, one).drop(text, words, hashes, ranked).select("*", F.explode_outer(windows).alias(out)).drop(windows)
 
 
 def base_failed(c: str) -> Column:
@@ -143,28 +144,28 @@ def thresholds(counted: DataFrame, c: str, by_ratio: bool = False) -> DataFrame:
 
 def verdicts(counted: DataFrame, c: str, fences: DataFrame, out: str) -> DataFrame:
     """``counted`` with the boolean ``out``: whether the rules keep the row."""
-    fences = fences.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *(F.col(n).alias(f"_q_{n}") for n in fences.columns if n not in ("lang", "source")))
-    fences = stage(fences, "fences")
+    own = dict(zip(fences.columns, fresh(counted, *fences.columns)))
+    fences = stage(fences.select(*(F.col(n).alias(m) for n, m in own.items())), "fences")
     if fences.count() <= GROUPS_BROADCAST:  # else left to a sort-merge join, whose skewed groups are split
         fences = F.broadcast(fences)
-    joined = counted.join(fences, (_group("lang") == F.col("_q_lang")) & (_group("source") == F.col("_q_source")), "left")
+    joined = counted.join(fences, (_group("lang") == F.col(own["lang"])) & (_group("source") == F.col(own["source"])), "left")
     inside = F.lit(True)
     for m, top, below, _, both in METRICS:
-        inside &= rate(c, top, below) <= F.col(f"_q_{m}_high")
+        inside &= rate(c, top, below) <= F.col(own[f"{m}_high"])
         if both:
-            inside &= rate(c, top, below) >= F.col(f"_q_{m}_low")
-    return joined.withColumn(out, ~base_failed(c) & inside).drop(*(n for n in fences.columns))
+            inside &= rate(c, top, below) >= F.col(own[f"{m}_low"])
+    return joined.withColumn(out, ~base_failed(c) & inside).drop(*own.values())
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row."""
     counted = stage(with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "rule-counts")
-    judged = verdicts(counted, "_q_counts", thresholds(counted, "_q_counts"), "_q_kept")
-    return judged.select("doc_id", *(F.col(f"_q_counts.{n}").alias(n) for n in COUNTS[:5]), base_failed("_q_counts").alias("base_failed"), F.col("_q_kept").alias("kept"))
+    judged = verdicts(counted, "counts", thresholds(counted, "counts"), "passed")
+    return judged.select("doc_id", *(F.col(f"counts.{n}").alias(n) for n in COUNTS[:5]), base_failed("counts").alias("base_failed"), F.col("passed").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject, columns unchanged."""
-    counted = with_counts(docs)
-    narrow = stage(counted.select("lang", "source", "_q_counts"), "rule-counts")
-    return verdicts(counted, "_q_counts", thresholds(narrow, "_q_counts", by_ratio=True), "_q_kept").where(F.col("_q_kept")).select(*docs.columns)
+    """``docs`` without the rows that the rules reject, columns unchanged. Rows are staged with their counts, which are made once."""
+    counts, passed = fresh(docs, "counts", "passed")
+    counted = stage(with_counts(docs, counts), "rule-counts")
+    return verdicts(counted, counts, thresholds(counted, counts, by_ratio=True), passed).where(F.col(passed)).select(*(F.col(f"`{c}`") for c in docs.columns))
