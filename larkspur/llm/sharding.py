@@ -1,7 +1,8 @@
 """Sharding by jump consistent hashing (Lamping and Veach, 2014): no ring table, least movement when shards are added.
 
 The stable key is the 64-bit hash of doc_id. Null ids share one shard; null texts have size 1 and checksum 0; repeated
-rows each get a slot of their own. An empty table gives no rows.
+rows each get a slot of their own, ties in any order. An empty table gives no rows. Texts of any length are read whole; columns
+other than doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import positions
+from larkspur.llm.common import positions, stage, unstage
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -46,7 +47,9 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
         .withColumn("_j", pair(F.xxhash64("doc_id"), F.lit(shards)))
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("_j.shard").alias("shard"), F.col("_j.grown").alias("grown_shard"))
     )
+    rows = stage(rows, "shard-rows")  # the range bounds would compute them a second time
     numbered, staged = positions(rows, ["shard", "doc_id", "text_crc32", "size"], "shards")
+    unstage(rows)
     starts, before = [], 0
     for shard, n in sorted(staged.groupBy("shard").count().collect()):  # a row for each shard
         starts.append((shard, before))
