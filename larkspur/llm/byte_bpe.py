@@ -4,7 +4,8 @@ Each byte stands for one printable character, so a token's bytes become a piece;
 id its rank. With identity normalisation sentencepiece then merges just as a byte-level BPE does, lowest rank first
 and leftmost among equals. Texts are split by the vocabulary's pattern, each pre-token is encoded for itself, and ids
 are decoded by the inverse mapping. Null texts are empty and have no ids; repeated rows each give a row; an empty
-table gives none.
+table gives none. Of equal merges the leftmost comes first; texts of any length are encoded whole; columns other than
+doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations

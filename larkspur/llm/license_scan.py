@@ -5,8 +5,9 @@ so many words). It is compiled to an automaton over words; a text is accepted wh
 another exactly, white space, punctuation and case aside. An automaton is only run around places of the template's
 anchor, its longest run of mandatory words.
 
-Null texts are empty: no words, null places, empty labels, score 0. Repeated rows each give a row; other columns are
-ignored; an empty table gives no rows.
+Null texts are empty: no words, null places, empty labels, score 0. Repeated rows each give a row; other columns, whatever
+their names, are ignored; an empty table gives no rows. Texts of any length are scanned whole; every place of a phrase
+counts, overlapping ones too.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Pieces are counted by length; best-fit decreasing runs on those counts (at most ``capacity`` different lengths), so
 the plan is made of a few thousand slot ranges whatever the corpus holds. A piece then finds its slot by joining its
 rank within its length to the ranges of that length. Null texts are empty documents of the end id alone; an empty
-table gives no rows; repeated rows are packed each.
+table gives no rows; repeated rows are packed each; pieces of equal length take slots in any order. Texts of any length
+are encoded whole; columns other than doc_id and text, whatever their names, are left out.
 """
 
 from __future__ import annotations

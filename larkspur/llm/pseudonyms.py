@@ -10,7 +10,12 @@ Kinds, in order of precedence: ``secret`` (an assignment of a long letter-and-di
 (+country code; without one, an area code in brackets or the ten digits of North America), ``ip`` (four octets),
 ``date`` (a calendar date of 1900-2099; day first where both orders are valid). Digits that do not validate are left.
 
-Null texts stay null and have no findings; empty texts stay empty; repeated rows each give a row.
+E-mail addresses that differ in the case of ASCII letters, phones, cards and IBANs that differ in separators, and dates
+written in different orders are equal values: their pseudonyms differ in that alone.
+
+Null texts stay null and have no findings; empty texts stay empty; repeated rows each give a row; an empty table gives none.
+Texts of any length are read whole; where matches of several kinds overlap, the first kind's wins. ``findings`` reads doc_id
+and text alone; ``pseudonymise`` leaves other columns unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,16 +24,16 @@ import bisect
 import datetime as dt
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROUNDS = 8
-#: For tests and demonstrations; give your own key in production.
-DEMO_KEY = b"larkspur demonstration key"
-
+#: The setting that holds the key of ``session_key``.
+KEY_SETTING = "spark.larkspur.pseudonymKey"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _LATIN_LOWER = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 _LATIN_UPPER = "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
@@ -177,7 +182,9 @@ def date(key: bytes, m: re.Match) -> str | None:
 
 
 def email(key: bytes, m: re.Match) -> str | None:
-    return permute_places(key, "email", m["local"]) + m["host"]
+    lower = "".join(c.lower() if c.isascii() else c for c in m["local"])
+    new = permute_places(key, "email", lower)
+    return "".join(c.upper() if old in _UPPER else c for c, old in zip(new, m["local"])) + m["host"]
 
 
 def secret(key: bytes, m: re.Match) -> str | None:
@@ -240,6 +247,16 @@ class Pseudonymiser:
         return "".join([*out, text[at:]]), found
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's KEY_SETTING. Where none is set, one is drawn at random and kept in that setting, so that
+    pseudonyms are linked within the session and nobody can undo them."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        key = os.urandom(32).hex()
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``column``; other columns and their order unchanged."""
     at, schema = docs.columns.index(column), docs.schema

@@ -52,7 +52,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.findings(_documents(spark, sf_dir), pseudonyms.DEMO_KEY)
+    return pseudonyms.findings(_documents(spark, sf_dir), pseudonyms.session_key(spark))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

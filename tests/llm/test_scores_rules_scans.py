@@ -49,6 +49,45 @@ def test_quality_of_odd_rows(spark, odd):
     assert {r.score for r in quality_model.score_quality(odd, labels.where("false")).collect()} == {0.5}
 
 
+def plain_scores(docs, labels, features=256, width=2.0, ridge=1e-4, seed=7):
+    """The classifier in plain numpy: all rows at once, ridge by least squares, isotonic levels by the min-max formula."""
+    import zlib
+
+    x = np.stack([quality_model.statistics(t or "") for _, t in docs]).astype(np.float64)
+    d = x.shape[1]
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, 1 / (width * d**0.5), (d, features)), rng.uniform(0, 2 * np.pi, features)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -8, 8)
+    z = np.hstack([(2 / features) ** 0.5 * np.cos(z @ w + b), np.ones((len(x), 1))])
+    crc = np.array([zlib.crc32(str(i).encode()) for i, _ in docs])
+    at = np.array([k for k, (i, _) in enumerate(docs) if i in labels and crc[k] % 4 != 2])
+    y, fold = np.array([labels[docs[k][0]] for k in at], dtype=float), crc[at] // 4 % quality_model.FOLDS
+
+    def fit(rows):
+        weight = np.full(features + 1, (ridge * len(rows)) ** 0.5)
+        weight[-1] = 0
+        return np.linalg.lstsq(np.vstack([z[at[rows]], np.diag(weight)]), np.concatenate([y[rows], np.zeros(features + 1)]), rcond=None)[0]
+
+    out = np.concatenate([(z[at[rows]] @ fit(np.flatnonzero(fold != f))) for f in range(quality_model.FOLDS) for rows in [np.flatnonzero(fold == f)]])
+    order = np.concatenate([np.flatnonzero(fold == f) for f in range(quality_model.FOLDS)])
+    bins = np.clip(((out + 0.5) * (quality_model.BINS / 2)).astype(int), 0, quality_model.BINS - 1)
+    values = np.unique(bins)
+    total, n = (np.array([f(y[order][bins == v]) for v in values], dtype=float) for f in (np.sum, len))
+    mean = lambda i, j: total[i : j + 1].sum() / n[i : j + 1].sum()
+    level = np.array([max(min(mean(i, j) for j in range(k, len(values))) for i in range(k + 1)) for k in range(len(values))])
+    place = (values + 0.5) / (quality_model.BINS / 2) - 0.5
+    centres = [np.average(place[level == v], weights=n[level == v]) for v in np.unique(level)]
+    return np.clip(np.interp(z @ fit(np.arange(len(at))), centres, np.unique(level)), 0, 1)
+
+
+def test_scores_equal_those_of_plain_numpy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = dict(zip((i for i, _ in rows), plain_scores(rows, {r.doc_id: r.quality for r in labels.collect()})))
+    got = quality_model.score_quality(docs, labels).collect()
+    assert len(got) == len(want) and max(abs(r.score - want[r.doc_id]) for r in got) < 1e-3
+
+
 # --- op3 -------------------------------------------------------------------------------------------------------
 
 
@@ -137,7 +176,7 @@ def plain_counts(text):
 def test_counts(spark):
     texts = [r[1] for r in ROWS] + ["a b c d e a b c d e f g", "x\nx\n \n\ny\nx", "# $% a&b <|>", "a a a a a a a a", "\x0ba\x1cb\x85c é\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: tuple(r._q_counts)[:5] for r in quality_rules.with_counts(docs).collect()}
+    got = {r.doc_id: tuple(r.counts)[:5] for r in quality_rules.with_counts(docs).collect()}
     assert got == {k: plain_counts(t) for k, t in enumerate(texts)}
 
 
@@ -248,6 +287,45 @@ def test_pseudonyms_of_more_forms():
     assert digits("+44 20 7946 0958") == digits("+442079460958") == re.sub(r"\D", "", p.apply("+44 (0)20 7946 0958")[0].replace("(0)", ""))
 
 
+def test_equal_values_are_linked_on_a_whole_table(spark):
+    """Cards, e-mails and addresses of all documents, found by plain expressions: one pseudonym for each value and one value for each pseudonym."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in ps.findings(docs, KEY).collect()}
+    assert before.keys() == after.keys()
+    plain = {"card": r"(?<![\w.-])\d{16}(?![\w.-])", "email": r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", "ip": r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w.-])"}
+    for kind, pattern in plain.items():
+        pairs = set()
+        for i, text in before.items():
+            old, new = (re.findall(pattern, t or "") for t in (text, after[i]))
+            assert len(old) == len(new)
+            pairs |= set(zip(old, new))
+        if kind == "card":
+            valid = {(a, b) for a, b in pairs if ps.luhn_digit(a[:-1]) == int(a[-1]) and len(set(a)) > 1}
+            assert all(a == b for a, b in pairs - valid) and all(ps.luhn_digit(b[:-1]) == int(b[-1]) for _, b in valid)
+            pairs = valid
+        if kind == "ip":
+            pairs = {(a, b) for a, b in pairs if all(int(x) < 256 and str(int(x)) == x for x in a.split("."))}
+        assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}), kind
+        assert not pairs or sum(a == b for a, b in pairs) <= len(pairs) // 50
+
+
+def test_equal_addresses_in_other_case_are_linked():
+    p = ps.Pseudonymiser(KEY)
+    a, b = (p.apply(t)[0] for t in ("Jane.Doe7@example.org", "jane.doe7@example.org"))
+    assert a != b and a.lower() == b.lower() and [c.isupper() for c in a] == [c.isupper() for c in "Jane.Doe7@example.org"]
+
+
+def test_keys_are_the_sessions(spark):
+    key = ps.session_key(spark)
+    assert key == ps.session_key(spark) and len(key) >= 32
+    spark.conf.set(ps.KEY_SETTING, "mine")
+    try:
+        assert ps.session_key(spark) == b"mine"
+    finally:
+        spark.conf.unset(ps.KEY_SETTING)
+
+
 def test_pseudonyms_of_odd_rows(odd, none):
     same = lambda df: Counter((r.doc_id, r.text, r.n) for r in df.collect())
     done = ps.pseudonymise(odd, KEY)
