@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import exact_dedup, jaccard_join, packing, pseudonyms, quality_rules
-from larkspur.llm.common import shared_folder
+from larkspur.llm.common import remove, shared_folder, staged_tables
 
 SEQUENCE_TOKENS = 2048
 #: Near copies share this percentage of their distinct shingles of so many words.
@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal data."""
-    return pseudonyms.pseudonymise(docs, pseudonyms.DEMO_KEY)
+    return pseudonyms.pseudonymise(docs, pseudonyms.session_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
+    """All stages over ``documents`` of ``sf_dir``. What a stage staged and its input are deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark)}/larkspur/pipeline-{uuid.uuid4().hex}"
+    before, written = staged_tables(), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        for left in [*(staged_tables() - before), *([written] if written else [])]:
+            remove(spark, left)
+        docs, written = spark.read.parquet(path), path
     return docs
