@@ -74,10 +74,11 @@ class Codec:
         import sentencepiece
 
         self.ranks = ranks
-        self.tokens = sorted(ranks, key=ranks.__getitem__)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.split = pretokens.split if pattern == pretokens.PATTERN else regex.compile(pattern).findall
         self.table = {b: pretokens.BYTE_CHARS[b] for b in range(256)}
+        back = {c: b for b, c in self.table.items()}
+        self.tokens = [bytes(back[c] for c in self.model.id_to_piece(k)) for k in range(len(ranks))]
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, pre_tokens: list[str]) -> dict[str, bytes]:

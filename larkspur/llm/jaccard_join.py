@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep_marked, passing, slices, slots, stage, unstage
+from larkspur.llm.common import keep_marked, passing, slices, slots, small, stage, unstage
 
 #: What op10's SQL takes; callers without it give their own.
 SHINGLE = 4
@@ -51,10 +51,10 @@ SAMPLE = 8
 LEAST_COUNT = 4
 MARK_BITS = 24
 MOST_MARKED = 1 << 21
-SET_ROWS = 1000  # documents whose sets are held at once
+SET_ROWS = 500  # documents whose sets are held at once
 BUCKET_SHINGLES = 4_000_000
 
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -169,7 +169,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.i
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, SET_ROWS) for whole in batches for k in range(0, whole.num_rows, SET_ROWS)):
+        for b in small(batches, SET_ROWS):
             n, k1, k2, wide, tokens = [], [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), shingle):
                 key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)

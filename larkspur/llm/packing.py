@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, positions, stage, unstage
+from larkspur.llm.common import batch, positions, small, stage, unstage
 from larkspur.llm.tokenizing import encode_texts
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -77,7 +77,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), encode_texts(tokenizer, b.column(1).to_pylist())):
                 raw = ids.astype("<u4").tobytes()

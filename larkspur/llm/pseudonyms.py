@@ -31,6 +31,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm.common import small
+
 ROUNDS = 8
 #: The setting that holds the key of ``session_key``.
 KEY_SETTING = "spark.larkspur.pseudonymKey"
@@ -263,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonymiser(key)
-        for b in batches:
+        for b in small(batches):
             texts = pa.array([None if t is None else p.apply(t)[0] for t in b.column(at).to_pylist()], type=b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 
@@ -276,7 +278,7 @@ def findings(docs: DataFrame, key: bytes) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonymiser(key)
-        for b in batches:
+        for b in small(batches):
             done = [(None, {}) if t is None else p.apply(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([t for t, _ in done], pa.string()), pa.array([sum(f.values()) for _, f in done], pa.int64()), pa.array([",".join(f"{k}:{n}" for k, n in sorted(f.items())) for _, f in done], pa.string())], schema=schema

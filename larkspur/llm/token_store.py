@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, shared_folder, stage, unstage
+from larkspur.llm.common import batch, shared_folder, small, stage, unstage
 from larkspur.llm.tokenizing import encode_texts
 
 VERSION = 1
@@ -86,7 +86,7 @@ def train(samples: list[bytes], size: int) -> bytes:
 
 def _sample(docs: DataFrame, o: StoreOptions) -> list[bytes]:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([serialise(x, o.width) for x in encode_texts(o.tokenizer, b.column(0).to_pylist())], pa.binary())], ["ids"])
 
     chosen = docs.where(F.char_length("text").between(1, o.sample_chars)).select("text").orderBy(F.xxhash64("text")).limit(o.sample_docs)
@@ -102,7 +102,7 @@ def write_store(docs: DataFrame, folder: str, o: StoreOptions) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _compressor(dictionary, o.level)
-        for b in batches:
+        for b in small(batches):
             lengths, frames = [], []
             for ids in encode_texts(o.tokenizer, b.column(1).to_pylist()):
                 lengths.append(len(ids))

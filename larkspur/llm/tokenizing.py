@@ -16,7 +16,8 @@ from larkspur.llm.pretokens import BYTE_CHARS, split
 END_ID = 0
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _LONG = 1 << 18
-CACHED = 400_000
+#: Pre-tokens that each of two generations holds.
+CACHED = 125_000
 _BYTES = {b: BYTE_CHARS[b] for b in range(256)}
 CACHED_CHARS = 48
 
@@ -45,16 +46,20 @@ def cut_points(text: str) -> list[str]:
 
 
 class _Known(dict):
-    """Ids of pre-tokens; unknown ones are encoded when they are asked for. Begun anew where it has grown too large."""
+    """Ids of pre-tokens; unknown ones are encoded when they are asked for. Where it has grown too large, those of the last
+    generation are kept that are asked for again."""
 
     def __init__(self, merge):
         self.merge = merge
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, pre_token: str) -> bytes:
-        # the bytes of a pre-token as the characters that stand for them, merged by the library's model
-        ids = array("I", [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        ids = self.older.get(pre_token)
+        if ids is None:  # the bytes of a pre-token as the characters that stand for them, merged by the library's model
+            ids = array("I", [t.id for t in self.merge(pre_token.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         if len(pre_token) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[pre_token] = ids
         return ids
