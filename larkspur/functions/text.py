@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
-def _ordered_trigrams(text: str) -> list[str]:
+def ordered_trigrams(text: str) -> list[str]:
     import re
 
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
@@ -40,8 +42,8 @@ def best_extent(query: str, text: str) -> float:
 
     Only runs from one of the query's trigrams to another can be best; others cost size and win nothing.
     """
-    wanted = set(_ordered_trigrams(query))
-    have = _ordered_trigrams(text)
+    wanted = set(ordered_trigrams(query))
+    have = ordered_trigrams(text)
     hits = [k for k, t in enumerate(have) if t in wanted]
     best = 0.0
     for a, start in enumerate(hits):
@@ -99,39 +101,84 @@ def merged_header(rows: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.array_join(F.array_distinct(F.filter(F.transform(rows, lambda r: F.coalesce(F.get(r, i), F.lit(""))), lambda x: x != "")), " "))
 
 
-#: Heading patterns in the order they are tried, with kind and level (0: by the number's depth).
+#: Heading patterns in the order they are tried; the first that fits decides. Kind, pattern with the title
+#: as its last group, level (0: one more than the number's depth), whether the title may end like a sentence.
 HEADINGS = (
-    ("chapter", r"^제\s*\d+\s*장(?:\s+\S.*)?$", 1),
-    ("appendix", r"^(?:Appendix|APPENDIX|부록)\s+[A-Z0-9]+(?:[.:]?\s+\S.*)?$", 1),
-    ("table", r"^(?:Table|TABLE|표)\s+\d+(?:[.\-]\d+)*[.:]?\s+\S.*$", 4),
-    ("roman", r"^[IVX]{1,5}\.\s+\S.*$", 1),
-    ("letter", r"^[A-Z]\.\s+\S.*$", 2),
-    ("decimal", r"^\d{1,2}(?:\.\d{1,2}){0,4}\.?\s+\S.*$", 0),
-    ("hangul", r"^[가-하]\.\s+\S.*$", 3),
+    ("division", r"^제\s*\d+\s*[편장]\.?\s*(\S.*)?$", 1, False),
+    ("section", r"^제\s*\d+\s*절\.?\s*(\S.*)?$", 2, False),
+    ("appendix", r"^(?:APPENDIX|Appendix|ANNEX|Annex|부록)\s*[A-Z0-9IVX]*\s*[:.\-–]?\s*(.*)$", 1, False),
+    ("table", r"^Table\s+(?:\d{1,3}(?:[.\-]\d{1,3})*|[A-Z]\d{0,2}(?:[.\-]\d{1,3})*)[.:]?\s+(\S.*)$", 9, True),
+    ("roman", r"^(?:(?:X{0,3}(?:IX|IV|V?I{1,3})|X{1,3}|V|IV|IX)|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ])\.\s+(\S.*)$", 1, False),
+    ("letter", r"^[A-H]\.\s+([A-Z][^\s]*.*)$", 2, True),
+    ("decimal", r"^\d{1,2}(?:\.\d{1,2}){0,4}\.?\s+(\S.*)$", 0, False),
+    ("item", r"^[가나다라마바사아자차카타파하]\.\s+(\S.*)$", 6, False),
 )
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+#: Dot leaders of contents lines, ends of sentences, months, openings of a title.
+LEADER = r"(?:\.\s?){5,}|(?:·\s?){5,}|(?:…\s?){2,}|(?:‥\s?){3,}"
+SENTENCE_END = r"(?:[.;,:]|다|음|함|임)\s*$"
+MONTH = r"(?i)^(?:january|february|march|april|may|june|july|august|september|october|november|december)\b"
+OPENING = r'^[\p{Lu}\p{Nd}가-힣(“"]'
+TITLE_CHARS, TITLE_WORDS = 80, 12
+
+
+def _evened(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def _plausible(title: Column, may_end: Column | bool) -> Column:
+    """Whether a title is short, not mostly digits, no sentence and no date, and begins as titles do."""
+    return (
+        (F.char_length(title) <= TITLE_CHARS)
+        & (F.size(F.split(title, " ")) <= TITLE_WORDS)
+        & (F.regexp_count(title, F.lit(r"\p{Nd}")) <= F.regexp_count(title, F.lit(r"\p{L}")))
+        & ((F.lit(may_end) if isinstance(may_end, bool) else may_end) | ~title.rlike(SENTENCE_END))
+        & ~F.contains(F.concat(F.lit(" "), title, F.lit(" ")), F.lit(" should "))
+        & ~title.rlike(MONTH)
+        & title.rlike(OPENING)
+    )
 
 
 def heading_kind(line: Column, following: Column) -> Column:
-    """Kind of heading a line is, or NULL: the first pattern that fits, within limits of length and wording."""
-    text = strip(line)
-    title = F.regexp_replace(text, r"^\S+\s+", "")
-    plausible = (
-        (F.char_length(text) <= 80)
-        & (F.size(F.split(text, r"\s+")) <= 12)
-        & (F.regexp_count(text, F.lit(r"[0-9]")) <= F.regexp_count(text, F.lit(r"\p{L}")))
-        & ~text.rlike(r"[.;,]$")
-        & ~F.contains(text, F.lit(" should "))
-        & ~title.rlike(rf"^(?:{_MONTHS})\b")
-        & ~F.coalesce(strip(following).rlike(r"^\p{Ll}"), F.lit(False))
-    )
-    kind = F.coalesce(*(F.when(text.rlike(p), F.lit(k)) for k, p, _ in HEADINGS))
-    return F.when(plausible, kind)
+    """Kind of heading a line is, or NULL. The first pattern that fits decides, and its title has to be plausible; contents
+    lines and lines that the following one continues in lower case are none."""
+    text = _evened(line)
+    out = F.lit(None).cast("string")
+    for kind, pattern, _, may_end in reversed(HEADINGS):
+        title = strip(F.regexp_extract(text, pattern, 1))
+        ok = _plausible(title, title.endswith(":") if kind == "appendix" else may_end)
+        if kind in ("division", "section", "appendix"):
+            ok = (title == "") | ok
+        if kind == "appendix":
+            ok &= text.rlike(r"^(?:Appendix|Annex|부록)|^\P{Ll}+(?:\s|$)")
+        if kind == "table":
+            ok &= ~title.rlike(r"^\p{Nd}")
+        if kind == "letter":
+            ok &= F.size(F.split(title, " ")) <= 10
+        if kind == "decimal":  # a single number before Korean words is mostly a wrapped sentence
+            ok &= ~(title.rlike("^[가-힣]") & text.rlike(r"^\d+\s"))
+        if kind == "item":
+            ok &= (F.char_length(title) <= 25) & ~F.contains(title, F.lit(","))
+        out = F.when(text.rlike(pattern), F.when(ok, F.lit(kind))).otherwise(out)
+    whole = (text != "") & (F.char_length(text) <= TITLE_CHARS + 12) & ~text.rlike(LEADER) & ~F.coalesce(strip(following).rlike("^[a-z]"), F.lit(False))
+    return F.when(whole, out)
+
+
+def heading_number(line: Column) -> Column:
+    """The numbers that a decimal heading begins with."""
+    return F.split(F.regexp_extract(_evened(line), r"^(\d{1,2}(?:\.\d{1,2}){0,4})", 1), r"\.").cast("array<int>")
 
 
 def heading_level(line: Column, kind: Column) -> Column:
-    depth = F.size(F.split(F.regexp_extract(strip(line), r"^(\d{1,2}(?:\.\d{1,2})*)", 1), r"\."))
-    return F.coalesce(*(F.when(kind == k, F.lit(level) if level else depth) for k, _, level in HEADINGS))
+    return F.coalesce(*(F.when(kind == k, F.lit(level) if level else 1 + F.size(heading_number(line))) for k, _, level, _ in HEADINGS))
+
+
+def page_text(c: Column) -> Column:
+    """Extracted page text, evened out: composed characters, Korean middle dots, common spaces, no NUL."""
+    def composed(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else unicodedata.normalize("NFC", x) for x in texts], dtype="object")
+
+    plain = F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.pandas_udf(composed, "string")(c))
+    return F.translate(plain, "\u119e\u318d\u00a0\u0000", "\u00b7\u00b7 ")
 
 
 def markdown_level(line: Column) -> Column:

@@ -10,7 +10,38 @@ from larkspur.functions import text as t
 GROUNDED = "answer string, cited_context_ids array<int>, insufficient_evidence boolean"
 EXTERNAL = ("public",)
 REASONS = ("OUT_OF_SCOPE", "NO_EVIDENCE", "MODEL_REFUSED")
-SUBJECT = "patient|chart|record|scan|image"
+#: Patterns of requests about a person, a scan or a result. A subject and a request together, or a phrase that
+#: is a request by itself; Korean and English. BASELINE is the older single pattern, kept to be measured against.
+KO_SUBJECT = (
+    r"(?<![가-힣])(이|그|저|우리|제|내)\s*(환자|영상|사진|CT|MRI|MR|PET|스캔|결절|병변|종양|림프절|검사|판독지|"
+    r"결과지)|아버지|어머니|엄마|아빠|남편|아내|할머니|할아버지|가족|아들|딸"
+)
+KO_REQUEST = (
+    r"판독|진단|처방|"
+    r"(암|악성|양성|전이|재발|진행)(인가요|인지|일까|이에요|예요|일 확률|맞나요|인 거죠)|"
+    r"(치료|약|항암제?|요법)(를|을)?\s*(바꿔|중단|그만|계속|추천|결정)|"
+    r"(써도|맞아도|먹어도|투여해도|받아도)\s*(되|괜찮)|용량을?\s*(얼마|몇)|몇\s*mg|"
+    r"수술해야|조직검사를?\s*해야|얼마나\s*(사실|살)"
+)
+KO_PHRASE = (
+    r"(판독|진단|처방)\s*해\s*(줘|주세요|줄래|달라|주실)|처방해야|"
+    r"(결절|병변|종양|종괴)(이|가)\s*(있나요|있어요|보이나요|맞나요)|"
+    r"(암|악성)(인지|인가요|일까요?)\s*(알려|봐|판단)?|"
+    r"(재발|전이|가성진행)(인지|일까요?)\s*(봐|알려|판단|구분)"
+)
+EN_SUBJECT = r"\b(my|our|this|the attached|the patient i)\s+(patient|scan|ct|mri|pet|x-ray|nodule|lesion|report|mother|father|dad|mom)"
+EN_REQUEST = (
+    r"\b(read|interpret)\s+(this|my|the attached)\b|\bdiagnose\b|"
+    r"\bshould\s+(i|we)\s+(stop|continue|start|switch|change|give|escalate|prescribe)\b|"
+    r"\bis\s+(it|this|the \w+)\s+(cancer|malignant|benign)\b|"
+    r"\bwhat\s+(dose|drug|regimen)\b.*\b(i|we|my|our)\b|\bhow long does (my|our)\b"
+)
+REQUEST = rf"(({KO_SUBJECT}).*({KO_REQUEST}))|({KO_PHRASE})|({EN_SUBJECT})|({EN_REQUEST})"
+BASELINE = (
+    r"(결절|병변|종양|암\s*(이|인지|일까|여부)|악성|양성인지|"
+    r"진단(해|을\s*내려|명)|판독\s*(해|결과|소견)|소견(을|이)\s*(알려|뭐)|"
+    r"처방|투약|복용|용량을|치료\s*(방법|법|해야)|어떤\s*약)"
+)
 
 
 def source_label(file: Column, edition: Column, page: Column, section: Column) -> Column:
@@ -73,9 +104,20 @@ def blocked_corpora(documents: DataFrame, allowed: tuple[str, ...] = EXTERNAL) -
     return documents.select("corpus", "classification").distinct().groupBy("corpus").agg(F.bool_or(~allows_external(F.col("classification"), allowed)).alias("blocked"))
 
 
-def request_scope(question: Column, pattern: str) -> Column:
+def request_scope(question: Column, pattern: str = REQUEST) -> Column:
     """Whether the out-of-scope request pattern occurs, case aside."""
-    return question.rlike(f"(?i){pattern}")
+    return question.rlike(f"(?iu){pattern}")
+
+
+def scope_decision(question: Column, margin: Column, threshold: float, classifier: str = "full") -> Column:
+    """Struct of out_of_scope and method. full: the request pattern, else the margin of exemplars from ``threshold`` on;
+    regex: the pattern alone; baseline: the older pattern alone; off: nothing is out of scope."""
+    if classifier not in ("full", "regex", "baseline", "off"):
+        raise ValueError(f"no classifier {classifier}")
+    by_pattern = {"off": F.lit(False), "baseline": request_scope(question, BASELINE)}.get(classifier, request_scope(question))
+    by_margin = F.coalesce(margin >= threshold, F.lit(False)) if classifier == "full" else F.lit(False)
+    method = F.when(by_pattern, "regex").when(by_margin, "embedding").otherwise("none")
+    return F.struct((by_pattern | by_margin).alias("out_of_scope"), method.alias("method"))
 
 
 def log_rows(asked: DataFrame) -> DataFrame:

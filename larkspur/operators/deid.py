@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.conformance import finding
 
-#: What a combined action comes to for an attribute of a type; None: type unknown.
-RESOLVED = (
-    ("X/Z", "1", "Z"), ("X/Z", "2", "Z"), ("X/Z", "3", "X"), ("X/Z", None, "X"),
-    ("X/D", "1", "D"), ("X/D", "2", "D"), ("X/D", "3", "X"), ("X/D", None, "X"),
-    ("Z/D", "1", "D"), ("Z/D", "2", "Z"), ("Z/D", "3", "Z"), ("Z/D", None, "Z"),
-    ("X/Z/D", "1", "D"), ("X/Z/D", "2", "Z"), ("X/Z/D", "3", "X"), ("X/Z/D", None, "X"),
-    ("X/Z/U*", "1", "U"), ("X/Z/U*", "2", "Z"), ("X/Z/U*", "3", "X"), ("X/Z/U*", None, "X"),
-)
+#: Combined actions, and the types an attribute can have.
+COMBINED = ("X/Z", "X/D", "Z/D", "X/Z/D", "X/Z/U*")
+TYPES = ("1", "2", "3")
+
+
+def _combined(action: str, kind: str | None) -> str:
+    """What a combined action comes to: its alternatives go from removal to the most lenient. Type 3 may be removed, type 2
+    may be empty, type 1 takes the most lenient one, as does an unknown type."""
+    choices = action.split("/")
+    return choices[0] if kind == "3" else "Z" if kind == "2" and "Z" in choices else choices[-1]
 
 
 def with_rules(tags: DataFrame, profile: DataFrame) -> DataFrame:
@@ -31,12 +33,10 @@ def effective(options: Column, basic: Column, applied: list[str]) -> Column:
 
 
 def resolve(action: Column, kind: Column) -> Column:
-    """A combined action by the attribute's type (its C aside); an unknown type takes the most lenient."""
-    base = F.regexp_replace(F.coalesce(kind, F.lit("")), "C$", "")
-    out = action
-    for a, t, r in RESOLVED:
-        out = F.when((action == a) & (base == (t or "")), r).otherwise(out)
-    return out
+    """A combined action by the attribute's type (its C aside); an unknown type takes the most lenient. One look-up."""
+    base = F.regexp_extract(F.coalesce(kind, F.lit("")), "^([123])C?$", 1)
+    known = F.create_map(*(F.lit(x) for a in COMBINED for k in (*TYPES, None) for x in (f"{a}|{k or ''}", _combined(a, k))))
+    return F.coalesce(F.try_element_at(known, F.concat(action, F.lit("|"), base)), action)
 
 
 def action_findings(tags: DataFrame, profile: DataFrame, types: DataFrame, applied: list[str]) -> DataFrame:
@@ -49,7 +49,8 @@ def action_findings(tags: DataFrame, profile: DataFrame, types: DataFrame, appli
     gone = ruled.where("action = 'X' and vr = 'SQ'").select(F.col("file").alias("_f"), F.col("path").alias("_p"))
     open_ = ruled.join(gone, F.expr("file = _f and startswith(path, concat(_p, '.'))"), "left_anti")
     action, full = F.col("action"), F.col("state") == "exists"
-    code = F.when((action == "X") & full, "L2-X-PRESENT").when((action == "X") & ~full, "L2-X-EMPTY").when((action == "Z") & full, "L2-Z-VALUE").when((action == "D") & full, "L2-D-CHECK").when((action == "D") & ~full, "L2-D-EMPTY").when((action == "U") & full, "L2-U-CHECK").when((action == "C") & full, "L2-C-CHECK")
+    renewed = action.isin("U", "U*")
+    code = F.when((action == "X") & full, "L2-X-PRESENT").when((action == "X") & ~full, "L2-X-EMPTY").when((action == "Z") & full, "L2-Z-VALUE").when((action == "D") & full, "L2-D-CHECK").when((action == "D") & ~full, "L2-D-EMPTY").when(renewed & full, "L2-U-CHECK").when((action == "C") & full, "L2-C-CHECK")
     severity = F.when(action == "X", F.when(full, "error").otherwise("warning")).when(action == "Z", "error").when((action == "D") & ~full, "warning").otherwise("info")
     return finding(open_.withColumn("_code", code).where("_code is not null"), F.col("_code"), severity, "deid", action=action)
 
@@ -84,8 +85,8 @@ def option_union(policy: list[str], claims: DataFrame, order: list[str], honour:
 
 
 def private_findings(tags: DataFrame, retained: bool) -> DataFrame:
-    """One line for each file with private elements: how many, in which groups, and up to five paths."""
-    private = tags.where(F.col("tag").rlike("^...[13579BDF]")).groupBy("file").agg(F.count("*").alias("c"), F.array_join(F.slice(F.array_sort(F.collect_set(F.substring("tag", 1, 4))), 1, 50), ",").alias("groups"), F.min("path").alias("path"))
+    """One line for each file with private elements: how many, in which groups, and the first five paths, comma-joined."""
+    private = tags.where(F.col("tag").rlike("^...[13579BDF]")).groupBy("file").agg(F.count("*").alias("c"), F.array_join(F.slice(F.array_sort(F.collect_set(F.substring("tag", 1, 4))), 1, 50), ",").alias("groups"), F.array_join(F.slice(F.array_sort(F.collect_set("path")), 1, 5), ",").alias("path"))
     return finding(private, "L2-PRIVATE", "info" if retained else "error", "deid", action=F.col("groups"), n=F.col("c"))
 
 

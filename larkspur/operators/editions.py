@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KINDS = ("ver", "rev", "amd")
-#: Token patterns in the order they are tried, with the kind of number they give.
+#: Token patterns in the order they are tried, with the kind of number they give. A Latin token touches no
+#: ASCII letter or digit; a bare R needs brackets or an id such as E6 before it. Words without a number come last.
 TOKENS = (
-    ("amd", r"(?<![a-z])amend(?:ment)?[ ._-]*(\d+(?:\.\d+)*)"),
-    ("rev", r"제?\s*(\d+)\s*차\s*개정"),
-    ("rev", r"개정\s*(\d+(?:\.\d+)*)"),
-    ("rev", r"(?<![a-z])rev(?:ision)?[ ._-]*(\d+(?:\.\d+)*)"),
-    ("ver", r"(?<![a-z])ver(?:sion)?[ ._-]*(\d+(?:\.\d+)*)"),
-    ("ver", r"(?<![a-z0-9])v[ ._-]?(\d+(?:\.\d+)*)"),
-    ("rev", r"\(r(\d+)\)"),
-    ("rev", r"(?<=\d)[ _-]r(\d+)(?![a-z0-9])"),
+    ("amd", r"(?<![0-9A-Za-z])amend(?:ment)?\.?\s*(?P<n>\d+(?:\.\d+)*)(?![0-9A-Za-z])"),
+    ("rev", r"제?\s*(?P<n>\d+)\s*차\s*개정"),
+    ("rev", r"개정\s*(?P<n>\d+)"),
+    ("rev", r"(?<![0-9A-Za-z])rev(?:ision)?\.?\s*(?P<n>\d+(?:\.\d+)*)(?![0-9A-Za-z])"),
+    ("ver", r"(?<![0-9A-Za-z])ver(?:sion)?\.?\s*(?P<n>\d+(?:\.\d+)*)(?![0-9A-Za-z])"),
+    ("ver", r"(?<![0-9A-Za-z])v\.?(?P<n>\d+(?:\.\d+)*)(?![0-9A-Za-z])"),
+    ("rev", r"\(\s*(?P<label>r(?!0\d)(?P<n>\d+(?:\.\d+)*))\s*\)"),
+    ("rev", r"(?:(?<=[A-Za-z]\d)|(?<=[A-Za-z]\d\d)|(?<=[A-Za-z]\d\d\d))(?P<label>r(?!0\d)(?P<n>\d+(?:\.\d+)*))(?![0-9A-Za-z])"),
+    (None, r"개정|최종"),
 )
-_DATES = (re.compile(r"(?<!\d)((?:19|20)\d{2})[-._]?(\d{2})[-._]?(\d{2})(?!\d)"),)
+#: A bare revision in a label, a date with one separator or none, the suffixes that names are freed of.
+BARE_REVISION = r"(?<![0-9A-Za-z])r(?!0\d)(?P<n>\d+(?:\.\d+)*)(?![0-9A-Za-z])"
+CALENDAR = r"(?<!\d)(?P<y>(?:19|20)\d{2})(?:(?P<s>[-._])?(?P<m>\d{2})(?P=s)(?P<d>\d{2})|(?P<m2>\d{2})(?P<d2>\d{2}))(?!\d)"
+SUFFIXES = r"\.(?:pdf|docx|xlsx|md|markdown|txt|xml|html|htm)$"
 VERSION = "struct<ver:array<int>,rev:array<int>,amd:array<int>>"
 
 
@@ -34,55 +39,88 @@ def numbers(label: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-def scan(name: str) -> tuple[dict[str, list[tuple[int, ...]]], date | None, str]:
-    """Tokens by kind, the first valid date, and what is left; matches are blanked before the next pattern looks."""
-    rest, day = unicodedata.normalize("NFC", name).casefold(), None
-    for pattern in _DATES:
-        for m in pattern.finditer(rest):
+class Scan:
+    """Edition tokens of a name: (place, kind, label, numbers), the first valid date, and the name with both blanked."""
+
+    def __init__(self, name: str):
+        self.rest, self.date = unicodedata.normalize("NFC", name), None
+        self.tokens: list[tuple[int, str | None, str, tuple[int, ...] | None]] = []
+        for m in re.finditer(CALENDAR, self.rest):
             try:
-                day = day or date(*map(int, m.groups()))
+                day = date(int(m["y"]), int(m["m"] or m["m2"]), int(m["d"] or m["d2"]))
             except ValueError:
                 continue
-            rest = rest[: m.start()] + " " * len(m[0]) + rest[m.end() :]
-            break
-    found: dict[str, list[tuple[int, ...]]] = {}
-    for kind, pattern in TOKENS:
-        for m in re.finditer(pattern, rest):
-            found.setdefault(kind, []).append(numbers(m[1]))
-        rest = re.sub(pattern, lambda m: " " * len(m[0]), rest)
-    return found, day, rest
+            self.date = self.date or day
+            self._blank(m)
+        for kind, pattern in TOKENS:
+            self.take(kind, pattern)
+
+    def _blank(self, m: re.Match) -> None:
+        self.rest = self.rest[: m.start()] + " " * (m.end() - m.start()) + self.rest[m.end() :]
+
+    def take(self, kind: str | None, pattern: str) -> None:
+        for m in re.finditer(pattern, self.rest, re.IGNORECASE):
+            parts = m.groupdict()
+            self.tokens.append((m.start(), kind, (parts.get("label") or m[0]).strip(), numbers(parts["n"]) if kind else None))
+            self._blank(m)
+
+    def version(self) -> dict[str, list[int] | None]:
+        """The first numbers of each kind."""
+        found: dict[str, list[int]] = {}
+        for _, kind, _, n in sorted(self.tokens, key=lambda x: x[0]):
+            if kind:
+                found.setdefault(kind, list(n))
+        return {k: found.get(k) for k in KINDS}
+
+    def about_a_change(self) -> bool:
+        """Whether two tokens are of one kind: a document about a change between editions is an edition of neither."""
+        kinds = [kind for _, kind, _, _ in self.tokens if kind]
+        return len(kinds) != len(set(kinds))
 
 
-def family(rest: str) -> str:
-    return " ".join(re.sub(r"[^0-9a-zㄱ-ㆎ가-힣]+", " ", unicodedata.normalize("NFC", rest).casefold()).split())
+def family(rest: str) -> str | None:
+    return " ".join(re.sub(r"[^0-9a-zㄱ-ㆎ가-힣]+", " ", unicodedata.normalize("NFC", rest).casefold()).split()) or None
+
+
+def _stem(name: str) -> str:
+    return re.sub(SUFFIXES, "", name, flags=re.IGNORECASE)
 
 
 def infer(name: str) -> dict:
-    """family, version, date of a file name; two tokens of one kind mark a change document, which stands alone, and a
-    date alone makes no family."""
-    stem = re.sub(r"\.[A-Za-z]{2,5}$", "", name)
-    found, day, rest = scan(stem)
-    alone = not found or any(len(x) > 1 for x in found.values())
-    return {"family": None if alone else family(rest), "version": None if alone else {k: list(found[k][0]) if k in found else None for k in KINDS}, "date": day}
+    """family, label, version, date of a file name; two tokens of one kind mark a change document, which stands alone, a
+    word such as "final" makes a family without a version, and a date alone makes no family."""
+    found = Scan(_stem(name))
+    if not found.tokens or found.about_a_change():
+        return {"family": None, "label": None, "version": None, "date": found.date}
+    label = " ".join(x for _, _, x, _ in sorted(found.tokens, key=lambda x: x[0]))
+    return {"family": family(found.rest), "label": label, "version": found.version(), "date": found.date}
+
+
+def core_name(name: str) -> str | None:
+    """A name without its tokens and dates, evened out; None for a change document or where nothing is left."""
+    found = Scan(_stem(name))
+    return None if found.about_a_change() else family(found.rest)
 
 
 def parse_label(label: str | None) -> dict | None:
-    """Comparable numbers of a version label; a bare number counts as a version."""
+    """Comparable numbers of a version label; a bare R is a revision and a bare number a version."""
     if not label:
         return None
-    found, _, _ = scan(label)
-    if not found and (m := re.fullmatch(r"\s*(\d+(?:\.\d+)*)\s*", label)):
-        found = {"ver": [numbers(m[1])]}
-    return {k: list(found[k][0]) if k in found else None for k in KINDS} if found else None
+    found = Scan(label)
+    found.take("rev", BARE_REVISION)
+    version = found.version()
+    if not any(version.values()) and (m := re.fullmatch(r"\s*(\d+(?:\.\d+)*)\s*", label)):
+        version["ver"] = list(numbers(m[1]))
+    return version if any(version.values()) else None
 
 
 def infer_column(name: Column) -> Column:
     import pandas as pd
 
     def rows(names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([infer(n or "") for n in names], columns=["family", "version", "date"])
+        return pd.DataFrame([infer(n or "") for n in names], columns=["family", "label", "version", "date"])
 
-    return F.pandas_udf(rows, f"struct<family:string,version:{VERSION},date:date>")(name)
+    return F.pandas_udf(rows, f"struct<family:string,label:string,version:{VERSION},date:date>")(name)
 
 
 def compare(a: str, b: str) -> Column:
@@ -106,16 +144,18 @@ def latest(documents: DataFrame, by: str = "corpus") -> DataFrame:
     Superseded members are hidden while a live one exists; of the rest, one is not latest if another is strictly newer.
     The order is partial, so each distinct edition of a family is compared with the others, not the documents.
     """
-    docs = documents.withColumn("_live", ~F.coalesce("superseded", F.lit(False)))
+    # documents without a family are latest; they would all meet in one group otherwise
+    alone = documents.where("family is null").withColumn("is_latest", F.lit(True))
+    docs = documents.where("family is not null").withColumn("_live", ~F.coalesce("superseded", F.lit(False)))
     group = Window.partitionBy(by, "family")
     docs = docs.withColumn("_any", F.max("_live").over(group)).withColumn("_pool", F.col("_live") | ~F.col("_any"))
     edition = F.struct("version", "date", "manifest")
-    kinds = docs.where("family is not null and _pool").select(by, "family", edition.alias("e")).distinct()
+    kinds = docs.where("_pool").select(by, "family", edition.alias("e")).distinct()
     pairs = kinds.select(by, "family", F.col("e").alias("a")).join(kinds.select(by, "family", F.col("e").alias("b")), [by, "family"])
     older = pairs.where(compare("b", "a") == 1).select(by, "family", F.col("a").alias("e")).distinct().withColumn("_old", F.lit(True))
     joined = docs.withColumn("e", edition).alias("d").join(older.alias("o"), F.col(f"d.{by}").eqNullSafe(F.col(f"o.{by}")) & (F.col("d.family") == F.col("o.family")) & F.col("d.e").eqNullSafe(F.col("o.e")), "left")
-    flag = F.col("d.family").isNull() | (F.col("d._pool") & F.col("o._old").isNull())
-    return joined.select(*(F.col(f"d.{c}") for c in documents.columns), flag.alias("is_latest"))
+    flag = F.col("d._pool") & F.col("o._old").isNull()
+    return joined.select(*(F.col(f"d.{c}") for c in documents.columns), flag.alias("is_latest")).unionByName(alone)
 
 
 def glob_regex(glob: str) -> str:
@@ -149,8 +189,12 @@ def draft_families(files: DataFrame, threshold: float = 0.85) -> DataFrame:
     import pandas as pd
 
     alike = F.pandas_udf(lambda a, b: pd.Series([draft_similarity(x, y) for x, y in zip(a, b)], dtype="float64"), "double", F.PandasUDFType.SCALAR)
-    a, b = (files.select(*(F.col(c).alias(f"{c}_{s}") for c in files.columns)) for s in "ab")
-    near = a.join(b, (F.col("folder_a") == F.col("folder_b")) & (F.col("format_a") == F.col("format_b")) & (F.col("file_id_a") < F.col("file_id_b")))
+    # names are alike only with equal digit runs and, as 2 * the shorter / both says, lengths near each other
+    named = files.where("core is not null").withColumn("digits", F.array_join(F.regexp_extract_all("core", F.lit("[0-9]+"), 0), " ")).withColumn("length", F.char_length("core"))
+    a, b = (named.select(*(F.col(c).alias(f"{c}_{s}") for c in named.columns)) for s in "ab")
+    equal = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("folder", "format", "digits")]
+    close = 2 * F.least("length_a", "length_b") >= threshold * (F.col("length_a") + F.col("length_b"))
+    near = a.join(b, [*equal, F.col("file_id_a") < F.col("file_id_b"), close])
     near = near.where(alike("core_a", "core_b") >= threshold).select(F.col("file_id_a").alias("x"), F.col("file_id_b").alias("y"))
     first = files.where("family is not null").withColumn("y", F.min("file_id").over(Window.partitionBy("family"))).select(F.col("file_id").alias("x"), "y").where("x <> y")
     edges = near.unionByName(first)

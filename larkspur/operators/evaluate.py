@@ -30,6 +30,32 @@ def outcome_metrics() -> list[Column]:
     ]
 
 
+def full_metrics() -> list[Column]:
+    """All metrics of a run. Beyond the columns of ``outcome_metrics``: citation_located, keyword_coverage, partial, answer,
+    schema_valid, generation_ms, input_tokens, output_tokens. Errors count as such alone; the rates named legacy take
+    every answer that was flagged as insufficient for a refusal."""
+    ok = F.col("error").isNull()
+    answerable, unanswerable = ok & F.col("answerable"), ok & ~F.col("answerable")
+    answered = answerable & ~F.col("refused")
+    flagged = F.col("refused") | F.col("partial")
+    only = lambda c, when: F.when(when, c)
+    wrote = ok & (F.col("generation_ms") > 0)
+    total = F.col("retrieval_ms") + F.col("generation_ms")
+    return [
+        F.count("*").alias("questions"), F.count_if(~ok).alias("errors"), F.count_if(answerable).alias("answerable"), F.count_if(unanswerable).alias("unanswerable"),
+        ratio(F.col("hit"), answerable).alias("hit_rate"), ratio(F.col("section_hit"), answerable).alias("section_hit_rate"),
+        ratio(F.col("citation_correct"), answered).alias("citation_accuracy"), ratio(F.col("citation_located"), answered).alias("citation_location"),
+        F.avg(only(F.col("keyword_coverage"), answered)).alias("keyword_coverage"),
+        ratio(F.col("refused"), unanswerable).alias("refusal_accuracy"), ratio(F.col("refused"), answerable).alias("false_refusal_rate"),
+        ratio(F.col("partial"), answerable).alias("partial_answer_rate"), F.count_if(unanswerable & F.col("partial")).alias("must_refuse_partial"),
+        ratio(flagged, answerable).alias("legacy_false_refusal_rate"), ratio(flagged, unanswerable).alias("legacy_refusal_accuracy"),
+        ratio(F.col("answer").rlike("[가-힣]"), answered).alias("korean_answer_rate"),
+        ratio(F.col("schema_valid"), ok & F.col("schema_valid").isNotNull()).alias("schema_valid_rate"),
+        *(percentile(only(c, when), p).alias(f"{name}_p{round(100 * p)}") for name, c, when in (("retrieval", F.col("retrieval_ms"), ok), ("generation", F.col("generation_ms"), wrote), ("total", total, ok)) for p in (0.5, 0.95)),
+        F.sum(only(F.col("input_tokens"), ok)).alias("input_tokens"), F.sum(only(F.col("output_tokens"), ok)).alias("output_tokens"),
+    ]
+
+
 def summarize(outcomes: DataFrame, by: tuple[str, str] = ("type", "lang")) -> DataFrame:
     """Overall and by each of two columns, in one pass by grouping sets; the other columns are NULL."""
     a, b = by

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,43 +39,167 @@ def searchable(chunks: DataFrame, documents: DataFrame, *, file_type: str | None
     return chunks.join(docs.select(*keep), "document_id")
 
 
-def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item: str = "item_id", query: str = "query_id", embedding: str = "embedding", extra: Column | None = None) -> DataFrame:
-    """The ``k`` best items of each query by cosine: query, item, score, rank; ties go to the smaller item id.
-
-    The queries are a stated set, replicated to the items' partitions while they are few and dealt in blocks beyond;
-    each partition keeps its own top k before anything is shuffled.
-    """
-    q = queries.select(F.col(query), F.col(embedding).alias("_q"), *([c for c in queries.columns if c not in (query, embedding)])).withColumn("_qn", v.norm(F.col("_q")))
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    names = [c for c in items.columns if c not in q.columns]
-    pairs = items.select(*names).withColumn("_n", v.norm(F.col(embedding))).join(q, extra if extra is not None else F.lit(True))
-    scored = pairs.withColumn("score", v.cosine(F.col(embedding), F.col("_q"), F.col("_n"), F.col("_qn")))
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of a list column as rows; NaN for NULL vectors, those of another width and those without direction."""
+    flat = column.flatten()
+    if not column.null_count and len(flat) == width * len(column) and not flat.null_count and (pc.list_value_length(column).to_numpy() == width).all():
+        out = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    else:
+        out = np.array([x if x is not None and len(x) == width else [np.nan] * width for x in column.to_pylist()], dtype=np.float64).reshape(-1, width)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(length > 0, length, np.nan)
+
+
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows (q, item, score) of each q: highest score first, NULLs last, then by item."""
+    found = found.take(pc.sort_indices(found, sort_keys=[("q", "ascending"), ("score", "descending"), ("item", "ascending")], null_placement="at_end"))
+    q = found.column("q").to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+    return found.filter(pa.array(place < k))
+
+
+_EXCLUDED, _NO_SCORE = -3.0, -2.0
+
+
+def _scored_topk(items: DataFrame, block: pa.Table, types: tuple, k: int, *, item: str, query: str, embedding: str, same: tuple[str, str] | None, cells: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """query, item, score: each partition's k best items of each query, by one matrix product for each batch of items.
+    ``cells``: centroids, and which of them each query probes."""
+    ids = block.column(query).combine_chunks()
+    first = next((x for x in block.column(embedding).to_pylist() if x is not None), [])
+    width = len(first)
+    vectors = _matrix(block.column(embedding).combine_chunks(), width) if width else np.full((len(ids), 1), np.nan)
+    keys = block.column(same[1]).to_pylist() if same else None
+    columns = [item, embedding, *([same[0]] if same else [])]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        floor = np.full(len(ids), _EXCLUDED + 0.5)
+        for b in (whole.slice(x, 2048) for whole in batches for x in range(0, whole.num_rows, 2048)):
+            e = _matrix(b.column(1), width) if width else np.full((b.num_rows, 1), np.nan)
+            scores = np.nan_to_num(vectors @ e.T, nan=_NO_SCORE)
+            if keys is not None:
+                own = b.column(2).to_pylist()
+                code = {x: n for n, x in enumerate(dict.fromkeys([*keys, *own])) if x is not None}
+                left, right = (np.array([code.get(x, -1 - at) for x in side]) for at, side in enumerate((keys, own)))
+                scores[left[:, None] != right[None]] = _EXCLUDED
+            if cells is not None:
+                scores[~cells[1][:, np.argmax(np.nan_to_num(e) @ cells[0].T, axis=1)]] = _EXCLUDED
+            if b.num_rows > k:
+                floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+            q, i = np.nonzero(scores >= floor[:, None])
+            found = scores[q, i]
+            held.append(pa.table({"q": pa.array(q), "item": b.column(0).take(pa.array(i)), "score": pa.array(found, mask=found == _NO_SCORE)}))
+            if sum(t.num_rows for t in held) > 1 << 20:
+                held = [_first(pa.concat_tables(held), k)]
+        if held:
+            out = _first(pa.concat_tables(held), k)
+            yield from pa.table({"query": ids.take(out.column("q").combine_chunks()), "item": out.column("item"), "score": out.column("score")}).combine_chunks().to_batches()
+
+    return items.select(*columns).mapInArrow(best, f"query {types[0]}, item {types[1]}, score double").select(F.col("query").alias(query), F.col("item").alias(item), "score")
+
+
+def _ranked(scored: DataFrame, k: int, item: str, query: str) -> DataFrame:
     order = Window.partitionBy(query).orderBy(F.desc_nulls_last("score"), item)
-    return scored.select(query, item, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def lsh_topk(items: DataFrame, queries: DataFrame, k: int, *, tables: int = 24, bits: int = 4, seed: int = 5, item: str = "item_id", query: str = "query_id", embedding: str = "embedding", dims: int = 64) -> DataFrame:
-    """Approximate top k: random hyperplanes in ``tables`` tables name candidates, exact cosines rank them."""
-    import numpy as np
-    import pandas as pd
-
-    planes = np.random.default_rng(seed).normal(size=(dims, tables * bits))
-    powers = 1 << np.arange(bits)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def buckets(vectors: pd.Series) -> pd.Series:
-        signs = (np.stack(vectors.to_list()).astype(float) @ planes >= 0).reshape(len(vectors), tables, bits)
-        return pd.Series(list(signs @ powers + np.arange(tables) * (1 << bits)))
 
-    bucket = F.pandas_udf(buckets, "array<long>", F.PandasUDFType.SCALAR)
+def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, item: str = "item_id", query: str = "query_id", embedding: str = "embedding", same: tuple[str, str] | None = None, cells=None) -> DataFrame:
+    """The ``k`` best items of each query by cosine: query, item, score, rank; ties go to the smaller item id, items
+    without a cosine come last. ``same``: a column of items and one of queries that must be equal.
 
-    def keyed(df: DataFrame, id_: str) -> DataFrame:
-        return df.select(id_, F.explode(bucket(F.col(embedding))).alias("_key"))
-
-    pairs = keyed(items, item).join(keyed(queries, query), "_key").select(item, query).distinct()
-    scored = pairs.join(items.select(item, F.col(embedding).alias("_e")), item).join(queries.select(query, F.col(embedding).alias("_q")), query).withColumn("score", v.cosine(F.col("_e"), F.col("_q")))
-    order = Window.partitionBy(query).orderBy(F.desc_nulls_last("score"), item)
-    return scored.select(query, item, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    The queries are a stated set. Blocks of BROADCAST_QUERIES of them go to the items' partitions, whose every batch is
+    multiplied with the block; a partition keeps its own top k, so nothing but that is shuffled.
+    """
+    asked = queries.select(query, embedding, *([same[1]] if same else []))
+    types = asked.schema[query].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    n = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    parts = []
+    for k_ in range(n):
+        block = (asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == k_) if n > 1 else asked).toArrow()
+        parts.append(_scored_topk(items, block, types, k, item=item, query=query, embedding=embedding, same=same, cells=cells(block) if cells else None))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _ranked(out, k, item, query)
+
+
+def fit_cells(sample: np.ndarray, k: int, recall: float, seed: int) -> tuple[np.ndarray, int]:
+    """Centroids of unit vectors, about the root of their number, and how many of them a query has to probe so that
+    ``recall`` of the sample's own nearest neighbours are met."""
+    rng = np.random.default_rng(seed)
+    n = max(1, min(256, int(len(sample) ** 0.5)))
+    centroids = sample[rng.choice(len(sample), n, replace=False)]
+    for _ in range(12):
+        own = np.argmax(sample @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(length > 0, sums / np.where(length > 0, length, 1), centroids)
+    own = np.argmax(sample @ centroids.T, axis=1)
+    probe = sample[rng.choice(len(sample), min(256, len(sample)), replace=False)]
+    near = np.argsort(-(probe @ sample.T), axis=1)[:, : k + 1]
+    place = np.argsort(np.argsort(-(probe @ centroids.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[near], axis=1).reshape(-1))
+    return centroids, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def cell_topk(items: DataFrame, queries: DataFrame, k: int, *, sample: int = 8192, recall: float = 0.96, seed: int = 5, item: str = "item_id", query: str = "query_id", embedding: str = "embedding") -> DataFrame:
+    """Approximate top k: cells are fitted on at most ``sample`` items (those of smallest hash), every item falls into one,
+    and a query sees the items of the cells nearest to it, as many as the sample needs for ``recall``. Without
+    structure in the vectors that is most cells; in clustered ones it is few."""
+    chosen = items.where(F.col(embedding).isNotNull()).orderBy(F.xxhash64(item)).limit(sample).select(embedding).toArrow()
+    vectors = _matrix(chosen.column(0).combine_chunks(), len(chosen.column(0)[0])) if chosen.num_rows else np.zeros((0, 1))
+    vectors = vectors[~np.isnan(vectors).any(axis=1)]
+    if not len(vectors):
+        return cosine_topk(items, queries, k, item=item, query=query, embedding=embedding)
+    centroids, probes = fit_cells(vectors, k, recall, seed)
+
+    def cells(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        q = np.nan_to_num(_matrix(block.column(embedding).combine_chunks(), centroids.shape[1]))
+        near = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)
+        return centroids, near < probes
+
+    return cosine_topk(items, queries, k, item=item, query=query, embedding=embedding, cells=cells)
+
+
+def lexical_topk(items: DataFrame, questions: DataFrame, k: int, *, item: str = "item_id", query: str = "query_id") -> DataFrame:
+    """The k best of all items by word similarity of question and text, then by cosine, then by id: query, item, lexical,
+    score, rank. items: item, text, embedding; questions: query, question, embedding - a stated set of at most
+    BROADCAST_QUERIES. A text's similarity is only computed where shared trigrams let it come among a partition's best."""
+    asked = questions.select(query, "question", "embedding")
+    types = asked.schema[query].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    block = asked.limit(BROADCAST_QUERIES + 1).toArrow()
+    if block.num_rows > BROADCAST_QUERIES:
+        raise ValueError("more questions than one batch takes")
+    ids, first = block.column(query).combine_chunks(), next((x for x in block.column("embedding").to_pylist() if x is not None), [0.0])
+    vectors = _matrix(block.column("embedding").combine_chunks(), len(first)) if block.num_rows else np.zeros((0, len(first)))
+    asks = [x or "" for x in block.column("question").to_pylist()]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = [set(t.ordered_trigrams(x)) for x in asks]
+        kept: list[list[tuple]] = [[] for _ in asks]
+        kind = pa.null()
+        for b in batches:
+            kind = b.column(0).type
+            cosine = np.nan_to_num(vectors @ _matrix(b.column(2), len(first)).T, nan=_NO_SCORE)
+            for at, (name, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                have = set(t.ordered_trigrams(text or ""))
+                for q, w in enumerate(wanted):
+                    bound = len(w & have) / len(w) if w else 0.0
+                    score, mine = float(cosine[q, at]), kept[q]
+                    if len(mine) >= k and (-bound, -score, name) >= mine[-1]:
+                        continue
+                    lexical = t.best_extent(asks[q], text or "") if bound else 0.0
+                    bisect.insort(mine, (-lexical, -score, name))
+                    del mine[k:]
+        rows = [(q, name, -lexical, None if -score == _NO_SCORE else -score) for q, mine in enumerate(kept) for lexical, score, name in mine]
+        if rows:
+            q, names, lexical, score = zip(*rows)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(names, kind), pa.array(lexical, pa.float64()), pa.array(score, pa.float64())], ["query", "item", "lexical", "score"])
+
+    found = items.select(item, "text", "embedding").mapInArrow(best, f"query {types[0]}, item {types[1]}, lexical double, score double")
+    return lexical_rank(found.select(F.col("query").alias(query), F.col("item").alias(item), "lexical", "score"), k, query=query, item=item)
 
 
 def candidates(k: int, rerank: int | None = None) -> int:
@@ -134,7 +259,8 @@ def margins(queries: DataFrame, exemplars: DataFrame, k: int = 3, *, leave_out:
 def tune_margin(scored: DataFrame) -> DataFrame:
     """Threshold of largest Youden J among midpoints of neighbouring margins; the smallest of equals.
 
-    ``scored``: margin, positive. Running counts over the distinct margins replace a threshold-by-row product.
+    ``scored``: margin, positive, of the exemplars - a list written by hand, so that one task takes its distinct margins.
+    Running counts over them replace a threshold-by-row product.
     """
     by = scored.groupBy("margin").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
     up = Window.orderBy("margin")
@@ -154,8 +280,8 @@ def lexical_rank(scored: DataFrame, k: int, *, query: str = "query_id", item: st
 PASSAGES = ((400, 200), (200, 100))
 
 
-def trigram_passages(texts: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """doc_id, item_id and similarity (the largest of the whole text and its pieces) from ``least`` on. texts: doc_id,
+def trigram_passages(texts: DataFrame, items: DataFrame, least: float, passages: tuple[tuple[int, int], ...] = PASSAGES) -> DataFrame:
+    """doc_id, item_id and similarity (the largest of the whole text and its pieces of ``passages``) from ``least`` on. texts: doc_id,
     text; items: item_id, b (distinct trigrams), a question set written by hand."""
     rows_ = items.where(F.size("b") > 0).select("item_id", "b").collect()
     if not rows_:
@@ -171,7 +297,7 @@ def trigram_passages(texts: DataFrame, items: DataFrame, least: float) -> DataFr
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                found = [(i, p) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x is not None for p in dict.fromkeys([x, *(p for size, overlap in PASSAGES if len(x) > size for _, p in chunking.pieces(x, size, overlap))])]
+                found = [(i, p) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x is not None for p in dict.fromkeys([x, *(p for size, overlap in passages if len(x) > size for _, p in chunking.pieces(x, size, overlap))])]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([p for _, p in found], pa.string())], ["doc_id", "piece"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,27 +9,10 @@ from pyspark.sql.window import Window
 from larkspur.functions import text as t
 from larkspur.functions import vectors as v
 from larkspur.operators import answers, chunking, conformance, deid, editions, evaluate, findings, index, layout, search
+from larkspur.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from larkspur.registry import table as _table
 from larkspur.sources import extract
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """All vectors as items; the stated query set, ids divisible by 50."""
     e = _table(spark, sf, "embeddings")
@@ -57,13 +38,13 @@ def vector_topk(spark, sf):
 select query_id, item_id, round(score, 5) as score, rank from r where rank <= 5""")
 def vector_topk_filtered(spark, sf):
     items, q = _vectors(spark, sf)
-    return search.cosine_topk(items, q, 5, extra=F.col("label") == F.col("q_label")).withColumn("score", F.round("score", 5))
+    return search.cosine_topk(items, q, 5, same=("label", "q_label")).withColumn("score", F.round("score", 5))
 
 
 @query()
 def vector_ann(spark, sf):
     items, q = _vectors(spark, sf)
-    return search.lsh_topk(items, q.select("query_id", "embedding"), 10)
+    return search.cell_topk(items, q.select("query_id", "embedding"), 10)
 
 
 def _rankings(spark, sf):
@@ -137,7 +118,7 @@ def truncated_vectors(spark, sf):
     return short.select("vec_id", F.col("k").cast("long").alias("k"), F.round("value", 5).alias("value"))
 
 
-@query("""with d as (select doc_id, lower(text) as s from documents where length(text) <= 400), b as (select item_id, lower(text) as s from benchmark),
+@query("""with d as (select doc_id, lower(text) as s from documents), b as (select item_id, lower(text) as s from benchmark),
 f as (select 'd' as k, doc_id as id, s from d union all select 'b', item_id, s from b),
 w as (select k, id, unnest(list_filter(regexp_split_to_array(s, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as w from f),
 g as (select distinct k, id, substr('  ' || w || ' ', i, 3) as g from (select *, unnest(range(1, length(w) + 2)) as i from w)),
@@ -146,11 +127,9 @@ p as (select x.id as doc_id, y.id as item_id, count(*) as both from g x join g y
 select p.doc_id, p.item_id, round(p.both::double / (a.n + c.n - p.both), 6) as similarity from p join n a on a.k = 'd' and a.id = p.doc_id join n c on c.k = 'b' and c.id = p.item_id
 where p.both::double / (a.n + c.n - p.both) >= 0.3""")
 def trigram_similarity(spark, sf):
-    # short texts are what trigrams are for; longer ones are chunked first
-    d = _table(spark, sf, "documents").where("char_length(text) <= 400").select("doc_id", t.trigrams(F.col("text")).alias("a"))
+    d = _table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
     b = _table(spark, sf, "benchmark").select("item_id", t.trigrams(F.col("text")).alias("b"))
-    s = d.join(F.broadcast(b), F.arrays_overlap("a", "b")).withColumn("similarity", t.set_similarity(F.col("a"), F.col("b")))
-    return s.where("similarity >= 0.3").select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    return search.trigram_passages(d, b, 0.3, passages=()).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -169,7 +148,19 @@ def _sectioned(spark, sf):
     return _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.expr(section).alias("sections"))
 
 
-@query()
+@query(r"""with recursive d as (select doc_id, coalesce(text, '') as t from documents),
+e as (select doc_id, t, 0::bigint as s, 0::bigint as stop, false as done from d where false
+  union all select doc_id, t, s, stop, done from (select doc_id, t, 0::bigint as s, -1::bigint as stop, length(t) = 0 as done from d)
+  union all select doc_id, t, case when stop < 0 then 0 else next end, z, z >= length(t) from (
+    select doc_id, t, stop, next, case when length(t) - b <= 1000 then length(t) else coalesce(
+      case when strpos(r, chr(10) || chr(10)) > 0 then b + 1000 - strpos(r, chr(10) || chr(10)) + 1 end, case when strpos(r, chr(10)) > 0 then b + 1000 - strpos(r, chr(10)) + 1 end,
+      case when strpos(r, ' .') > 0 then b + 1000 - strpos(r, ' .') + 1 end, case when strpos(r, ' .다') > 0 then b + 1000 - strpos(r, ' .다') + 1 end, case when strpos(r, ' ') > 0 then b + 1000 - strpos(r, ' ') + 1 end, b + 1000) end as z
+    from (select *, reverse(substr(t, b + 801, 200)) as r from (select *, case when stop < 0 then 0 else next end as b from (
+      select *, case when i > 0 and f + i < stop then f + i when j > 0 and f + j < stop then f + j else f end as next from (
+        select *, strpos(v, chr(10)) as i, strpos(v, ' ') as j from (select *, substr(t, f + 1, stop - f) as v from (select *, greatest(stop - 150, s + 1) as f from e where not done))))))) ),
+p as (select doc_id, s, substr(t, s + 1, stop - s) as raw from e where stop > 0),
+q as (select doc_id, s + length(raw) - length(regexp_replace(raw, '^\s+', '')) as start, regexp_replace(raw, '^\s+|\s+$', '', 'g') as text from p where regexp_matches(raw, '\S'))
+select doc_id::varchar as document_id, row_number() over (partition by doc_id order by start) - 1 as chunk_index, start, text from q""")
 def chunk_documents(spark, sf):
     return chunking.chunk_sections(_sectioned(spark, sf)).select("document_id", "chunk_index", "start", "text")
 
@@ -199,19 +190,65 @@ def running_lines(spark, sf):
 
 
 @query(r"""with w as (select doc_id, row_number() over (partition by doc_id order by i) as i, x from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)),
-f as (select doc_id, i, string_split(x, ' ')[1:3] as c from w)
+f as (select doc_id, i, string_split(x, ' ') as c from w)
 select doc_id, i, case when len(c) = 3 then array_to_string(list_filter(['a: ' || c[1], 'b: ' || c[2], 'c: ' || c[3]], lambda y: length(y) > 3), '; ') else array_to_string(list_filter(c, lambda y: y <> ''), ' | ') end as line from f""")
 def table_rows(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
-    cells = F.slice(F.split("x", " "), 1, 3)
-    return d.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), t.row_line(F.array(F.lit("a"), F.lit("b"), F.lit("c")), cells).alias("line"))
-
-
-@query()
+    return d.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), t.row_line(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.split("x", " ")).alias("line"))
+
+
+#: Beginnings and titles of synthetic lines; every line of events takes one of each, and the next line follows it.
+_HEADS = ("", "1 ", "1. ", "{a}.{b} ", "{a}.{b}.{c}. ", "123.4 ", "I. ", "XIV. ", "IIX. ", "Ⅳ. ", "A. ", "K. ", "APPENDIX B: ", "Annex 2 ", "appendix C ", "부록 3 ", "제{a}장 ", "제 {a} 절. ", "Table {a}-{b}. ", "TABLE 2 ", "가. ", "차. ")
+_TITLES = (
+    "Background", "Order Status Review", "the visit was moved", "Visits should be made", "Ends here.", "Ends with colon:", "November 2023", "B1-2006-2-001 2006.01", "임상시험의 실시", "기록, 및 보고", "보고한다", "(Optional) forms",
+    "Words " * 13, "Contents . . . . . . 12", "Title……", "4 arms of a trial", "A Very Long Heading Whose Characters Alone Already Go Beyond What Any Title May Have In All",
+)
+_HEAD_ROWS = ", ".join(f"({k}, '{h}')" for k, h in enumerate(_HEADS))
+_TITLE_ROWS = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_TITLES))
+
+
+def _plausible_sql(may_end: str) -> str:
+    return rf"""(length(x) <= 80 and len(string_split(x, ' ')) <= 12 and len(regexp_extract_all(x, '\p{{Nd}}')) <= len(regexp_extract_all(x, '\p{{L}}')) and ({may_end} or not regexp_matches(x, '(?:[.;,:]|다|음|함|임)\s*$'))
+ and not contains(' ' || x || ' ', ' should ') and not regexp_matches(x, '(?i)^(?:january|february|march|april|may|june|july|august|september|october|november|december)\b') and regexp_matches(x, '^[\p{{Lu}}\p{{Nd}}가-힣(“"]'))"""
+
+
+def _headings_sql() -> str:
+    """Titles are what follows the pattern's fixed part, taken by removing it, where Spark's side takes the pattern's group."""
+    kinds = (
+        ("division", r"^제\s*\d+\s*[편장]\.?\s*", "true", "(x = '' or {ok})", "1"),
+        ("section", r"^제\s*\d+\s*절\.?\s*", "true", "(x = '' or {ok})", "2"),
+        ("appendix", r"^(?:APPENDIX|Appendix|ANNEX|Annex|부록)\s*[A-Z0-9IVX]*\s*[:.\-–]?\s*", "true", "(x = '' or {end}) and (regexp_matches(y, '^(?:Appendix|Annex|부록)') or split_part(y, ' ', 1) = upper(split_part(y, ' ', 1)))", "1"),
+        ("table", r"^Table\s+(?:\d{1,3}(?:[.\-]\d{1,3})*|[A-Z]\d{0,2}(?:[.\-]\d{1,3})*)[.:]?\s+", "x <> ''", "{any} and not regexp_matches(x, '^[0-9]')", "9"),
+        ("roman", r"^(?:X{0,3}(?:IX|IV|V?I{1,3})|X{1,3}|V|IV|IX|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ])\.\s+", "x <> ''", "{ok}", "1"),
+        ("letter", r"^[A-H]\.\s+", "regexp_matches(x, '^[A-Z]')", "{any} and len(string_split(x, ' ')) <= 10", "2"),
+        ("decimal", r"^\d{1,2}(?:\.\d{1,2}){0,4}\.?\s+", "x <> ''", r"{ok} and not (regexp_matches(x, '^[가-힣]') and regexp_matches(y, '^\d+\s'))", r"1 + len(string_split(regexp_extract(y, '^(\d{1,2}(?:\.\d{1,2}){0,4})', 1), '.'))"),
+        ("item", r"^[가나다라마바사아자차카타파하]\.\s+", "x <> ''", "{ok} and length(x) <= 25 and not contains(x, ',')", "6"),
+    )
+    tests = {"ok": _plausible_sql("false"), "any": _plausible_sql("true"), "end": _plausible_sql("suffix(x, ':')")}
+    parts = []
+    for k, (kind, head, fits, ok, level) in enumerate(kinds):
+        rule = ok
+        for name, sql in tests.items():
+            rule = rule.replace("{" + name + "}", sql)
+        parts.append(f"select id, {k} as ord, '{kind}' as kind, {level} as level, {rule} as ok from (select id, y, trim(regexp_replace(y, '{head}', '')) as x from z where regexp_matches(y, '{head}')) where {fits}")
+    return rf"""with h(k, head) as (values {_HEAD_ROWS}), g(k, title) as (values {_TITLE_ROWS}),
+l as (select event_id as id, user_id, replace(replace(replace(head, '{{a}}', (1 + event_id % 12)::varchar), '{{b}}', (1 + event_id % 5)::varchar), '{{c}}', (1 + event_id % 3)::varchar) || title as line from events join h on h.k = event_id % {len(_HEADS)} join g on g.k = event_id // {len(_HEADS)} % {len(_TITLES)}),
+n as (select id, trim(regexp_replace(line, '\s+', ' ', 'g')) as y, coalesce(lead(trim(line)) over (partition by user_id order by id), '') as following from l),
+z as (select id, y from n where y <> '' and length(y) <= 92 and not regexp_matches(following, '^[a-z]') and not regexp_matches(y, '(?:\.\s?){{5,}}|(?:·\s?){{5,}}|(?:…\s?){{2,}}|(?:‥\s?){{3,}}')),
+u as ({" union all ".join(parts)}), f as (select * from (select *, row_number() over (partition by id order by ord) as first from u) where first = 1)
+select id, kind, level::bigint as level from f where ok"""
+
+
+@query(_headings_sql())
 def heading_detection(spark, sf):
-    own = Window.partitionBy("document_id", "page").orderBy("line_no")
-    rows = _lines(spark, sf).withColumn("next", F.lead("line").over(own)).withColumn("kind", t.heading_kind(F.col("line"), F.col("next"))).where("kind is not null")
-    return rows.select("document_id", "page", "line_no", "kind", t.heading_level(F.col("line"), F.col("kind")).alias("level"))
+    k = F.col("event_id")
+    one = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    line = F.concat(one(_HEADS, k % len(_HEADS)), one(_TITLES, F.floor(k / len(_HEADS)) % len(_TITLES)))
+    for mark, n in (("{a}", 12), ("{b}", 5), ("{c}", 3)):
+        line = F.replace(line, F.lit(mark), (1 + k % n).cast("string"))
+    rows = _table(spark, sf, "events").select(k.alias("id"), "user_id", line.alias("line"))
+    rows = rows.withColumn("next", F.lead("line").over(Window.partitionBy("user_id").orderBy("id"))).withColumn("kind", t.heading_kind(F.col("line"), F.col("next")))
+    return rows.where("kind is not null").select("id", "kind", t.heading_level(F.col("line"), F.col("kind")).cast("long").alias("level"))
 
 
 _EVENT_HEADINGS = "h as (select user_id::varchar as document_id, event_id as line_no, 1 + event_id % 4 as level, event_type || event_id as title from events)"
@@ -341,23 +378,15 @@ def rag_prompts(spark, sf):
     return answers.prompts(e, e.select("query_id").distinct().select("query_id", F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("question")))
 
 
-@query("""select conv_id, turn, hangul, letters_share from (select conv_id, turn, regexp_matches(text, '[가-힣]') as hangul, 0.0::double as letters_share from conversations)""")
+@query("""select conv_id, turn, hangul, letters_share from (select conv_id, turn, regexp_matches(text, '[가-힣]') as hangul, round(len(regexp_extract_all(text, '[가-힣]'))::double / greatest(len(regexp_extract_all(text, '[\\p{L}]')), 1), 6) as letters_share from (select conv_id, turn, text || case when conv_id % 3 = 0 then ' 이 결과는' when conv_id % 3 = 1 then ' [1] 가 12' else '' end as text from conversations))""")
 def question_language(spark, sf):
-    return _table(spark, sf, "conversations").select("conv_id", "turn", F.rlike("text", F.lit(t.HANGUL)).alias("hangul"), t.hangul_ratio(F.col("text")).alias("letters_share"))
-
-
-@query(r"""select b.item_id, count(*) filter (where contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(left(b.text, 60), '\s+', ' ', 'g')))) > 0 as found from benchmark b, documents d group by 1""")
-def evidence_locator(spark, sf):
-    return _located(spark, sf, F.expr("left(text, 60)"))
+    text = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " 이 결과는").when(F.col("conv_id") % 3 == 1, " [1] 가 12").otherwise(""))
+    return _table(spark, sf, "conversations").withColumn("text", text).select("conv_id", "turn", F.rlike("text", F.lit(t.HANGUL)).alias("hangul"), F.round(t.hangul_ratio(F.col("text")), 6).alias("letters_share"))
 
 
 @query(r"""select b.item_id, count(*) filter (where contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g')))) > 0 as found from benchmark b, documents d group by 1""")
-def evidence_locator_whole(spark, sf):
-    return _located(spark, sf, F.col("text"))
-
-
-def _located(spark, sf, quote):
-    quotes = _table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("corpus").alias("file"), quote.alias("quote"))
+def evidence_locator(spark, sf):
+    quotes = _table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("corpus").alias("file"), F.col("text").alias("quote"))
     sections = _table(spark, sf, "documents").select(F.lit("corpus").alias("file"), "text")
     even = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     hit = evaluate.sought(sections.select(even("text").alias("t")), quotes.select("id", even("quote").alias("q"))).select("id").distinct().withColumn("found", F.lit(True))
@@ -478,14 +507,14 @@ def header_formats(spark, sf):
 _PROFILE = [("t0", "X"), ("t1", "Z"), ("t2", "X/Z"), ("t3", "D"), ("t4", "U"), ("t5", "C"), ("t6", "X/Z/D"), ("t7", "X"), ("t1x", "Z")]
 
 
-@query(f"""with {_TAGS}, rules(tag, basic) as (values {", ".join(map(str, _PROFILE))}), y as (select 't' || k as tag, ['1', '2', '3'][1 + k % 3] as type from range(12) r(k)),
-j as (select t.*, coalesce(r.basic, case when t.tag in ('t10', 't11') then 'Z' end) as basic, y.type from t left join rules r on r.tag = t.tag join y on y.tag = t.tag),
-a as (select *, case when tag = 't0' then 'C' when basic = 'X/Z' then case type when '1' then 'Z' when '2' then 'Z' else 'X' end when basic = 'X/Z/D' then case type when '1' then 'D' when '2' then 'Z' else 'X' end else basic end as act from j where basic is not null)
+@query(f"""with {_TAGS}, rules(tag, basic) as (values {", ".join(map(str, _PROFILE))}), y as (select 't' || k as tag, ['1', '2', '3'][1 + k % 3] as type from range(12) r(k)), unknown as (select 'f' || l_orderkey as file, l_orderkey % 2 = 0 as u from lineitem group by all),
+j as (select t.*, coalesce(r.basic, case when t.tag in ('t10', 't11') then 'Z' end) as basic, case when not u then y.type end as type from t left join rules r on r.tag = t.tag join y on y.tag = t.tag join unknown on unknown.file = t.file),
+a as (select *, case when tag = 't0' then 'C' when basic = 'X/Z' then case type when '3' then 'X' else 'Z' end when basic = 'X/Z/D' then case type when '3' then 'X' when '2' then 'Z' else 'D' end else basic end as act from j where basic is not null)
 select * from (select file, path, act as action, case when act = 'X' and state = 'exists' then 'L2-X-PRESENT' when act = 'X' then 'L2-X-EMPTY' when act = 'Z' and state = 'exists' then 'L2-Z-VALUE' when act = 'D' and state = 'exists' then 'L2-D-CHECK' when act = 'D' then 'L2-D-EMPTY' when act = 'U' and state = 'exists' then 'L2-U-CHECK' when act = 'C' and state = 'exists' then 'L2-C-CHECK' end as code from a) where code is not null""")
 def deid_actions(spark, sf):
     profile = spark.createDataFrame([(tag, basic, {"clean": "C"} if tag == "t0" else {}) for tag, basic in _PROFILE], "tag string, basic string, options map<string,string>")
     tags = _tags(spark, sf)
-    types = tags.select("file", "tag").distinct().withColumn("type", F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("3")), (1 + F.substring("tag", 2, 9).cast("int") % 3)))
+    types = tags.where(F.substring("file", 2, 20).cast("long") % 2 != 0).select("file", "tag").distinct().withColumn("type", F.element_at(F.array(F.lit("1"), F.lit("2"), F.lit("3")), (1 + F.substring("tag", 2, 9).cast("int") % 3)))
     return deid.action_findings(tags, profile, types, ["clean"]).select("file", "path", "action", "code")
 
 
@@ -519,3 +548,6 @@ def safe_output(spark, sf):
     joined = tags.join(F.broadcast(allow), "keyword", "left")
     shown = findings.safe_value(F.col("state"), F.col("pattern").isNotNull(), F.expr("element_at(vals, 1) rlike concat('^(?:', pattern, ')$')"), F.get("vals", F.lit(0)))
     return joined.select("file", "path", "keyword", shown.alias("shown"))
+
+
+from larkspur import answer_queries, header_queries  # noqa: E402, F401  they register their queries beside these
