@@ -104,6 +104,17 @@ def blocked_corpora(documents: DataFrame, allowed: tuple[str, ...] = EXTERNAL) -
     return documents.select("corpus", "classification").distinct().groupBy("corpus").agg(F.bool_or(~allows_external(F.col("classification"), allowed)).alias("blocked"))
 
 
+def check_provider(provider: str, known: tuple[str, ...], external: tuple[str, ...], corpora: DataFrame | None = None, corpus: str | None = None) -> None:
+    """At start-up: the provider is known, and an external one only meets a corpus that it may see."""
+    if provider not in known:
+        raise ValueError(f"no provider {provider}; known are {', '.join(known)}")
+    if provider in external and corpora is not None:
+        blocked = blocked_corpora(corpora).where("blocked")
+        blocked = blocked if corpus is None else blocked.where(F.col("corpus") == corpus)
+        if not blocked.isEmpty():
+            raise PermissionError(f"{provider} is external and may not see every document of the corpus")
+
+
 def request_scope(question: Column, pattern: str = REQUEST) -> Column:
     """Whether the out-of-scope request pattern occurs, case aside."""
     return question.rlike(f"(?iu){pattern}")

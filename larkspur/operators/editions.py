@@ -6,6 +6,7 @@ import re
 import unicodedata
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,8 +116,6 @@ def parse_label(label: str | None) -> dict | None:
 
 
 def infer_column(name: Column) -> Column:
-    import pandas as pd
-
     def rows(names: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([infer(n or "") for n in names], columns=["family", "label", "version", "date"])
 
@@ -172,6 +171,47 @@ def resolve(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return documents.join(hits, "document_id", "left")
 
 
+def resolved(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """document_id with family, label, version, date, superseded, manifest: from the first entry that matches, else inferred from
+    the file name, with the folder before the family. documents: document_id, rel_path."""
+    def parsed(labels: pd.Series) -> pd.Series:
+        return pd.Series([parse_label(x) for x in labels], dtype="object")
+
+    def inferred(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for path in paths:
+            folder, _, name = (path or "").rpartition("/")
+            found = infer(name)
+            if found["family"]:
+                found["family"] = " ".join(x for x in (family(folder), found["family"]) if x)
+            out.append(found)
+        return pd.DataFrame(out, columns=["family", "label", "version", "date"])
+
+    def normal(names: pd.Series) -> pd.Series:
+        return pd.Series([family(x) if x else None for x in names], dtype="object")
+
+    both = resolve(documents, manifest).withColumn("listed", F.col("entry").isNotNull())
+    guess = F.pandas_udf(inferred, f"struct<family:string,label:string,version:{VERSION},date:date>")
+    as_row = F.pandas_udf(lambda x: pd.DataFrame([v or {k: None for k in KINDS} for v in parsed(x)], columns=list(KINDS)), VERSION, F.PandasUDFType.SCALAR)
+    both = both.withColumn("guess", guess("rel_path")).withColumn("known", as_row("entry.label"))
+    pick = lambda a, b: F.when(F.col("listed"), a).otherwise(b)
+    return both.select(
+        "document_id", pick(F.pandas_udf(normal, "string")("entry.family"), F.col("guess.family")).alias("family"), pick(F.col("entry.label"), F.col("guess.label")).alias("label"), pick(F.col("known"), F.col("guess.version")).alias("version"),
+        pick(F.col("entry.date").cast("date"), F.col("guess.date")).alias("date"), F.coalesce("entry.superseded", F.lit(False)).alias("superseded"), F.col("listed").alias("manifest"),
+    )
+
+
+def date_candidates(documents: DataFrame) -> DataFrame:
+    """Documents whose date could decide: those of a family with another one that their versions don't tell apart."""
+    a, b = documents.alias("a"), documents.alias("b")
+    pairs = a.join(b, (F.col("a.family") == F.col("b.family")) & ~F.col("a.document_id").eqNullSafe(F.col("b.document_id")), "left_semi")
+    edition = documents.where("family is not null").groupBy("family", "version").agg(F.count("*").alias("n"))
+    kinds = edition.alias("x").join(edition.alias("y"), (F.col("x.family") == F.col("y.family")) & ((F.col("x.n") > 1) | ~F.col("x.version").eqNullSafe(F.col("y.version"))))
+    none = lambda s: F.struct(F.col(f"{s}.version").alias("version"), F.lit(None).cast("date").alias("date"), F.lit(False).alias("manifest"))
+    kinds = kinds.select(F.col("x.family").alias("family"), F.col("x.version").alias("version"), none("x").alias("p"), none("y").alias("q")).where(F.coalesce(compare("p", "q"), F.lit(0)) == 0).select("family", "version").distinct()
+    return pairs.select("a.*").alias("d").join(kinds.alias("k"), (F.col("d.family") == F.col("k.family")) & F.col("d.version").eqNullSafe(F.col("k.version")), "left_semi")
+
+
 def draft_similarity(a: str, b: str) -> float:
     """difflib ratio of two core names; 0 for short ones or where digit runs differ."""
     import difflib
@@ -186,8 +226,6 @@ def draft_families(files: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     Links: equal families, or names alike within one folder and format group; labels spread until none changes.
     """
-    import pandas as pd
-
     alike = F.pandas_udf(lambda a, b: pd.Series([draft_similarity(x, y) for x, y in zip(a, b)], dtype="float64"), "double", F.PandasUDFType.SCALAR)
     # names are alike only with equal digit runs and, as 2 * the shorter / both says, lengths near each other
     named = files.where("core is not null").withColumn("digits", F.array_join(F.regexp_extract_all("core", F.lit("[0-9]+"), 0), " ")).withColumn("length", F.char_length("core"))

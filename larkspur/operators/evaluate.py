@@ -128,6 +128,42 @@ def widest_tie(replayed: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc(F.col("high") - F.col("low")), "low").limit(1).select(((F.col("low") + F.col("high")) / 2).alias("threshold"), "low", "high")
 
 
+def write_run(outcomes: DataFrame, config: dict, folder: str, private: bool = False) -> None:
+    """A run's folder: config, summary and questions as JSON, and a report. Of a private corpus only aggregates are written,
+    and not into a git tree."""
+    import json
+    import pathlib
+
+    root = pathlib.Path(folder)
+    if private and any((p / ".git").exists() for p in (root.resolve(), *root.resolve().parents)):
+        raise PermissionError("results of a private corpus don't go into a git tree")
+    root.mkdir(parents=True)
+    summary = outcomes.agg(*outcome_metrics()).first().asDict()  # one row
+    (root / "config.json").write_text(json.dumps(config, indent=1, ensure_ascii=False))
+    (root / "summary.json").write_text(json.dumps(summary, indent=1))
+    (root / "report.md").write_text("\n".join(["# Run", "", "| Metric | Value |", "|---|---|", *(f"| {k} | {v} |" for k, v in summary.items())]) + "\n")
+    if not private:
+        outcomes.write.json(f"{root.resolve()}/questions.jsonl")
+
+
+def compare_with_gold(modes: DataFrame, exact: str) -> DataFrame:
+    """For each search mode (query_id, mode, ids, files, gold, ms): queries whose ids in order and whose files differ from
+    mode ``exact``, share of gold files met, median milliseconds."""
+    base = modes.where(F.col("mode") == exact).select("query_id", F.col("ids").alias("b_ids"), F.col("files").alias("b_files"))
+    norm = lambda c: F.array_sort(F.array_distinct(c))
+    return modes.join(base, "query_id").groupBy("mode").agg(
+        F.count("*").alias("queries"), F.count_if(F.col("ids") != F.col("b_ids")).alias("ids_differ"), F.count_if(norm("files") != norm("b_files")).alias("files_differ"),
+        F.avg(F.arrays_overlap("files", "gold").cast("double")).alias("hit"), F.median("ms").alias("median_ms"),
+    )
+
+
+def closed_book(answers: DataFrame) -> DataFrame:
+    """Accuracy of option letters: in each order of the options, and in both at once. answers: id, rotation, answer, right."""
+    scored = answers.withColumn("ok", F.coalesce(letter(F.col("answer")) == F.col("right"), F.lit(False)))
+    every = scored.groupBy("id").agg(F.bool_and("ok").alias("both")).agg(F.avg(F.col("both").cast("double")).alias("accuracy")).select(F.lit(None).cast("int").alias("rotation"), "accuracy")
+    return scored.groupBy("rotation").agg(F.avg(F.col("ok").cast("double")).alias("accuracy")).unionByName(every)
+
+
 def compare_modes(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """Two search modes (query_id, ids in order, files): whether ids or sets of files differ, and short results."""
     j = a.select("query_id", F.col("ids").alias("ia"), F.col("files").alias("fa")).join(b.select("query_id", F.col("ids").alias("ib"), F.col("files").alias("fb")), "query_id")

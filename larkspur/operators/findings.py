@@ -74,6 +74,28 @@ def template_summary(counts: DataFrame) -> DataFrame:
     return counts.select("file", F.when(text == "", "No findings.").otherwise(F.concat(text, F.lit("."))).alias("summary"))
 
 
+#: Fixed value: what every report ends with.
+DISCLAIMER = "Automated check of header elements; it replaces no review."
+
+
+def report_summary(findings: DataFrame, top: int = 3) -> DataFrame:
+    """For each file its sentence, the ``top`` gravest findings as ``code (attribute)``, and the disclaimer."""
+    order = Window.partitionBy("file").orderBy(severity_rank(), "code", "attribute")
+    gravest = findings.select("file", "severity", "code", "attribute").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+    name = F.concat("code", F.coalesce(F.concat(F.lit(" ("), "attribute", F.lit(")")), F.lit("")))
+    first = gravest.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", name.alias("x")))), lambda s: s["x"]), "; ").alias("top"))
+    counts = template_summary(severity_counts(findings, ["file"]))
+    return counts.join(first, "file").select("file", F.concat_ws(" ", "summary", F.concat(F.lit("First: "), "top", F.lit(".")), F.lit(DISCLAIMER)).alias("summary"))
+
+
+def folder_totals(files: DataFrame, findings: DataFrame, fail_on: str | None = None) -> DataFrame:
+    """One row for a folder: files, files of each object kind, findings of each severity, and whether it fails: whether any
+    finding is as grave as ``fail_on``."""
+    kinds = files.groupBy(F.coalesce("iod", F.lit("unknown")).alias("iod")).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("iod", "count")))).alias("iods"), F.sum("count").alias("files"))
+    grave = F.count_if(severity_rank() <= SEVERITIES.index(fail_on) + 1) > 0 if fail_on else F.lit(False)
+    return kinds.join(findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), grave.alias("fails")))
+
+
 def rollup(findings: DataFrame, top: int = 15) -> DataFrame:
     """The most frequent codes of a folder: code, files, total; ``top`` of them, as a report shows."""
     return findings.groupBy("code").agg(F.countDistinct("file").alias("files"), F.sum("n").alias("total")).orderBy(F.desc("total"), "code").limit(top)

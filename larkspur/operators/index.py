@@ -54,6 +54,23 @@ def job_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), n("INDEXED").alias("indexed"), n("FAILED").alias("failed"), n("SKIPPED_DUPLICATE").alias("skipped_duplicate"))
 
 
+def job_details(results: DataFrame) -> DataFrame:
+    """A run's outcome for each path, as its report lists them: by path."""
+    return results.select("path", "status", "error_type", "chunk_count").orderBy("path")
+
+
+def report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each document: status, chunks in the index, seconds from start to end; by name."""
+    held = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
+    seconds = F.round(F.unix_micros("finished_at") / 1e6 - F.unix_micros("started_at") / 1e6, 3)
+    return documents.join(held, "document_id", "left").select("file_name", "status", F.coalesce("chunks", F.lit(0)).alias("chunks"), seconds.alias("seconds")).orderBy("file_name")
+
+
+def listed(documents: DataFrame) -> DataFrame:
+    """All documents, by name."""
+    return documents.orderBy("file_name", "document_id")
+
+
 def reset(documents: DataFrame) -> DataFrame:
     """Every document to be indexed anew, but for those that failed for reasons of their own."""
     own = (F.col("status") == "FAILED") & F.col("error_type").isNotNull() & (F.col("error_type") != "REINDEX_REQUIRED")

@@ -435,3 +435,95 @@ def test_registration(spark):
     store = spark.createDataFrame([("a", "old", None, None, "INDEXED", "m"), ("f", "c", None, None, "FAILED", "m"), ("z", "old", None, None, "INDEXED", "m")], "checksum string, corpus string, classification string, edition string, status string, embedding_model string")
     got = {r.checksum: (r.action, r.corpus) for r in index.register(run, store, "m").collect()}
     assert got == {"a": ("retag", "c"), "b": ("insert", "c"), "f": ("reprocess", "c"), "z": ("keep", "old")}
+
+
+def test_update_of_a_store(spark, tmp_path):
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    write = lambda name, text: (root / name).write_text(text)
+    write("Guide v1.md", "# One\nFirst edition of the guide.")
+    write("Guide v2.md", "# One\nSecond edition of the guide.")
+    write("broken.txt", "x")
+    (root / "broken.txt").write_bytes(b"\xff\xff")
+    model, embedder = e.EmbeddingModel("hash", 32), e.HashingEmbedder(32)
+    update = lambda m=model, **more: dataflows.update_folder(spark, str(root), store, embedder, m, "c", **more)
+    shown = lambda: {r.file_name: (r.status, r.is_latest, r.classification, r.embedding_model) for r in dataflows.load(spark, store)[0].collect()}
+    assert dataflows.load(spark, store) is None and update() == {"insert": 3}
+    assert shown() == {"Guide v1.md": ("INDEXED", False, None, "hash"), "Guide v2.md": ("INDEXED", True, None, "hash"), "broken.txt": ("FAILED", True, None, "hash")}
+    write("Guide v3.md", "# One\nThird edition of the guide.")
+    assert update(classification="public") == {"insert": 1, "retag": 2, "reprocess": 1}
+    assert shown()["Guide v2.md"] == ("INDEXED", False, "public", "hash") and shown()["Guide v3.md"][1]
+    assert update(classification="public") == {"keep": 3, "reprocess": 1}
+    assert dataflows.load(spark, store)[1].count() == 3
+    assert update(e.EmbeddingModel("other", 32), classification="public") == {"reprocess": 4}
+    assert {r.embedding_model for r in dataflows.load(spark, store)[1].collect()} == {"other"}
+
+
+def test_header_dumps(spark, tmp_path):
+    from larkspur.sources import headers
+
+    dump = {
+        "00100010": {"vr": "PN", "Value": [{"Alphabetic": "Doe^J"}]}, "00100020": {"vr": "LO"}, "00100040": {"vr": "CS", "Value": [""]}, "7FE00010": {"vr": "OW", "InlineBinary": "AA=="},
+        "00081140": {"vr": "SQ", "Value": [{"00081155": {"vr": "UI", "Value": ["1.2"]}, "00091001": {"vr": "SQ", "Value": [{"00100010": {"vr": "PN"}}]}}]}, "00081111": {"vr": "SQ", "Value": []}, "00280010": {"vr": "US", "Value": [512]},
+    }
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.json").write_text(__import__("json").dumps(dump))
+    (tmp_path / "a/bad.json").write_text("{")
+    (tmp_path / "a/list.json").write_text("[1]")
+    (tmp_path / "a/notes.txt").write_text("no header")
+    rows, counts = headers.scan(spark, str(tmp_path), {"00100010": "PatientName", "00081140": "ReferencedImageSequence"})
+    assert counts.first().asDict() == {"files": 3, "skipped": 1}
+    got = {(r.path, r.depth, r.parent, r.state): r.vals for r in rows.where("error_type is null").collect()}
+    assert got == {
+        ("PatientName", 0, None, "exists"): ["Doe^J"], ("00100020", 0, None, "empty"): [], ("00100040", 0, None, "empty"): [""], ("ReferencedImageSequence", 0, None, "exists"): [], ("00081111", 0, None, "empty"): [],
+        ("ReferencedImageSequence[0].00081155", 1, "ReferencedImageSequence[0]", "exists"): ["1.2"], ("ReferencedImageSequence[0].00091001", 1, "ReferencedImageSequence[0]", "exists"): [], ("00280010", 0, None, "exists"): ["512"],
+    }
+    assert sorted(r.error_type for r in rows.where("error_type is not null").collect()) == [headers.READ_FAILED] * 2
+    assert [r.path.rsplit("/", 1)[1] for r in headers.list_files(spark, [str(tmp_path), str(tmp_path / "a")]).collect()] == ["bad.json", "list.json", "x.json"]
+    headers.write_jsonl(rows.groupBy("file").agg(F.count("*").alias("n")), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_manifest_before_names(spark):
+    manifest = files.manifest_frame(spark, [{"match": "old/*.pdf", "family": "Big Guide", "version": "R3", "date": "2024-05-06", "superseded": True}])
+    docs = spark.createDataFrame([("1", "old/a v1.pdf"), ("2", "sub/Guide v2.1.pdf"), ("3", "notes.txt"), ("4", "Guide v2.1 2024-01-02.pdf")], "document_id string, rel_path string")
+    got = {r.document_id: r for r in editions.resolved(docs, manifest).collect()}
+    assert (got["1"].family, got["1"].label, got["1"].version.rev, got["1"].date, got["1"].superseded, got["1"].manifest) == ("big guide", "R3", [3], dt.date(2024, 5, 6), True, True)
+    assert (got["2"].family, got["2"].version.ver, got["2"].manifest) == ("sub guide", [2, 1], False) and got["3"].family is None and got["4"].date == dt.date(2024, 1, 2)
+
+
+def test_dates_that_could_decide(spark):
+    v = lambda *ver: (list(ver) or None, None, None)
+    rows = [(1, "f", v(1)), (2, "f", v(2)), (3, "g", v(1)), (4, "g", v(1)), (5, "h", v(1)), (6, "h", (None, [2], None)), (7, "k", v(1)), (8, None, v(1))]
+    got = editions.date_candidates(spark.createDataFrame(rows, f"document_id int, family string, version {editions.VERSION}")).collect()
+    assert {r.document_id for r in got} == {3, 4, 5, 6}
+
+
+def test_reports(spark, tmp_path):
+    books = [(1, 0, "(B) as", "B"), (1, 1, "c", "B"), (2, 0, "A", "A"), (2, 1, "a.", "A"), (3, 0, "none", "C"), (3, 1, "C", "C")]
+    got = {r.rotation: r.accuracy for r in evaluate.closed_book(spark.createDataFrame(books, "id int, rotation int, answer string, right string")).collect()}
+    assert got == pytest.approx({0: 2 / 3, 1: 2 / 3, None: 1 / 3})
+    modes = [(1, "exact", [1, 2], ["a", "b"], ["b"], 5.0), (1, "near", [2, 1], ["b", "a"], ["b"], 1.0), (2, "exact", [3], ["c"], ["x"], 7.0), (2, "near", [4], ["d"], ["d"], 3.0)]
+    got = {r["mode"]: tuple(r)[1:] for r in evaluate.compare_with_gold(spark.createDataFrame(modes, "query_id int, mode string, ids array<int>, files array<string>, gold array<string>, ms double"), "exact").collect()}
+    assert got == {"exact": (2, 0, 0, 0.5, 6.0), "near": (2, 2, 1, 1.0, 2.0)}
+    found = spark.createDataFrame([("f", "error", "B", "K1"), ("f", "error", "A", None), ("f", "info", "C", "K2"), ("f", "warning", "D", "K3"), ("g", "info", "C", None)], "file string, severity string, code string, attribute string")
+    said = {r.file: r.summary for r in findings.report_summary(found).collect()}
+    assert said["f"] == f"2 errors; 1 warning; 1 info. First: A; B (K1); D (K3). {findings.DISCLAIMER}" and said["g"].startswith("1 info. First: C.")
+    total = findings.folder_totals(spark.createDataFrame([("f", "CT"), ("g", None)], "file string, iod string"), found, "warning").first()
+    assert (total.files, total.iods, total.error, total.fails) == (2, {"CT": 1, "unknown": 1}, 2, True)
+    assert not findings.folder_totals(spark.createDataFrame([("g", "CT")], "file string, iod string"), found.where("file = 'g'"), "error").first().fails
+    rows = spark.createDataFrame([("b", "FAILED", "X", 0), ("a", "INDEXED", None, 2)], "path string, status string, error_type string, chunk_count int")
+    assert [r.path for r in index.job_details(rows).collect()] == ["a", "b"]
+    docs = spark.createDataFrame([("c", "public"), ("d", "secret")], "corpus string, classification string")
+    answers.check_provider("cloud", ("local", "cloud"), ("cloud",), docs, "c")
+    for bad in (("odd", None), ("cloud", "d"), ("cloud", None)):
+        with pytest.raises((ValueError, PermissionError)):
+            answers.check_provider(bad[0], ("local", "cloud"), ("cloud",), docs, bad[1])
+    out = spark.createDataFrame([(1, True, False, True, True, True, 5.0, None)], "id int, answerable boolean, refused boolean, hit boolean, section_hit boolean, citation_correct boolean, retrieval_ms double, error string")
+    evaluate.write_run(out, {"k": 5}, str(tmp_path / "run"))
+    assert {p.name for p in (tmp_path / "run").iterdir()} == {"config.json", "summary.json", "questions.jsonl", "report.md"}
+    (tmp_path / ".git").mkdir()
+    with pytest.raises(PermissionError):
+        evaluate.write_run(out, {}, str(tmp_path / "private"), private=True)
+    times = spark.createDataFrame([("1", "b.md", "INDEXED", dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 0, 0, 2)), ("2", "a.md", "FAILED", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))], "document_id string, file_name string, status string, started_at timestamp, finished_at timestamp")
+    assert [tuple(r) for r in index.report(times, spark.createDataFrame([("1",), ("1",)], "document_id string")).collect()] == [("a.md", "FAILED", 0, 0.0), ("b.md", "INDEXED", 2, 2.0)]
