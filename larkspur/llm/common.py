@@ -22,6 +22,9 @@ _staged: set[str] = set()
 #: Bits of the filters that ``slots`` makes, and rows of the one that ``keep_marked`` broadcasts at most.
 FILTER_BITS = 24
 KEPT_SLOTS = 1 << 18
+#: Rows that go to a Python worker at once while a table is staged.
+STAGED_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,7 +50,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, fixes row identities, prunes columns."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(STAGED_ROWS if int(rows) <= 0 else min(int(rows), STAGED_ROWS)))  # texts can be long
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, rows)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._larkspur_path = path
     _staged.add(path)

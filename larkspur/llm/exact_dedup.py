@@ -180,11 +180,26 @@ def _differing(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFr
         "compared-rows",
     )
     texts = _some(docs, wanted).mapInArrow(chunks, "doc_id long, text_hash long, c int, chunk binary")
-    found = texts.join(wanted, _same_row(texts, wanted)).select(wanted.doc_id, wanted.text_hash, *_KEY, "salt", "c", "chunk", "is_first").distinct()
+    small = F.broadcast(wanted) if wanted.count() <= GROUPS_BROADCAST else wanted
     on = [*_KEY, "salt", "c"]
-    a = found.where(~F.col("is_first")).drop("is_first")
-    b = found.where("is_first").select(*on, F.col("chunk").alias("other"))
-    out = stage(a.join(b, on, "left").where(~F.col("chunk").eqNullSafe(F.col("other"))).select(*_ROW, *_KEY).distinct(), "differing")
+    found = texts.join(small, _same_row(texts, wanted)).select(*on, "is_first", wanted.doc_id, wanted.text_hash, "chunk")
+    dealt = found.repartition(*on).sortWithinPartitions(*on, F.desc("is_first"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, chunk = None, None  # of the first document's chunk that is compared with
+        for b in batches:
+            places = list(zip(*(b.column(c).to_pylist() for c in range(len(on)))))
+            out = []
+            for k, first in enumerate(b.column(len(on)).to_pylist()):
+                own = b.column(b.num_columns - 1)[k].as_buffer()
+                if first:
+                    place, chunk = places[k], own
+                elif place != places[k] or not own.equals(chunk):
+                    out.append(k)
+            yield b.select([len(on) + 1, len(on) + 2, 0, 1, 2]).take(pa.array(out, pa.int64()))
+
+    apart = dealt.mapInArrow(compare, "doc_id long, text_hash long, h0 long, h1 long, n_bytes long")
+    out = stage(apart.distinct(), "differing")
     unstage(wanted)
     return out
 
