@@ -327,7 +327,7 @@ def test_markdown_sections(spark):
 
 def test_html_and_articles():
     html = "<html><head><title>x</title></head><body><h1>A</h1><p>one</p></style><h2>B</h2>two<br>three<table><tr><th>h</th><th>k</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>"
-    assert extract.html_sections(html) == [("A", "one"), ("A > B", "two\nthree"), ("A > B", "h: 1; k: 2")]
+    assert extract.html_sections(html) == [("A", "one"), ("A > B", "two\nthree"), ("A > B > Table", "Table\nh: 1; k: 2")]
     xml = b"<article><front><article-title>T</article-title><abstract><p>ab</p></abstract></front><body><sec><title>S</title><p>x</p><sec><title>U</title><p>y</p></sec></sec></body></article>"
     assert extract.article_sections(xml) == [(None, "T"), ("Abstract", "ab"), ("S", "x"), ("S > U", "y")]
     assert extract.extract(b"\xff\xfe\xff", "txt")[1] == "CORRUPTED_FILE" and extract.extract(b"", "zzz")[1] == "UNSUPPORTED_FILE_TYPE" and extract.extract(b" ", "txt")[1] == "EMPTY_DOCUMENT"
@@ -360,6 +360,40 @@ def test_office_files():
     assert extract.extract(bomb, "docx")[1] == "CORRUPTED_FILE"
 
 
+def test_page_details():
+    page = """<html><head><title>x</title></head><body><div class="navheader x">skip <div>me</div></div><h1>Top</h1><nav>kept</nav><h2>Part</h2><p>Text</p>
+    <p class="title">Table 1. Doses</p><table><thead><tr><td>A</td><td colspan="2">B</td></tr></thead><tr><th>r</th><td>1</td><td>2<br>3</td></tr></table>
+    <p class="title">Example 2</p><table><tr><th>h</th></tr><tr><td>v</td></tr></table><h3>Notes</h3><p>more</p><div class="navfooter">bye</div></body></html>"""
+    assert extract.html_sections(page) == [
+        ("Top", "kept"), ("Top > Part", "Text"), ("Top > Part > Table 1. Doses", "Table 1. Doses\nA: r; B: 1; B: 2 3"), ("Top > Part", "Example 2"), ("Top > Part > Table", "Table\nh: v"), ("Top > Part", "Notes\n\nmore"),
+    ]
+
+
+def test_sheet_details():
+    def book(pr, cells):
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        parts = {
+            "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}">{pr}<sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/sharedStrings.xml": f"<sst {ns}><si><r><t>ab</t></r><r><t>c</t></r><rPh><t>zz</t></rPh></si></sst>",
+            "xl/styles.xml": f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="[h]:mm:ss"/><numFmt numFmtId="171" formatCode="yyyy&quot;h&quot;"/><numFmt numFmtId="172" formatCode="hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="172"/></cellXfs></styleSheet>',
+            "xl/worksheets/sheet1.xml": f"<worksheet {ns}><sheetData>{"".join(f"<row>{x}</row>" for x in cells)}</sheetData></worksheet>",
+        }
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    cell = lambda v, t="", s=0: f'<c{f" t=\"{t}\"" if t else ""} s="{s}"><v>{v}</v></c>'
+    cells = [cell(0, "s"), cell(1, "b"), cell("#N/A", "e"), cell("1E3"), cell("1.50"), cell("45000", s=1), cell("45000.5", s=1), cell("0.75", s=1), cell("1.5", s=2), cell("45000", s=3), cell("9", "s"), cell("2", s=4)]
+    assert extract.xlsx_sections(book("", cells)) == [("S", "\n".join(f"[S] {x}" for x in "abc TRUE #N/A 1000 1.50 2023-03-15 2023-03-15_12:00 18:00 1.5 2023-03-15 1900-01-01".replace("_", "\u0000").split()).replace("\u0000", " "))]
+    assert extract.xlsx_sections(book('<workbookPr date1904="1"/>', [cell("45000", s=1)])) == [("S", "[S] 2027-03-16")]
+    deep = "<a>" * 200 + "</a>" * 200
+    with pytest.raises(extract.ExtractionError):
+        extract._xml(deep.encode())
+
+
 def test_index_and_ask(spark, tmp_path):
     root = tmp_path / "in"
     (root / "sub").mkdir(parents=True)
