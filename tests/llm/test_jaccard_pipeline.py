@@ -1,4 +1,3 @@
-import functools
 import random
 from itertools import combinations
 
@@ -89,15 +88,12 @@ def test_clusters_without_an_original(spark, monkeypatch, leaf):
 def test_many_staged_files_of_growing_size(spark):
     """Spark reads larger files first and several in a task, so rids don't ascend within a batch."""
     rng = random.Random(12)
-    rows, parts = [], []
+    rows = []
     for k in range(40):
-        part = []
         for _ in range(1 + k // 3):
             t = [f"w{rng.randrange(9000)}" for _ in range(30 + 3 * k)]
-            part += [(len(rows) + len(part), " ".join(t)), (len(rows) + len(part) + 1, " ".join([*t[:-1], "changed"]))]
-        rows += part
-        parts.append(spark.createDataFrame(part, "doc_id long, text string").coalesce(1))
-    docs = functools.reduce(lambda a, b: a.union(b), parts)
+            rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join([*t[:-1], "changed"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(40, "doc_id")  # longer texts come later
     assert docs.rdd.getNumPartitions() == 40
     assert got(j.components(docs)) == brute(rows)
 
