@@ -1,3 +1,4 @@
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -38,7 +39,7 @@ def test_store_round_trip(spark, odd, ids):
 
 
 def test_store_gives_single_documents(spark, odd, ids):
-    folder = shared_folder(spark) + "/store-test"
+    folder = f"{shared_folder(spark)}/store-test-{uuid.uuid4().hex}"
     token_store.write_store(odd, folder, token_store.StoreOptions(PATH, segment_bytes=64))
     assert token_store.read_document(spark, folder, 6).tolist() == ids[5]
     assert token_store.read_document(spark, folder, 3).tolist() == [0]
