@@ -168,8 +168,9 @@ select conv_id, turn, round(len(list_filter(keys, lambda k: contains(lower(text)
 def keyword_coverage(spark, sf):
     """Keywords that an answer has, and the option letter that one begins with."""
     c = table(spark, sf, "conversations")
-    keys = F.array(F.expr("left(text, 3)"), F.lit("THE"), F.upper(F.expr("right(text, 2)")), F.lit("zzz"))
-    return c.select("conv_id", "turn", F.round(t.keyword_coverage(F.col("text"), keys), 6).alias("coverage"), evaluate.letter(F.when(F.col("turn") % 2 == 0, " (b) because").otherwise(F.col("text"))).alias("letter"))
+    keys = F.array(F.expr("left(text, 3)"), F.lit("THE"), t.simple_upper(F.expr("right(text, 2)")), F.lit("zzz"))
+    # the SQL's upper and lower map each code point to one, Spark's don't
+    return c.select("conv_id", "turn", F.round(t.keyword_coverage(t.simple_lower(F.col("text")), F.transform(keys, t.simple_lower)), 6).alias("coverage"), evaluate.letter(F.when(F.col("turn") % 2 == 0, " (b) because").otherwise(F.col("text"))).alias("letter"))
 
 
 _FULL = """o as (select event_id as id, event_type as type, case when user_id % 2 = 0 then 'ko' else 'en' end as lang, event_id % 4 <> 0 as answerable, event_id % 6 = 0 as refused, event_id % 3 <> 0 as hit, event_id % 5 <> 0 as section_hit, event_id % 7 <> 0 as citation_correct,

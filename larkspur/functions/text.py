@@ -82,6 +82,16 @@ def hangul_ratio(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(HANGUL)) / F.nullif(F.regexp_count(c, F.lit(r"\p{L}")), F.lit(0)), F.lit(0.0))
 
 
+def simple_lower(c: Column) -> Column:
+    """Lower case code point by code point, whatever stands around: no final sigma, no second character for a dotted I."""
+    return F.lower(F.translate(c, "Σİ", "σi"))
+
+
+def simple_upper(c: Column) -> Column:
+    """Upper case code point by code point: one whose capital is several characters, as SS for ß, stays as it is."""
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(F.char_length(F.upper(x)) == F.char_length(x), F.upper(x)).otherwise(x)), "")
+
+
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
     """Share of keywords that the answer has, case aside; NULL without keywords."""
     hit = F.size(F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k))))

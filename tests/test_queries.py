@@ -49,3 +49,12 @@ def test_hybrid_retrieval_equals_plain_python(spark):
         rrf = {i: sum(1 / (60 + x.index(i) + 1) for x in (a, b) if i in x) for i in {*a, *b}}
         want = sorted(rrf, key=lambda i: (-rrf[i], place(a, i), place(b, i)))[:5]
         assert [r.item_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_keyword_coverage_of_letters_with_long_capitals(spark, tmp_path):
+    ends = ["geß.", "Straß", "ß", "ẞ", "of οδος", "ΟΔΟΣ", "Σ", "ἐν ᾧ", "ﬁ", "xﬃ", "ŉ", "ΰ", "İb ıb", "xİ", "ıb İb", "ſt", "naïve 🙂", "the end", "", " ", None]
+    rows = [(k, turn, text) for k, text in enumerate(ends) for turn in (1, 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/conversations.parquet").toPandas()
+    want = oracle.duckdb.connect().from_df(frame).query("conversations", ORACLE_SQL["keyword_coverage"]).df()
+    assert oracle.rows(QUERIES["keyword_coverage"](spark, str(tmp_path)).toPandas()) == oracle.rows(want)
