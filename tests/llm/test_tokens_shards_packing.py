@@ -1,3 +1,5 @@
+import tempfile
+import time
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -7,10 +9,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from larkspur.llm import packing, sharding, token_store
+from larkspur.llm import packing, sharding, token_store, tokenizing
 from larkspur.llm.common import shared_folder
+from larkspur.llm.pretokens import split
 from larkspur.llm.tokenizing import cut_points, encode_texts
 from tests.llm.conftest import ROWS
 
@@ -29,6 +32,46 @@ def test_long_texts_are_cut_without_changing_ids():
     assert next(encode_texts(PATH, [text])).tolist() == [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_texts_taken_together_know_nothing_of_each_other(monkeypatch):
+    whole = Tokenizer.from_file(PATH)
+    texts = ["'", "s it", "it'", "s", "", None, "  ", " a  ", "\0", "a\0\0", " \0 ", "don't 'll", "\u00a0", "\u3000 b", "漢字", "🙂'", "re🙂", "12 34", "5", "<|endoftext|> x", "z" * 300, "z" * 300, "naïve l'été ", "\n\n", "\n"]
+    made = np.random.default_rng(5)
+    texts += ["".join(made.choice(list("ab'srd 1é漢🙂\0\n,"), made.integers(0, 30))) for _ in range(3000)]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    tokenizing.encoder.cache_clear()
+    monkeypatch.setattr(tokenizing, "CACHED", 300)  # several generations of known pre-tokens
+    monkeypatch.setattr(tokenizing, "CACHED_BYTES", 8)
+    for together in (1, 700, 1 << 21):
+        monkeypatch.setattr(tokenizing, "TOGETHER", together)
+        assert [x.tolist() for k in range(0, len(texts), 500) for x in encode_texts(PATH, texts[k : k + 500])] == want
+    known = tokenizing.encoder(PATH).known
+    assert known.older[0] and max(len(known.ends), len(known.older[2])) < 300 + 500 * 30
+    tokenizing.encoder.cache_clear()
+
+
+def test_a_vocabulary_without_some_bytes():
+    model = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))
+    model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    with tempfile.TemporaryDirectory() as folder:
+        model.save(f"{folder}/some.json")
+        texts = ["ab abc", "c", "cab", "c c", "bab"]
+        assert [x.tolist() for x in encode_texts(f"{folder}/some.json", texts)] == [[*model.encode(t).ids, 0] for t in texts]
+
+
+def test_words_that_come_again_are_not_looked_up_one_by_one():
+    texts = [" ".join(f"word{(k * j) % 97}" for j in range(3000)) for k in range(200)]
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert seconds(lambda: list(encode_texts(PATH, texts))) < seconds(lambda: [split(t) for t in texts])
+
+
 def test_store_round_trip(spark, odd, ids):
     rows = token_store.token_digest(odd, token_store.StoreOptions(PATH)).collect()
     crc = lambda x: zlib.crc32(np.array(x, dtype="<u4").tobytes())
