@@ -84,12 +84,20 @@ def train(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-min(size, total):]
 
 
+def _candidates(docs: DataFrame, o: StoreOptions) -> DataFrame:
+    """The texts that the sample is taken from: those up to the hash of its last, found among hashes alone, so that no
+    partition sends as many texts as the sample has."""
+    texts = docs.where(F.char_length("text").between(1, o.sample_chars)).select("text")
+    last = texts.select(F.xxhash64("text").alias("h")).orderBy("h").limit(o.sample_docs).agg(F.max("h")).first()[0]
+    return texts.where(F.xxhash64("text") <= F.lit(last))
+
+
 def _sample(docs: DataFrame, o: StoreOptions) -> list[bytes]:
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([serialise(x, o.width) for x in encode_texts(o.tokenizer, b.column(0).to_pylist())], pa.binary())], ["ids"])
 
-    chosen = docs.where(F.char_length("text").between(1, o.sample_chars)).select("text").orderBy(F.xxhash64("text")).limit(o.sample_docs)
+    chosen = _candidates(docs, o).orderBy(F.xxhash64("text")).limit(o.sample_docs)
     return sorted(bytes(r.ids) for r in chosen.mapInArrow(ids, "ids binary").collect())
 
 

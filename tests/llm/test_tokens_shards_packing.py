@@ -81,6 +81,18 @@ def test_store_round_trip(spark, odd, ids):
     assert [r.doc_id for r in order if r.doc_id is not None] == sorted(r[0] for r in ROWS if r[0] is not None)
 
 
+def test_few_texts_are_ordered_for_the_sample(spark, none):
+    docs = spark.range(0, 4000, 1, 40).selectExpr("id as doc_id", "case when id % 5 = 0 then 'a copy of one text' when id % 7 = 0 then repeat('long ', 50) when id % 11 > 0 then concat('text ', id) end as text")
+    o = token_store.StoreOptions(PATH, sample_docs=30, sample_chars=100)
+    short = [r for r in docs.selectExpr("text", "xxhash64(text) as h").collect() if r.text and len(r.text) <= 100]
+    first = sorted(r.h for r in short)[:30]
+    chosen = [r.text for r in token_store._candidates(docs, o).collect()]
+    assert Counter(chosen) == Counter(r.text for r in short if r.h <= first[-1]) and len(set(chosen)) <= 30
+    sampled = [r.text for r in short if r.h in first]
+    assert {s for s in token_store._sample(docs, o)} == {x.astype("<u2").tobytes() for x in encode_texts(PATH, sampled)}
+    assert token_store._sample(none, o) == []
+
+
 def test_store_gives_single_documents(spark, odd, ids):
     folder = f"{shared_folder(spark)}/store-test-{uuid.uuid4().hex}"
     token_store.write_store(odd, folder, token_store.StoreOptions(PATH, segment_bytes=64))
