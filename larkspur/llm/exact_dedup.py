@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, keep_marked, passing, slots, stage, text_hash, unstage
+from larkspur.llm.common import batch, freeing, keep_marked, passing, slots, stage, text_hash, unstage
 
 CHUNK = 4096
 COMPARE_BYTES = 65_536
@@ -100,7 +100,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
                 out.append((*found, hashlib.sha256(raw).hexdigest()))
             yield batch(_HASHED, b.column(0).cast(pa.int64()), *(zip(*out) if out else ([],) * 4), b.column(2))
 
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(rows, "doc_id long, h0 long, h1 long, n_bytes long, text_sha256 string, text_hash long")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(freeing(rows), "doc_id long, h0 long, h1 long, n_bytes long, text_sha256 string, text_hash long")
 
 
 _ROW = ["doc_id", "text_hash"]
@@ -139,7 +139,7 @@ def pieces_hashed(docs: DataFrame, rows: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.ceil(F.octet_length("raw") / PIECE_BYTES).cast("int") - 1)
     cut = F.expr(f"substring(raw, greatest(k * {PIECE_BYTES}, 1), if(k = 0, {PIECE_BYTES} , {PIECE_BYTES} + 1))")
     dealt = texts.withColumn("k", F.explode(starts)).select(*_ROW, "k", cut.alias("piece")).repartition("text_hash", "k")
-    done = dealt.mapInArrow(hashes, "doc_id long, text_hash long, k int, h0 long, h1 long, q0 long, q1 long")
+    done = dealt.mapInArrow(freeing(hashes), "doc_id long, text_hash long, k int, h0 long, h1 long, q0 long, q1 long")
     parts = F.sort_array(F.collect_list(F.struct("k", "h0", "h1", "q0", "q1")))  # one small row for each piece
     fold = lambda h, q, p: F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: (a * x[q] + x[h]) % p)
     return done.groupBy(*_ROW).agg(parts.alias("parts")).select(*_ROW, fold("h0", "q0", PRIMES[0]).alias("h0"), fold("h1", "q1", PRIMES[1]).alias("h1"))
@@ -179,7 +179,7 @@ def _differing(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFr
         ),
         "compared-rows",
     )
-    texts = _some(docs, wanted).mapInArrow(chunks, "doc_id long, text_hash long, c int, chunk binary")
+    texts = _some(docs, wanted).mapInArrow(freeing(chunks), "doc_id long, text_hash long, c int, chunk binary")
     small = F.broadcast(wanted) if wanted.count() <= GROUPS_BROADCAST else wanted
     on = [*_KEY, "salt", "c"]
     found = texts.join(small, _same_row(texts, wanted)).select(*on, "is_first", wanted.doc_id, wanted.text_hash, "chunk")
@@ -198,7 +198,7 @@ def _differing(docs: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFr
                     out.append(k)
             yield b.select([len(on) + 1, len(on) + 2, 0, 1, 2]).take(pa.array(out, pa.int64()))
 
-    apart = dealt.mapInArrow(compare, "doc_id long, text_hash long, h0 long, h1 long, n_bytes long")
+    apart = dealt.mapInArrow(freeing(compare), "doc_id long, text_hash long, h0 long, h1 long, n_bytes long")
     out = stage(apart.distinct(), "differing")
     unstage(wanted)
     return out

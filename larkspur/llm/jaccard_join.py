@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep_marked, passing, slices, slots, small, stage, unstage
+from larkspur.llm.common import freeing, keep_marked, passing, slices, slots, small, stage, unstage
 
 #: What op10's SQL takes; callers without it give their own.
 SHINGLE = 4
@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), *(pa.array(c, f.type) for c, f in zip((n, k1, k2, wide, tokens), list(_SETS)[2:]))], schema=_SETS)
 
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return own.mapInArrow(rows, "doc_id long, text_hash long, n long, k1 long, k2 long, wide binary, tokens binary")
+    return own.mapInArrow(freeing(rows), "doc_id long, text_hash long, n long, k1 long, k2 long, wide binary, tokens binary")
 
 
 # --- 2. blocks -------------------------------------------------------------------------------------------------
@@ -231,8 +231,8 @@ def _marks(sets: DataFrame, buckets: int) -> np.ndarray:
             some = n >= LEAST_COUNT
             yield pa.RecordBatch.from_arrays([pa.array(tokens[some].astype(np.int64)), pa.array(n[some])], ["token", "c"])
 
-    dealt = sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(sample, "bucket int, tokens binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = stage(dealt.mapInArrow(counts, "token long, c long"), "shingle-counts")
+    dealt = sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(freeing(sample), "bucket int, tokens binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = stage(dealt.mapInArrow(freeing(counts), "token long, c long"), "shingle-counts")
     levels = dict(found.groupBy(F.floor(F.log2("c")).cast("int")).count().collect())  # a row for each power of two
     least = max(levels, default=0) + 1
     while least > 0 and sum(n for level, n in levels.items() if level >= least - 1) <= MOST_MARKED:
@@ -289,7 +289,7 @@ def _prefixes(sets: DataFrame, marks: np.ndarray, buckets: int, percent: int) ->
                 )
                 at = end
 
-    return sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(rows, "bucket int, base long, tokens binary, places binary, positions binary")
+    return sets.where("n > 0").select("rid", "k1", "tokens").mapInArrow(freeing(rows), "bucket int, base long, tokens binary, places binary, positions binary")
 
 
 def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,7 +313,7 @@ def _marked_blocks(prefixes: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in _entries(b)], ["token", "rid", "position"])
 
-    found = prefixes.where("bucket < 0").mapInArrow(rows, "token long, rid long, position long")
+    found = prefixes.where("bucket < 0").mapInArrow(freeing(rows), "token long, rid long, position long")
     return found.select(F.col("token").alias("b1"), F.lit(-1).cast("long").alias("b2"), "rid", "position")
 
 
@@ -336,7 +336,7 @@ def _other_blocks(prefixes: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(np.frombuffer(b"".join(found), dtype=np.int64)), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found.values()]))], ["b1", "b2", "rid", "position"])
 
     dealt = prefixes.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(blocks, "b1 long, b2 long, rid long, position long")
+    return dealt.mapInArrow(freeing(blocks), "b1 long, b2 long, rid long, position long")
 
 
 # --- 4. trees --------------------------------------------------------------------------------------------------
@@ -479,7 +479,7 @@ def _cell_links(cells: DataFrame, percent: int) -> DataFrame:
             yield from links(rest)
 
     order = ["b1", "i", "j"]
-    return cells.select(*order, "outside", "rid", "n", "reach", "component", "tokens").repartition(*order).sortWithinPartitions(*order).mapInArrow(pairs, _PAIRS)
+    return cells.select(*order, "outside", "rid", "n", "reach", "component", "tokens").repartition(*order).sortWithinPartitions(*order).mapInArrow(freeing(pairs), _PAIRS)
 
 
 # --- 6. pairs --------------------------------------------------------------------------------------------------
@@ -506,7 +506,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     ok[part] = (100 + percent) * most >= percent * (n_a[part] + n_b[part])
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(check, _PAIRS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(freeing(check), _PAIRS)
 
 
 def _only(sets: DataFrame, ids: DataFrame, column: str = "tokens") -> DataFrame:
@@ -529,7 +529,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[k] = linked(common, int(n_a[k]), int(n_b[k]), percent)
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "t_a", "n_b", "t_b").mapInArrow(compare, _PAIRS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "t_a", "n_b", "t_b").mapInArrow(freeing(compare), _PAIRS)
 
 
 # --- components ------------------------------------------------------------------------------------------------

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import batch, positions, small, stage, unstage
-from larkspur.llm.tokenizing import encode_texts
+from larkspur.llm.common import batch, freeing, positions, small, stage, unstage
+from larkspur.llm.tokenizing import encode_texts, forget
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -84,8 +84,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                 rows += [(doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(piece_bounds(len(ids), capacity))]
             if rows:
                 yield batch(_PIECES, *zip(*rows))
+        forget()  # other operators use the same workers
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:

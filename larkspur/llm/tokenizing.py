@@ -164,6 +164,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop the tokenizers and known pre-tokens that this process holds."""
+    encoder.cache_clear()
+    tokenizer.cache_clear()
+
+
 def encode_texts(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
     """Ids of each text (null: empty) as uint32, the end id appended, in order."""
     code = encoder(path).encode

@@ -1,11 +1,15 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from larkspur.llm import jaccard_join as j
+from larkspur.llm import packing, tokenizing
+from larkspur.llm.common import freeing
 from tests.llm.conftest import ROWS
 
 
@@ -179,3 +183,35 @@ def test_components_of_other_parameters_equal_brute_force(spark, shingle, percen
             label = [low if x == high else x for x in label]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.component_id for r in j.components(docs, shingle, percent).collect()} == dict(enumerate(label))
+
+
+def own_mb() -> float:
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_workers_give_back_memory():
+    kept = []
+
+    def rows(batches):
+        held = [bytes(3000) for _ in range(70_000)]
+        kept.append(bytes(3000))  # above all others, so that malloc gives nothing back by itself
+        yield from batches
+        del held
+
+    before = own_mb()
+    assert list(freeing(rows)(iter([1, 2]))) == [1, 2]
+    assert own_mb() - before < 60
+
+
+def test_packing_leaves_no_tokenizer_in_workers(spark, odd):
+    import public_tokenizers
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([tokenizing.encoder.cache_info().currsize + tokenizing.tokenizer.cache_info().currsize])], ["n"])
+
+    pieces = packing.token_pieces(odd, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    assert pieces.count() >= 10
+    assert {r.n for r in spark.range(4, numPartitions=4).mapInArrow(held, "n long").collect()} == {0}
