@@ -63,6 +63,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in one partition for each core at most, for aggregates that are small beside the number of shuffle partitions:
+    each file of a task costs requests to the store, and on local disks processes of their own."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import fresh, stage
+from larkspur.llm.common import few_files, fresh, stage
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -109,7 +109,7 @@ def thresholds(counted: DataFrame, c: str, by_ratio: bool = False) -> DataFrame:
         .groupBy("lang", "source", "r.metric", "r.bucket")
         .agg(F.count("*").alias("n"))
     )
-    sketch = stage(sketch, "quantile-sketches")
+    sketch = stage(few_files(sketch), "quantile-sketches")
     total = F.sum("n").over(Window.partitionBy("lang", "source", "metric"))
     groups = sketch.groupBy("lang", "source", "metric").agg(F.sum("n").alias("rows")).where(F.col("metric") == METRICS[0][0]).select("lang", "source", "rows")
     levels = [
@@ -145,7 +145,7 @@ def thresholds(counted: DataFrame, c: str, by_ratio: bool = False) -> DataFrame:
 def verdicts(counted: DataFrame, c: str, fences: DataFrame, out: str) -> DataFrame:
     """``counted`` with the boolean ``out``: whether the rules keep the row."""
     own = dict(zip(fences.columns, fresh(counted, *fences.columns)))
-    fences = stage(fences.select(*(F.col(n).alias(m) for n, m in own.items())), "fences")
+    fences = stage(few_files(fences.select(*(F.col(n).alias(m) for n, m in own.items()))), "fences")
     if fences.count() <= GROUPS_BROADCAST:  # else left to a sort-merge join, whose skewed groups are split
         fences = F.broadcast(fences)
     joined = counted.join(fences, (_group("lang") == F.col(own["lang"])) & (_group("source") == F.col(own["source"])), "left")

@@ -189,6 +189,30 @@ def test_rules_of_odd_rows(odd, none):
     assert quality_rules.judge(none).count() == 0 == quality_rules.keep_good(none).count()
 
 
+def test_sketches_and_fences_are_few_files(spark, monkeypatch):
+    files, stage = {}, quality_rules.stage
+
+    def counted(df, name):
+        staged = stage(df, name)
+        files[name] = len(staged.inputFiles())
+        return staged
+
+    monkeypatch.setattr(quality_rules, "stage", counted)
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    docs = spark.range(400).selectExpr("id doc_id", "repeat(concat('word', id, ' '), cast(1 + id % 40 as int)) text", "concat('l', id % 8) lang", "concat('s', id % 5) source")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        few = sorted(quality_rules.judge(docs).collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    most = spark.sparkContext.defaultParallelism
+    assert 0 < files["quantile-sketches"] <= most and 0 < files["fences"] <= most
+    assert few == sorted(quality_rules.judge(docs).collect()) and len(few) == 400
+
+
 def test_buckets_keep_leading_bits(spark):
     values = [0, 1, 127, 128, 129, 1000, 123456, 2**40 + 12345]
     got = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket(quality_rules.F.col("v")).alias("b")).collect()
