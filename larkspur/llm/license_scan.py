@@ -25,7 +25,7 @@ from larkspur.llm.common import batch
 
 #: Base phrases and their labels.
 PHRASES = (
-    ("the mit license", "mit"),
+    ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )

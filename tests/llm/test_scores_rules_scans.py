@@ -154,6 +154,13 @@ def test_whole_license_texts(label):
     assert label not in cut[5].split(",")
 
 
+def test_base_phrases_of_the_contract():
+    scan = license_scan.Scanner().scan
+    assert scan("See the MIT license.")[:5] == (4, 0, None, None, "")
+    assert scan("Released under the MIT License; the MIT license, under\nthe mit license")[:5] == (12, 2, 1, 8, "mit")
+    assert scan("Apache License, Version 2.0 or CC-BY-NC")[:5] == (9, 2, 0, 6, "apache-2,cc-by-nc")
+
+
 def test_scan_of_odd_rows(odd, none):
     rows = license_scan.scan_licenses(odd).collect()
     assert len(rows) == len(ROWS) and all(r.n_base == 0 and r.first_word is None and r.labels == "" for r in rows)
