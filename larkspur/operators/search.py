@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import text as t
 from larkspur.functions import vectors as v
 from larkspur.functions.extents import Extents
+from larkspur.functions.passages import UNEVEN, Passages, letters
 from larkspur.operators import chunking
 
 RRF_K = 60
@@ -292,11 +293,13 @@ def lexical_rank(scored: DataFrame, k: int, *, query: str = "query_id", item: st
 
 #: Sizes and overlaps of the pieces that are compared beside whole texts, so that passages are met by extents of about their length.
 PASSAGES = ((400, 200), (200, 100))
+GROUP_CHARS, GROUP_PIECES = 1 << 17, 1000
 
 
 def trigram_passages(texts: DataFrame, items: DataFrame, least: float, passages: tuple[tuple[int, int], ...] = PASSAGES) -> DataFrame:
     """doc_id, item_id and similarity (the largest of the whole text and its pieces of ``passages``) from ``least`` on. texts: doc_id,
-    text; items: item_id, b (distinct trigrams), a question set written by hand."""
+    text; items: item_id, b (distinct trigrams), a question set written by hand. Texts with a character whose lower case isn't one
+    fixed character go through Spark's expressions, piece by piece; the others are cut up in arrays, with the same result."""
     rows_ = items.where(F.size("b") > 0).select("item_id", "b").collect()
     if not rows_:
         return texts.select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("double").alias("similarity")).where("false")
@@ -329,6 +332,30 @@ def trigram_passages(texts: DataFrame, items: DataFrame, least: float, passages:
                 x, y = np.nonzero(similarity >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(x)), pa.array(ids[y]), pa.array(similarity[x, y])], ["doc_id", "item_id", "similarity"])
 
-    pieces = texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece string").select("doc_id", t.trigrams(F.col("piece")).alias("a"))
-    found = pieces.mapInArrow(compare, "doc_id long, item_id long, similarity double")
+    table = letters(texts.sparkSession)
+
+    def quick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages_ = Passages(table, known, held, sizes, least)
+        owners, pieces, chars = [], [], 0
+
+        def done() -> pa.RecordBatch:
+            at, item, similarity = passages_.compare(np.array(owners, dtype=np.int64), pieces)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[item]), pa.array(similarity)], ["doc_id", "item_id", "similarity"])
+
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for p in (x, *(x[a:e] for size, overlap in passages if len(x) > size for a, e in chunking.spans(x, size, overlap))):
+                    owners.append(i)
+                    pieces.append(p)
+                    chars += len(p) + 1
+                    if chars >= GROUP_CHARS or len(pieces) >= GROUP_PIECES:
+                        yield done()
+                        owners, pieces, chars = [], [], 0
+        if pieces:
+            yield done()
+
+    ddl = "doc_id long, item_id long, similarity double"
+    uneven = F.col("text").rlike(f"[{UNEVEN}]")
+    pieces = texts.where(uneven).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece string").select("doc_id", t.trigrams(F.col("piece")).alias("a"))
+    found = pieces.mapInArrow(compare, ddl).unionByName(texts.where(~uneven).select("doc_id", "text").mapInArrow(quick, ddl))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
